@@ -8,8 +8,9 @@ hashed words, the risk is
 
 with logistic loss l: the second part is the clean texts' share of the
 unlabelled risk, which can't be negative; where it would be, the step goes
-the other way. Features of a text: its distinct words, hashed to BINS, each
-one over the square root of their number.
+the other way. Features of a text: which of the chosen words it has, by hash
+in BINS. Words are chosen whose share among the positives is above that among
+the unlabelled by FAR standard deviations.
 """
 
 from __future__ import annotations
@@ -24,22 +25,31 @@ from pyspark.sql import functions as F
 from .common import cut, given_id, slice_words, slices, text_rows
 from .decontaminate import IS_BREAK
 
-BINS = 1 << 17
+BINS = 1 << 24
+FAR = 4.0
 
 
 @dataclass
 class Model:
+    bins: np.ndarray
+    """Chosen bins, sorted."""
     weights: np.ndarray
     bias: float
     prior: float
 
     def score(self, begin: np.ndarray, bins: np.ndarray) -> np.ndarray:
-        return 1 / (1 + np.exp(-self.raw(begin, bins)))
+        owner = np.repeat(np.arange(len(begin) - 1), np.diff(begin))
+        has, k = chosen(self.bins, bins)
+        return 1 / (1 + np.exp(-np.bincount(owner[has], self.weights[k], len(begin) - 1) - self.bias))
 
-    def raw(self, begin: np.ndarray, bins: np.ndarray) -> np.ndarray:
-        n = np.diff(begin)
-        owner = np.repeat(np.arange(len(n)), n)
-        return np.bincount(owner, self.weights[bins], len(n)) / np.sqrt(np.maximum(n, 1)) + self.bias
+
+def chosen(table: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where ``bins`` are in ``table``, and their places in it."""
+    if not len(table):
+        return np.zeros(len(bins), dtype=bool), np.zeros(0, dtype=np.int64)
+    k = np.minimum(np.searchsorted(table, bins), len(table) - 1)
+    has = table[k] == bins
+    return has, k[has]
 
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
@@ -58,26 +68,42 @@ def _featurised(batches):
             yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array([p.tobytes() for p in parts], pa.binary())], names=["doc_id", "bins"])
 
 
-def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 30, step: float = 0.03, decay: float = 1e-4, seed: int = 1) -> Model:
+def choose(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> np.ndarray:
+    """Bins far more frequent among the positives."""
+    count = lambda sample: np.unique(np.concatenate(sample), return_counts=True)
+    bins, n = count(positive)
+    other, m = count(unlabelled)
+    has, k = chosen(other, bins)
+    rest = np.zeros(len(bins))
+    rest[has] = m[k]
+    p, u = n / len(positive), (rest + 1) / (len(unlabelled) + 2)
+    far = (p - u) / np.sqrt(u * (1 - u) * (1 / len(positive) + 1 / len(unlabelled)))
+    return bins[(far > FAR) & (n >= 3)]
+
+
+def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, epochs: int = 60, step: float = 0.03, decay: float = 1e-4, seed: int = 1) -> Model:
     """Adam over batches of both samples. Without positives or unlabelled texts: a constant score, the prior."""
-    w, bias = np.zeros(BINS), float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
+    bias = float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6)))
     if not positive or not unlabelled or not 0 < prior < 1:
-        return Model(w, bias, prior)
+        return Model(np.zeros(0, dtype=np.int64), np.zeros(0), bias, prior)
+    table = choose(positive, unlabelled)
+    positive, unlabelled = ([chosen(table, x)[1] for x in sample] for sample in (positive, unlabelled))
+    w = np.zeros(len(table))
     rng = np.random.default_rng(seed)
     batches = max(1, min(16, len(positive) // 32))
-    m, v, mb, vb, t = np.zeros(BINS), np.zeros(BINS), 0.0, 0.0, 0
+    m, v, mb, vb, t = np.zeros_like(w), np.zeros_like(w), 0.0, 0.0, 0
 
     def rows(sample, pick):
         got = [sample[i] for i in pick]
         n = np.array([len(x) for x in got])
-        return np.concatenate([*got, np.empty(0, dtype=np.int64)]), np.repeat(np.arange(len(got)), n), 1 / np.sqrt(np.maximum(n, 1))
+        return np.concatenate([*got, np.empty(0, dtype=np.int64)]).astype(np.int64), np.repeat(np.arange(len(got)), n)
 
     for _ in range(epochs):
         parts = zip(np.array_split(rng.permutation(len(positive)), batches), np.array_split(rng.permutation(len(unlabelled)), batches), strict=True)
         for pick_p, pick_u in parts:
-            (bp, op, sp), (bu, ou, su) = rows(positive, pick_p), rows(unlabelled, pick_u)
-            gp = np.bincount(op, w[bp], len(pick_p)) * sp + bias
-            gu = np.bincount(ou, w[bu], len(pick_u)) * su + bias
+            (bp, op), (bu, ou) = rows(positive, pick_p), rows(unlabelled, pick_u)
+            gp = np.bincount(op, w[bp], len(pick_p)) + bias
+            gu = np.bincount(ou, w[bu], len(pick_u)) + bias
             yes = 1 / (1 + np.exp(-gp))
             clean = np.logaddexp(0, gu).mean() - prior * np.logaddexp(0, gp).mean()
             # derivatives by each score
@@ -88,13 +114,13 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
                 dp = prior * yes
                 du = -1 / (1 + np.exp(-gu))
             dp, du = dp / len(pick_p), du / len(pick_u)
-            grad = np.bincount(bp, (dp * sp)[op], BINS) + np.bincount(bu, (du * su)[ou], BINS) + decay * w
+            grad = np.bincount(bp, dp[op], len(w)) + np.bincount(bu, du[ou], len(w)) + decay * w
             gb = dp.sum() + du.sum()
             t += 1
             m, v, mb, vb = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2, 0.9 * mb + 0.1 * gb, 0.999 * vb + 0.001 * gb**2
             w -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-8)
             bias -= step * (mb / (1 - 0.9**t)) / (np.sqrt(vb / (1 - 0.999**t)) + 1e-8)
-    return Model(w, bias, prior)
+    return Model(table, w, bias, prior)
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unlabelled: int = 8000, seed: int = 1) -> Model:
@@ -120,9 +146,9 @@ def train(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_un
     return fit(groups[1], groups[0] + share, prior)
 
 
-def _scores(weights, bias: float, prior: float):
+def _scores(shared):
     def run(batches):
-        model = Model(weights.value, bias, prior)
+        model = shared.value
         for batch in batches:
             for ids, texts in slices(batch):
                 s = model.score(*features(texts))
@@ -133,5 +159,5 @@ def _scores(weights, bias: float, prior: float):
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
     """doc_id, score (0 to 1), a row per row of ``docs``. Null or empty text: no features, so the model's bias alone. Only the text counts; other columns are ignored."""
-    weights = docs.sparkSession.sparkContext.broadcast(model.weights.astype(np.float32))  # BINS values
-    return text_rows(docs).mapInArrow(_scores(weights, model.bias, model.prior), "doc_id long, score double")
+    shared = docs.sparkSession.sparkContext.broadcast(model)  # no more bins than the words of the sample
+    return text_rows(docs).mapInArrow(_scores(shared), "doc_id long, score double")
