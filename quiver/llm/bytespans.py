@@ -26,12 +26,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, NO_ID, given_id, groups_for, known_id, prefix_hashes, span_hashes
+from .common import _BYTES, NO_ID, given_id, groups_for, known_id, mix, prefix_hashes, span_hashes
 from .substrings import _runs
 from .suffixes import permuted_prefixes, suffix_array
 
 ANCHOR = 64
-HOT = 4096
+HOT = 2048
 SLICE = 1 << 21
 BATCH = 1 << 20
 _place = np.dtype([("row", "<i8"), ("first", "<u4"), ("count", "<u4"), ("anchor", "<u4")])
@@ -118,11 +118,16 @@ def _anchors(width: int, bits: int):
         for batch in batches:
             for held, data in _pieces(*_rows(batch), width):
                 found = anchored(held, data, width)
-                yield pa.RecordBatch.from_arrays(_packed(_by((found["hash"] >> np.uint64(64 - bits)).astype(np.int64), found)), schema=_pack_schema)
+                yield pa.RecordBatch.from_arrays(_packed(_by(_bucket(found["hash"], bits), found)), schema=_pack_schema)
 
     return run
 
 
+def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
+    """Of mixed hashes: those of anchors are small ones."""
+    return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def _group(row: np.ndarray, groups: int) -> np.ndarray:
     return row & (groups - 1)  # rows are hashes
 
@@ -165,7 +170,7 @@ def _regions(width: int, bits: int, groups: int):
         settled: list[tuple] = []
         shards: dict[int, dict[tuple[int, bytes], list]] = {}
         windows = []
-        for x in places:
+        for x, shard in zip(places, _bucket(places["hash"], bits).tolist(), strict=True):
             row, first, count = _all_starts(x)
             region = texts[row][first : first + count + width - 1]
             if x["hot"]:
@@ -175,8 +180,7 @@ def _regions(width: int, bits: int, groups: int):
                 w["hash"], w["row"], w["at"], w["many"] = span_hashes(p, at, at + width), row, first + at, False
                 windows.append(w)
             else:
-                h = int(x["hash"])
-                shards.setdefault(h >> (64 - bits), {}).setdefault((h, region), []).append((row, first, count))
+                shards.setdefault(shard, {}).setdefault((int(x["hash"]), region), []).append((row, first, count))
         if windows:
             w = np.concatenate(windows)
             _, first, inverse, n = np.unique(w["hash"], return_index=True, return_inverse=True, return_counts=True)
@@ -184,7 +188,7 @@ def _regions(width: int, bits: int, groups: int):
             settled += list(zip(again["row"].tolist(), again["at"].tolist(), [1] * len(again), strict=True))
             w = w[first]
             w["many"] = n > 1
-            out += _by((w["hash"] >> np.uint64(64 - bits)).astype(np.int64), w)
+            out += _by(_bucket(w["hash"], bits), w)
         for shard, regions in shards.items():
             parts = []
             for (h, region), at in regions.items():

@@ -24,7 +24,7 @@ def _types(text: np.ndarray) -> np.ndarray:
 def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Suffixes in order, from leftmost-smaller ones in order: larger types upwards, then smaller ones downwards, each bucket as a whole."""
     n, sigma = len(text), len(starts) - 1
-    sa = np.full(n, -1, dtype=np.int64)
+    sa = np.full(n, -1, dtype=np.int32)
     head, tail = starts[:-1].copy(), starts[1:].copy()
     by_char = np.searchsorted(text[seeds], np.arange(sigma + 1))  # seeds in order are in order of their first character
 
@@ -53,7 +53,7 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, starts: np.n
             sa[np.repeat(tail[c[first]] - 1 + first, count) - np.arange(len(c))] = p
             tail[c[first]] -= count
 
-    up(np.array([n]))
+    up(np.array([n], dtype=np.int32))
     for c in range(sigma):
         done = starts[c]
         while done < head[c]:
@@ -96,8 +96,9 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     values, text = np.unique(text, return_inverse=True)
     if len(values) > NAMES:
         return _doubling(text)
+    text = text.astype(np.uint16)  # sorted by radix
     small = _types(text)
-    lms = np.flatnonzero(small[1:] & ~small[:-1]) + 1
+    lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(values)))))
     if not len(lms):
         return _induce(text, small, lms, starts)
@@ -108,7 +109,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     is_lms[lms] = True
     order = sa[is_lms[sa]]
     ends = np.append(lms[1:], n)
-    place = np.empty(n, dtype=np.int64)
+    place = np.empty(n, dtype=np.int32)
     place[lms] = np.arange(len(lms))
     length = (ends - lms)[place[order]] + 1  # with the next one's first character; the last runs into the end
     same = length[1:] == length[:-1]
@@ -136,9 +137,9 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, breaks: np.ndarray) -> t
     before them. ``text``: bytes.
     """
     n = len(text)
-    phi = np.full(n, -1, dtype=np.int64)
+    phi = np.full(n, -1, dtype=np.int32)
     phi[sa[1:]] = sa[:-1]
-    i = np.arange(n)
+    i = np.arange(n, dtype=np.int32)
     own = (i == 0) | (phi <= 0)
     rest = np.flatnonzero(~own)
     own[rest] = text[rest - 1] != text[phi[rest] - 1]
@@ -146,7 +147,7 @@ def permuted_prefixes(text: np.ndarray, sa: np.ndarray, breaks: np.ndarray) -> t
     q = np.flatnonzero(own & (phi >= 0))
     padded = np.concatenate((text.astype(np.uint8), np.zeros(16, dtype=np.uint8)))
     words = np.ndarray((n + 8,), dtype="<u8", buffer=padded, strides=(1,))
-    lcp = np.zeros(n, dtype=np.int64)
+    lcp = np.zeros(n, dtype=np.int32)
     at = q
     while len(at):
         a, b = at + lcp[at], phi[at] + lcp[at]
