@@ -12,7 +12,7 @@ import re
 from decimal import Decimal, InvalidOperation
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -59,7 +59,7 @@ def _number(text: str, kind: str, whole: str, strict: bool = False) -> float:
         y = float(np.float16(np.float32(x)) if kind == "halfvec" else np.float32(x))
     nonzero = re.search(r"[1-9]", m[1].lower().split("e")[0])
     if np.isinf(y) or strict and y == 0 and nonzero:
-        raise VectorError(f'"{m[1]}" is out of range for type {kind if kind == "halfvec" else "real" if not strict else kind}' if not strict else f'"{m[1]}" is out of range for type {kind}')
+        raise VectorError(f'"{m[1]}" is out of range for type {kind}')
     return y
 
 
@@ -97,7 +97,7 @@ def _shortest(x: float) -> str:
     digits = np.format_float_scientific(y, unique=True, trim="-")
     mantissa, exponent = digits.split("e")
     e = int(exponent)
-    if -5 < e < 6 + 1 - 1 or -4 <= e < 6:
+    if -4 <= e < 6:
         return np.format_float_positional(y, unique=True, trim="-")
     return f"{mantissa}e{'+' if e >= 0 else '-'}{abs(e):02d}"
 
@@ -180,10 +180,13 @@ def unpack_sparse(data: bytes) -> dict:
     return {"dim": dim, "indices": indices.tolist(), "values": values.astype(float).tolist()}
 
 
+_ARROW = {"array<float>": pa.list_(pa.float32()), "string": pa.string(), "binary": pa.binary(), SPARSE: pa.struct([("dim", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])}
+
+
 def _each(f, kind: str):
-    @F.pandas_udf(kind)
-    def run(x: pd.Series) -> pd.Series:
-        return pd.Series([None if v is None else f(v) for v in x], dtype=object)
+    @F.arrow_udf(kind)
+    def run(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f(v) for v in x.to_pylist()], _ARROW[kind])
 
     return run
 
@@ -208,11 +211,11 @@ halfvec_out = vector_out
 
 
 def sparsevec_out(v: Column) -> Column:
-    @F.pandas_udf("string")
-    def run(x: pd.DataFrame) -> pd.Series:
-        return pd.Series([None if d is None or (isinstance(d, float) and np.isnan(d)) else format_sparse({"dim": int(d), "indices": i, "values": w}) for d, i, w in zip(x["dim"], x["indices"], x["values"], strict=True)], dtype=object)
+    return _each(format_sparse, "string")(v)
+
 
-    return run(v)
+def sparsevec_send(v: Column) -> Column:
+    return _each(pack_sparse, "binary")(v)
 
 
 def vector_send(v: Column) -> Column:
@@ -252,15 +255,14 @@ def array_to_vector(a: Column, dim: int | None = None, kind: str = "vector") ->
     """From an array of integers, floats, doubles or decimals."""
     half = kind == "halfvec"
     v = F.transform(a, lambda x: x.cast("double").cast("float"))
-    limit = 65520.0 if half else float("inf")  # from here on a 16-bit float rounds to infinity
     bad = (
         F.when(F.exists(a, lambda x: x.isNull()), fail("array must not contain nulls"))
         .when(F.size(a) < 1, fail(f"{kind} must have at least 1 dimension"))
         .when(F.size(a) > VECTOR_MAX_DIM, fail(f"{kind} cannot have more than {VECTOR_MAX_DIM} dimensions"))
         .when(F.exists(v, lambda x: F.isnan(x)), fail(f"NaN not allowed in {kind}"))
-        .when(F.exists(v, lambda x: F.abs(x) >= limit), fail(f"infinite value not allowed in {kind}"))
+        .when(F.exists(v, lambda x: F.abs(x) == float("inf")), fail(f"infinite value not allowed in {kind}"))
     )
-    out = F.when(a.isNotNull(), bad.otherwise(to_half(v) if half else v))
+    out = F.when(a.isNotNull(), bad.otherwise(vector_to_halfvec(v) if half else v))
     return check_dim(out, dim) if dim else out
 
 

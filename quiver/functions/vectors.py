@@ -249,7 +249,7 @@ def _totals(df: DataFrame, v: str, by: tuple[str, ...], total) -> DataFrame:
     each = rows.select(*by, F.size(v).alias("__n"), F.posexplode(v).alias("__i", "__x"))
     sums = each.groupBy(*by, "__i").agg(total(_d(F.col("__x"))).alias("__v"), F.min("__n").alias("__lo"), F.max("__n").alias("__hi"))
     out = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__p"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
-    return out.withColumn("__p", F.when(F.col("__lo") == F.col("__hi"), F.transform("__p", lambda s: s["__v"])).otherwise(fail(F.concat(F.lit("expected "), F.col("__lo").cast("string"), F.lit(" dimensions, not "), F.col("__hi").cast("string")))))
+    return out.withColumn("__p", F.when(F.col("__lo").isNull(), F.lit(None)).when(F.col("__lo") == F.col("__hi"), F.transform("__p", lambda s: s["__v"])).otherwise(fail(F.concat(F.lit("expected "), F.col("__lo").cast("string"), F.lit(" dimensions, not "), F.col("__hi").cast("string")))))
 
 
 def _finish(df: DataFrame, by: tuple[str, ...], name: str, half: bool) -> DataFrame:
