@@ -146,8 +146,12 @@ def learn(docs: DataFrame, per_lang: int = 64, chars_each: int = 2000, chars: in
     closed, small set; the sample grows with their number alone.
     """
     known = docs.where(F.col("lang").isNotNull() & F.col("doc_id").isNotNull() & F.col("text").isNotNull())
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id")
-    ids = known.select("doc_id", "lang").distinct().withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_lang)
+    # a frequent language is ranked in parts first
+    order = [F.xxhash64("doc_id", F.lit(seed)), F.col("doc_id")]
+    parts = F.row_number().over(Window.partitionBy("lang", "part").orderBy(*order))
+    ids = known.select("doc_id", "lang").distinct().withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit(seed + 1)), F.lit(64)))
+    ids = ids.withColumn("place", parts).where(F.col("place") <= per_lang)
+    ids = ids.select("doc_id", "lang").withColumn("place", F.row_number().over(Window.partitionBy("lang").orderBy(*order))).where(F.col("place") <= per_lang)
     sample = known.join(F.broadcast(ids), ["doc_id", "lang"]).select("lang", "place", F.substring("text", 1, chars_each).alias("part")).distinct()
     texts: dict[str, str] = {}
     for r in sorted(sample.collect(), key=lambda r: (r["lang"], r["place"], r["part"])):

@@ -52,6 +52,7 @@ def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
 
 def binomial_cdf(k: Column, n: Column, p: float) -> Column:
     """P(X <= k) for X ~ Binomial(n, p), summed term by term from logarithms."""
+    k = F.least(k, n)
     odds = F.lit(p / (1 - p))
     first = n * F.log1p(F.lit(-p))
     start = F.struct(first.alias("lp"), F.exp(first).alias("c"))

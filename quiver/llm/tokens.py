@@ -65,7 +65,14 @@ class Codec:
         if self.json:
             e = self.library.encode(text, add_special_tokens=False)
             return [(i, *o) for i, o in zip(e.ids, e.offsets, strict=True)]
-        return [(p.id, p.begin, p.end) for p in self.library.encode(text, return_type="proto").pieces]
+        pieces = self.library.encode(text, return_type="proto").pieces
+        if text.isascii():
+            return [(p.id, p.begin, p.end) for p in pieces]
+        # its offsets count bytes
+        at = [0]
+        for c in text:
+            at += [at[-1]] * (len(c.encode()) - 1) + [at[-1] + 1]
+        return [(p.id, at[p.begin], at[p.end]) for p in pieces]
 
     def counts(self, texts: list[str]) -> list[int]:
         if self.json:
