@@ -31,9 +31,9 @@ from .substrings import _runs
 from .suffixes import permuted_prefixes, suffix_array
 
 ANCHOR = 64
-HOT = 2048
+HOT = 1024
 SLICE = 1 << 21
-BATCH = 1 << 20
+BATCH = 1 << 19
 _place = np.dtype([("row", "<i8"), ("first", "<u4"), ("count", "<u4"), ("anchor", "<u4")])
 """Text, first start, number of starts, place of the anchor."""
 _held = np.dtype([("hash", "<u8"), *_place.descr])
@@ -320,7 +320,7 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, with_text: bool = Tru
     if width < 2 * ANCHOR:
         raise ValueError(f"width must be {2 * ANCHOR} at least")
     rows = docs.select(known_id(F.col("doc_id")).alias("doc"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc", "text"))
-    groups = groups_for(rows)
+    groups = groups_for(rows, 4)
     bits = groups.bit_length() + 1  # four times as many shards
     answers = rows.select("row", "text").mapInArrow(_anchors(width, bits), _PACK).groupBy("bucket").applyInArrow(_repeated(groups, hot), _PACK)
     dealt = rows.withColumn("grp", F.col("row").bitwiseAND(F.lit(groups - 1)))
