@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import projection as P
-from .knn import block_distances, literal, matrix
+from .knn import QUERY_BYTES, block_distances, exact_distance, literal, matrix
 
 MAX_LISTS = 32768
 MAX_DIM = {"vector": 2000, "halfvec": 4000, "bit": 64000}
@@ -145,26 +145,58 @@ class IvfIndex:
         return out.select("id", "distance", "batch")
 
     def search_many(self, queries: DataFrame, k: int, probes: int = 1, qvec: str = "embedding", qkey: str = "id") -> DataFrame:
-        """(qid, id, distance, rank): an equi-join of queries and rows on probed lists."""
-        centers, space, r, metric = self.centers, self._space(), self.projection, self.metric
-
-        def lists(batches):
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                x = matrix(batch.column("q"))
-                if metric == "cosine":
-                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
-                d = block_distances(x if r is None else x @ r.T, centers, space)
-                near = np.argsort(d, axis=1, kind="stable")[:, :probes]
-                yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near.astype(np.int32).tolist(), pa.list_(pa.int32()))], names=["qid", "q", "near"])
+        """(qid, id, distance, rank): each query against the rows of its nearest ``probes`` lists.
 
+        Queries and their lists go out in blocks of QUERY_BYTES at most; each
+        partition of the lists streams by and keeps k rows a query, so lists
+        of any size are read where they lie.
+        """
         asked = queries.where(F.col(qvec).isNotNull()).select(F.col(qkey).cast("long").alias("qid"), F.col(qvec).cast("array<float>").alias("q"))
-        asked = asked.mapInArrow(lists, "qid long, q array<float>, near array<int>").select("qid", "q", F.explode("near").alias("list_id"))
-        d = V.DISTANCES[self.metric](F.col("vec"), F.col("q"), self.dim)
-        near = self.table().join(asked, "list_id").select("qid", "id", d.alias("distance"))
+        n = asked.count()
+        blocks = max(1, -(-(n * (self.dim * 8 + probes * 4)) // QUERY_BYTES))
+        out = None
+        for b in range(blocks):
+            mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).orderBy("qid").toArrow()
+            if mine.num_rows:
+                x = matrix(mine.column("q").combine_chunks())
+                if self.metric == "cosine":
+                    x = x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-30)
+                y = x if self.projection is None else x @ self.projection.T
+                near = np.argsort(block_distances(y, self.centers, self._space()), axis=1, kind="stable")[:, :probes]
+                part = self.table().where(F.col("list_id").isin(np.unique(near).tolist())) if blocks * probes < self.lists else self.table()
+                part = part.mapInArrow(_probe(mine.column("qid").to_numpy(), x, near, k, self.metric), "qid long, id long, distance double")
+                out = part if out is None else out.union(part)
+        if out is None:
+            out = self.table().select(F.col("id").alias("qid"), "id", F.lit(0.0).alias("distance")).limit(0)
         rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-        return near.withColumn("rank", rank).where(F.col("rank") <= k)
+        return out.withColumn("rank", rank).where(F.col("rank") <= k)
+
+
+def _probe(qids: np.ndarray, qs: np.ndarray, near: np.ndarray, k: int, metric: str, slack: int = 8):
+    asks = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
+
+    def run(batches):
+        best_d, best_i = np.full((len(qs), k), np.inf), np.zeros((len(qs), k), dtype=np.int64)
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            lists, ids, x = batch.column("list_id").to_numpy(), batch.column("id").to_numpy(), matrix(batch.column("vec"))
+            for c in np.unique(lists).tolist():
+                rows, who = np.flatnonzero(lists == c), asks.get(c, ())
+                for a in range(0, len(who), 256):
+                    w = who[a : a + 256]
+                    d = block_distances(qs[w], x[rows], metric)
+                    m = min(k + slack, d.shape[1])
+                    pick = rows[np.argpartition(d, m - 1, axis=1)[:, :m]]
+                    d = np.hstack((best_d[w], exact_distance(qs[w][:, None, :], x[pick], metric)))
+                    i = np.hstack((best_i[w], ids[pick]))
+                    order = np.lexsort((i, d), axis=1)[:, :k]
+                    best_d[w], best_i[w] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
+        kept = best_d < np.inf
+        at, _ = np.nonzero(kept)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(best_i[kept]), pa.array(best_d[kept])], names=["qid", "id", "distance"])
+
+    return run
 
 
 def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lists: int = 100, metric: str = "l2", kind: str = "vector", seed: int = 1, project: int | None = None, centers: np.ndarray | None = None) -> IvfIndex:

@@ -23,6 +23,9 @@ def literal(v: Sequence[float] | Column | None) -> Column:
 
 
 def with_distance(df: DataFrame, vec: str, query, metric: str = "l2", name: str = "distance", dim: int | None = None) -> DataFrame:
+    if metric == "cosine" and query is not None and not isinstance(query, Column):
+        known = F.lit(float(sum(float(np.float32(x)) ** 2 for x in query)))
+        return df.withColumn(name, V.cosine_distance(F.col(vec), literal(query), dim, norm2_b=known))
     return df.withColumn(name, V.DISTANCES[metric](F.col(vec), literal(query), dim))
 
 
