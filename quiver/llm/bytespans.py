@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTES, NO_ID, given_id, groups_for, known_id, mix, prefix_hashes, span_hashes
+from .common import _BYTES, given_id, groups_for, known_id, mix, prefix_hashes, span_hashes
 from .substrings import _runs
 from .suffixes import permuted_prefixes, suffix_array
 

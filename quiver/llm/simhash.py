@@ -19,7 +19,6 @@ are joined; each key's group gives a spanning forest of its links.
 from __future__ import annotations
 
 import functools
-import re
 
 import numpy as np
 import pyarrow as pa
@@ -78,9 +77,6 @@ def keys(fingerprints: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.nonzero(fresh)[0], keyed[fresh]
 
 
-_UPPER = re.compile("[A-Z]+")
-
-
 def fingerprint(text: bytes, shingle: int = 3) -> int:
     """Bits set in over half of the XXH64 hashes (seed 42) of the word shingles; 0 without words."""
     words = text.lower().split()  # bytes: only A-Z change, only ASCII white space parts

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, given_id, groups_for, known_id, prefix_hashes, slice_words, slices, text_rows, window_hashes, word_hashes, word_spans
+from .common import NO_ID, given_id, groups_for, known_id, slice_words, slices, text_rows, window_hashes, word_hashes, word_spans
 
 LOW = 7  # bytes of a hash that travel; its bucket stands for the top bits
 

@@ -3,7 +3,6 @@
 import random
 
 import numpy as np
-import pytest
 
 import corpus_pipeline
 from quiver.llm import language, toxicity
@@ -42,7 +41,6 @@ def brute_phrases(reference: str, text: str) -> int:
     n = 0
     for a in range(0, len(text), language.BLOCK):
         part, at = text[a : a + language.BLOCK], 0
-        start = 0
         while at < len(part):
             k = 0
             while at + k < len(part) and part[at : at + k + 1] in reference:
@@ -51,7 +49,6 @@ def brute_phrases(reference: str, text: str) -> int:
             if k == 0:
                 k = 1
             at += k
-        del start
     return n
 
 
@@ -119,4 +116,3 @@ def test_entry_lists_all():
     import __spark_entry__ as e
 
     assert {f"op{n}" for n in range(1, 11)} <= {q.split("_")[0] for q in e.queries()} and "pipeline" in e.queries()
-    assert pytest is not None
