@@ -11,7 +11,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quiver.llm import decontaminate, lines, mixing, rules, simhash
+from quiver.llm import decontaminate, lines, mixing, rules, similar
 from quiver.llm.common import cut, read
 from quiver.shipping import ship
 
@@ -33,9 +33,9 @@ def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the smallest doc_id stays."""
+    """Of each group of texts that five-word shingles link at a similarity of 0.8 or more, the smallest doc_id stays."""
     ship(spark)
-    return simhash.keep_first(docs.select(*COLUMNS))
+    return similar.keep_first(docs.select(*COLUMNS))
 
 
 def benchmark_decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -53,7 +53,7 @@ def source_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 STAGES = [("quality rules", quality_rules), ("line dedup", line_dedup), ("simhash near-dedup", near_dedup), ("benchmark decontamination", benchmark_decontamination), ("source mixing", source_mixing)]
 
 ORACLE_SQL = None
-"""SimHash fingerprints and string tiling have no SQL; the tests hold the stages against brute force."""
+"""Near duplicates and string tiling have no SQL; the tests hold the stages against brute force."""
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
