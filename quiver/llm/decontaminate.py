@@ -113,9 +113,12 @@ def _document(i, hit, words, w, sh, owner, h, token, items, least, threshold):
             by_item.setdefault(k, []).append(p)
     for k, at in by_item.items():
         n = len(token[k])
-        own = np.unique(window_hashes(token[k], w))
-        if min(n, w * len(np.intersect1d(own, h[at]))) < threshold * n:
-            continue  # what its seeds cover at most
+        inside = np.zeros(n + 1, dtype=np.int64)
+        places = np.flatnonzero(np.isin(window_hashes(token[k], w), h[at]))
+        inside[places] += 1
+        inside[places + w] -= 1
+        if np.count_nonzero(np.cumsum(inside[:n])) < threshold * n:
+            continue  # what its seeds cover at most, a repeated seed at each of its places
         cover = np.unique((np.array(at)[:, None] + np.arange(w)).ravel())
         gaps = np.flatnonzero(np.diff(cover) > 1) + 1
         parts = np.split(words[cover], gaps)

@@ -303,6 +303,16 @@ def test_leaks(spark):
     assert decontaminate.leaks(docs, bench.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("item", ["one two three four five six seven eight nine ten " * 10, "again " * 20, "a b " * 7 + "a"])
+def test_leaks_of_repetitive_items(spark, item):
+    """A seed covers the item at each place where it occurs."""
+    docs = spark.createDataFrame([(1, "before that " + item + " after that"), (2, "before that after that"), (3, item[: len(item) // 3])], "doc_id long, text string")
+    bench = spark.createDataFrame([(10, item)], "item_id long, text string")
+    got = [(r.doc_id, r.item_id, r.coverage, r.tiles) for r in decontaminate.leaks(docs, bench).collect()]
+    assert got == [(1, 10, 1.0, 1)]
+    assert sorted(r.doc_id for r in decontaminate.drop_leaked(docs, bench).collect()) == [2, 3]
+
+
 def base(t: str):
     w = WORD.findall(t)
     n = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
