@@ -16,7 +16,7 @@ import math
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, known_id, mix, prefix_hashes, slice_words, slices, span_hashes, text_rows, window_hashes
@@ -29,6 +29,7 @@ BITS = TABLES * 23 + CHECK
 SIGMAS = 3.5
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 64 << 20
+CELL = 1024
 
 
 def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
@@ -82,6 +83,11 @@ def _sketches(width: int):
     return run
 
 
+def _bits() -> Column:
+    """The segments and check bits of a sketch."""
+    return F.substring("sketch", 8 * TABLES + 1, 4 * TABLES + CHECK // 8)
+
+
 def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(len(column), -1)
 
@@ -112,6 +118,18 @@ def _rows(key, node, other, word):
     return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(x).view(np.int64), pa.int64()) for x in (key, node, other, *word.T)], names=["key", "node", "other", "w0", "w1"])
 
 
+def _keys_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(key, row) for the keys of all sketches."""
+    segments = np.ascontiguousarray(s[:, TABLES : TABLES + TABLES // 2]).view("<u4")
+    keys, rows = [], []
+    for t in range(TABLES):
+        k = indices(segments[:, t])
+        row, col = np.nonzero(np.concatenate((np.ones((len(k), 1), dtype=bool), k[:, 1:] != k[:, :1]), axis=1))
+        keys.append(mix(s[row, t] ^ k[row, col].astype(np.uint64)))
+        rows.append(row)
+    return np.concatenate(keys), np.concatenate(rows)
+
+
 def _fuzzy_keys(most: int, same: int):
     """Rows (key, node, node, check words), combined within the batch first; candidates found there travel as (any key, a, b, 0, 0)."""
 
@@ -120,14 +138,7 @@ def _fuzzy_keys(most: int, same: int):
             for i in range(0, batch.num_rows, 4096):
                 part = batch.slice(i, 4096)
                 node, s = part.column("node").to_numpy(), _words(part.column("sketch"))
-                segments = np.ascontiguousarray(s[:, TABLES : TABLES + TABLES // 2]).view("<u4")
-                keys, rows = [], []
-                for t in range(TABLES):
-                    k = indices(segments[:, t])
-                    row, col = np.nonzero(np.concatenate((np.ones((len(k), 1), dtype=bool), k[:, 1:] != k[:, :1]), axis=1))
-                    keys.append(mix(s[row, t] ^ k[row, col].astype(np.uint64)))
-                    rows.append(row)
-                key, row = np.concatenate(keys), np.concatenate(rows)
+                key, row = _keys_of(s)
                 order = np.argsort(key, kind="stable")
                 key, row = key[order], row[order]
                 word = s[row, TABLES + TABLES // 2 : TABLES + TABLES // 2 + 2]
@@ -162,9 +173,14 @@ def _candidates(most: int, same: int):
     return run
 
 
+def _doubt(least: float) -> float:
+    """How far an estimate by all bits may be off."""
+    return SIGMAS * 2 * math.sqrt((1 - least) / 2 * (1 + least) / 2 / BITS)
+
+
 def _judged(least: float):
     """Keeps candidates that may reach ``least``; ``sure`` where all bits leave no doubt."""
-    wide = SIGMAS * 2 * math.sqrt((1 - least) / 2 * (1 + least) / 2 / BITS)
+    wide = _doubt(least)
 
     def run(batches):
         for batch in batches:
@@ -178,6 +194,82 @@ def _judged(least: float):
     return run
 
 
+def _key_roots(batches):
+    """All keys of all nodes."""
+    for batch in batches:
+        for i in range(0, batch.num_rows, 4096):
+            part = batch.slice(i, 4096)
+            key, row = _keys_of(_words(part.column("sketch")))
+            node, root = (part.column(c).to_numpy()[row] for c in ("node", "root"))
+            yield pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(node), pa.array(root)], names=["key", "node", "root"])
+
+
+def _across(least: float):
+    """Streams rows sorted by cell and side; pairs of different roots that may reach ``least``. Side 0 meets side 1, side 2 itself."""
+    wide = _doubt(least)
+    columns = ("cell", "side", "node", "root")
+
+    def pairs(side, node, root, bits):
+        a, b, about = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+        for x in range(len(node)):
+            if side[x] == 1:
+                break
+            others = np.arange(x + 1, len(node)) if side[x] == 2 else np.flatnonzero(side == 1)
+            others = others[root[others] != root[x]]
+            near = 1 - 2 * np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64) / BITS
+            may = near >= least - wide
+            a.append(np.repeat(node[x], may.sum()))
+            b.append(node[others[may]])
+            about.append(near[may])
+        a, b, about = np.concatenate(a), np.concatenate(b), np.concatenate(about)
+        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(about >= least + wide)], names=["a", "b", "sure"])
+
+    def run(batches):
+        held = None
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            rows = [*(batch.column(c).to_numpy() for c in columns), _words(batch.column("bits"))]
+            if held is not None:
+                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
+            edges = [0, *(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1).tolist()]
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                yield pairs(*(x[i:j] for x in rows[1:]))
+            held = [x[edges[-1] :] for x in rows]
+        if held is not None:
+            yield pairs(*held[1:])
+
+    return run
+
+
+def _skipped(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
+    """(a, b, sure): pairs with a common key whose components differ still, all of them.
+
+    Only keys with more than one component take part. In such a key the rows
+    of the largest component meet all others, and the others meet one another,
+    in cells of about ``CELL`` rows a side, so no task takes a whole large key.
+    """
+    now = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch"))
+    keyed = now.mapInArrow(_key_roots, "key long, node long, root long")
+    mixed = cut(keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"))
+    few = mixed.count() * 8 <= SMALL
+    rows = cut(keyed.join(F.broadcast(mixed) if few else mixed, "key", "left_semi"))
+    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    sizes = sizes.select("key", F.col("top.root").alias("big"), F.ceil(F.col("top.n") / CELL).alias("c1"), F.ceil((F.col("all") - F.col("top.n")) / CELL).alias("c2"))
+    at = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
+    upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
+    cell = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
+    of_big = F.transform(upto("c2"), lambda g: cell(0, at("c1"), g, F.lit(0)))
+    with_big = F.transform(upto("c1"), lambda g: cell(0, g, at("c2"), F.lit(1)))
+    with_rest = F.transform(upto("c2"), lambda g: cell(1, F.least(g, at("c2")), F.greatest(g, at("c2")), F.when(g == at("c2"), 2).when(g < at("c2"), 1).otherwise(0)))
+    dealt = rows.join(sizes, "key").select("node", "root", F.explode(F.when(F.col("root") == F.col("big"), of_big).otherwise(F.concat(with_big, with_rest))).alias("at"))
+    bits = now.select("node", _bits().alias("bits"))
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = dealt.select("node", "root", "at.cell", "at.side").join(bits, "node").repartition(parts, "cell").sortWithinPartitions("cell", "side", "node")
+    return dealt.mapInArrow(_across(least), "a long, b long, sure boolean").distinct()
+
+
 def _sets(width: int):
     def run(batches):
         for batch in batches:
@@ -203,6 +295,10 @@ def _verified(docs: DataFrame, nodes: DataFrame, doubtful: DataFrame, width: int
     return pairs.where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
+def _stars(roots: DataFrame) -> DataFrame:
+    return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
+
+
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
     """(doc, node, component_id) per row of ``docs``: texts link at a Jaccard similarity of ``least`` or more of their ``shingle``-word shingles.
 
@@ -212,9 +308,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     doc_id reachable over links. Null doc_id: NO_ID, one document, smaller
     than all others. Repeated rows keep their rows. Texts of equal words are
     one ``node``. Within a key, a row whose bits put it clearly above
-    ``least`` with its leader isn't compared with further rows: links show up
-    as paths over leaders. A text close to ``least`` whose only partner stands
-    behind such a leader in every shared key can be missed.
+    ``least`` with its leader isn't compared with further rows at first: links
+    show up as paths over leaders. Where a key has several components after
+    that, all its rows of different components are compared.
     """
     differ, sigma = FIRST * (1 - least) / 2, math.sqrt(FIRST * (1 - least) * (1 + least)) / 2
     same, most = math.floor(differ - 1.5 * sigma), math.ceil(differ + 2.7 * sigma)
@@ -223,9 +319,8 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = nodes.select("node", "sketch").mapInArrow(_fuzzy_keys(most, same), "key long, node long, other long, w0 long, w1 long")
     pairs = keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_candidates(most, same), "a long, b long").distinct()
-    bits = F.substring("sketch", 8 * TABLES + 1, 4 * TABLES + CHECK // 8)
     for c, s in (("a", "x"), ("b", "y")):
-        pairs = pairs.join(nodes.select(F.col("node").alias(c), bits.alias(s)), c)
+        pairs = pairs.join(nodes.select(F.col("node").alias(c), _bits().alias(s)), c)
     judged = cut(pairs.mapInArrow(_judged(least), "a long, b long, sure boolean"))
     sure = judged.where("sure").select("a", "b")
     roots = components(sure)
@@ -234,7 +329,12 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
         doubtful = doubtful.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
     doubtful = cut(doubtful.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
     # the stars of the first pass stand for all its links
-    roots = components(roots.select(F.col("node").alias("a"), F.col("root").alias("b")).union(_verified(docs, nodes, doubtful, shingle, least)))
+    roots = components(_stars(roots).union(_verified(docs, nodes, doubtful, shingle, least)))
+    # what leaders hid from one another
+    more = cut(_skipped(nodes, roots, least).join(doubtful, ["a", "b"], "left_anti"))
+    if not more.isEmpty():
+        unsure = more.where(~F.col("sure")).select("a", "b")
+        roots = components(_stars(roots).union(more.where("sure").select("a", "b")).union(_verified(docs, nodes, unsure, shingle, least)))
     least_of = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     tops = least_of.groupBy("root").agg(F.min("doc").alias("component_id"))
     return found.select("doc", "node").join(least_of.select("node", "root").join(tops, "root").select("node", "component_id"), "node")

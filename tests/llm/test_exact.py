@@ -195,6 +195,24 @@ def test_similar_at_the_threshold(spark, monkeypatch):
     assert sorted(norm(similar.similar_documents(docs).collect(), "doc", "component_id")) == sorted(got)
 
 
+@pytest.mark.parametrize("cell", [1024, 16])
+def test_similar_behind_leaders(spark, monkeypatch, cell):
+    """One large group around the threshold: no text whose partner stands behind a nearer leader is lost, in small cells too."""
+    monkeypatch.setattr(similar, "CELL", cell)
+    rng = np.random.default_rng(5)
+    word = lambda: "".join(rng.choice(list("abcdefghijklmnop"), 5))
+    texts = []
+    for base, copies in ((400, 150), *((int(n), 3) for n in rng.integers(20, 900, 40))):
+        first = [word() for _ in range(base)]
+        for _ in range(copies):
+            w = list(first)
+            for k in rng.choice(base, int(rng.integers(0, 1 + base // 35)), replace=False):
+                w[k] = word()
+            texts.append((len(texts), " ".join(w)))
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(7)
+    same(norm(similar.similar_documents(docs).collect(), "doc", "component_id"), classes(texts))
+
+
 def test_min_wise_bits():
     """Samples agree as often as shingles; short and long sets fill all cells."""
     rng = np.random.default_rng(2)
