@@ -27,6 +27,8 @@ TABLES, WHOLE, CHECK, FIRST = 12, 2, 256, 128
 SAMPLES = TABLES * (23 + WHOLE) + CHECK
 BITS = TABLES * 23 + CHECK
 SIGMAS = 3.5
+GATE = 5.0
+"""Of the first check bits; they are the same for all tables, so it is wider than that of all bits."""
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 64 << 20
 CELL = 1024
@@ -173,6 +175,12 @@ def _candidates(most: int, same: int):
     return run
 
 
+def _limits(least: float) -> tuple[int, int]:
+    """Of the first check bits: so few differ clearly above ``least``, so many at ``least`` at most."""
+    differ, sigma = FIRST * (1 - least) / 2, math.sqrt(FIRST * (1 - least) * (1 + least)) / 2
+    return math.floor(differ - 1.5 * sigma), math.ceil(differ + GATE * sigma)
+
+
 def _doubt(least: float) -> float:
     """How far an estimate by all bits may be off."""
     return SIGMAS * 2 * math.sqrt((1 - least) / 2 * (1 + least) / 2 / BITS)
@@ -312,8 +320,7 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     show up as paths over leaders. Where a key has several components after
     that, all its rows of different components are compared.
     """
-    differ, sigma = FIRST * (1 - least) / 2, math.sqrt(FIRST * (1 - least) * (1 + least)) / 2
-    same, most = math.floor(differ - 1.5 * sigma), math.ceil(differ + 2.7 * sigma)
+    same, most = _limits(least)
     found = cut(text_rows(docs).mapInArrow(_sketches(shingle), "doc long, node long, sketch binary"))
     nodes = cut(found.groupBy("node").agg(F.min("doc").alias("doc"), F.min("sketch").alias("sketch")))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -1,6 +1,7 @@
 """Operators with an exact result, held against brute force."""
 
 import hashlib
+import math
 import re
 from collections import Counter, defaultdict
 
@@ -213,6 +214,15 @@ def test_similar_behind_leaders(spark, monkeypatch, cell):
     same(norm(similar.similar_documents(docs).collect(), "doc", "component_id"), classes(texts))
 
 
+def test_similar_gate_is_no_weaker_than_the_judgement():
+    """Of pairs with a similarity of 0.8, next to none differ in more of the first check bits than the gate lets by."""
+    seen = similar._limits(0.8)[1]
+    n, tail = similar.FIRST, 0.0
+    for k in range(seen + 1, n + 1):
+        tail += math.comb(n, k) * 0.1**k * 0.9 ** (n - k)
+    assert tail < 0.0001
+
+
 def test_min_wise_bits():
     """Samples agree as often as shingles; short and long sets fill all cells."""
     rng = np.random.default_rng(2)
