@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, known_id, mix, prefix_hashes, slice_words, slices, span_hashes, text_rows, window_hashes
+from .common import NO_ID, cut, known_id, mix, prefix_hashes, row_in, slice_words, slices, span_hashes, text_rows, window_hashes
 from .components import components
 from .simhash import indices
 
@@ -76,11 +76,13 @@ def sketch(hashes: np.ndarray) -> np.ndarray:
 def _sketches(width: int):
     def run(batches):
         for batch in batches:
+            first = 0
             for ids, texts in slices(batch):
+                row, first = batch.column("row").slice(first, len(ids)), first + len(ids)
                 words, at = slice_words([t.lower() for t in texts])  # bytes: only A-Z change
                 parts = [words[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
                 nodes = pa.array([node_of(w) for w in parts], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), nodes, pa.array([sketch(shingles_of(w, width)).tobytes() for w in parts], pa.binary())], names=["doc", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), row, nodes, pa.array([sketch(shingles_of(w, width)).tobytes() for w in parts], pa.binary())], names=["doc", "row", "node", "sketch"])
 
     return run
 
@@ -293,9 +295,9 @@ def _sets(width: int):
 def _verified(docs: DataFrame, nodes: DataFrame, doubtful: DataFrame, width: int, least: float) -> DataFrame:
     """The pairs whose shingles reach ``least``; only their documents are read again."""
     wanted = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("doc").alias("__doc")).distinct())
-    few = ids.count() * 8 <= SMALL
-    texts = text_rows(docs).join(F.broadcast(ids) if few else ids, known_id(F.col("doc_id")) == F.col("__doc"), "left_semi")
+    ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct())
+    few = ids.count() * 16 <= SMALL
+    texts = text_rows(docs).join(F.broadcast(ids) if few else ids, (known_id(F.col("doc_id")) == F.col("__doc")) & (row_in(F.col("text")) == F.col("__row")), "left_semi")
     sets = texts.mapInArrow(_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
     x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
     both = F.size(F.array_intersect("x", "y"))
@@ -307,22 +309,16 @@ def _stars(roots: DataFrame) -> DataFrame:
     return roots.select(F.col("node").alias("a"), F.col("root").alias("b"))
 
 
-def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """(doc, node, component_id) per row of ``docs``: texts link at a Jaccard similarity of ``least`` or more of their ``shingle``-word shingles.
+def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
+    rows = text_rows(docs).withColumn("row", row_in(F.col("text")))
+    return cut(rows.mapInArrow(_sketches(shingle), "doc long, row long, node long, sketch binary"))
 
-    Words are parted by ASCII white space, A-Z lower-cased; shingles count
-    once. Fewer words: one shingle of all. Null or empty texts, or those
-    without words, link with one another only. component_id is the smallest
-    doc_id reachable over links. Null doc_id: NO_ID, one document, smaller
-    than all others. Repeated rows keep their rows. Texts of equal words are
-    one ``node``. Within a key, a row whose bits put it clearly above
-    ``least`` with its leader isn't compared with further rows at first: links
-    show up as paths over leaders. Where a key has several components after
-    that, all its rows of different components are compared.
-    """
+
+def _grouped(docs: DataFrame, found: DataFrame, shingle: int, least: float) -> DataFrame:
+    """(node, doc, row, root) per distinct text of ``found``: its first document and row, and its component."""
     same, most = _limits(least)
-    found = cut(text_rows(docs).mapInArrow(_sketches(shingle), "doc long, node long, sketch binary"))
-    nodes = cut(found.groupBy("node").agg(F.min("doc").alias("doc"), F.min("sketch").alias("sketch")))
+    nodes = found.groupBy("node").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("sketch").alias("sketch"))
+    nodes = cut(nodes.select("node", "first.doc", "first.row", "sketch"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = nodes.select("node", "sketch").mapInArrow(_fuzzy_keys(most, same), "key long, node long, other long, w0 long, w1 long")
     pairs = keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_candidates(most, same), "a long, b long").distinct()
@@ -342,13 +338,41 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     if not more.isEmpty():
         unsure = more.where(~F.col("sure")).select("a", "b")
         roots = components(_stars(roots).union(more.where("sure").select("a", "b")).union(_verified(docs, nodes, unsure, shingle, least)))
-    least_of = nodes.select("node", "doc").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.select("node", "doc", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
+    """(doc, node, component_id) per row of ``docs``: texts link at a Jaccard similarity of ``least`` or more of their ``shingle``-word shingles.
+
+    Words are parted by ASCII white space, A-Z lower-cased; shingles count
+    once. Fewer words: one shingle of all. Null or empty texts, or those
+    without words, link with one another only. component_id is the smallest
+    doc_id reachable over links. Null doc_id: NO_ID, one document, smaller
+    than all others. Repeated rows keep their rows. Texts of equal words are
+    one ``node``. Within a key, a row whose bits put it clearly above
+    ``least`` with its leader isn't compared with further rows at first: links
+    show up as paths over leaders. Where a key has several components after
+    that, all its rows of different components are compared.
+    """
+    found = _sketched(docs, shingle)
+    least_of = _grouped(docs, found, shingle, least)
     tops = least_of.groupBy("root").agg(F.min("doc").alias("component_id"))
     return found.select("doc", "node").join(least_of.select("node", "root").join(tops, "root").select("node", "component_id"), "node")
 
 
 def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, all columns kept. Of rows with one doc_id, the one of the smallest text hash stays."""
-    stay = similar_documents(docs, shingle, least).where(F.col("doc") == F.col("component_id")).select(F.col("doc").alias("__doc")).distinct()
-    rows = docs.select(known_id(F.col("doc_id")).alias("__doc"), F.struct(*docs.columns).alias("__row")).join(stay, "__doc", "left_semi")
-    return rows.groupBy("__doc").agg(F.min_by("__row", F.xxhash64("__row.text")).alias("__row")).select("__row.*")
+    """One row of each group of similar texts, that of its smallest doc_id and text hash, all columns kept.
+
+    A known doc_id is one document: of its rows the one of the smallest text
+    hash stands for it, the others neither stay nor link. Rows with a null
+    doc_id are judged each by its own text. No group of the rows that are left
+    goes whole.
+    """
+    found = _sketched(docs, shingle)
+    again = found.where(F.col("doc") != F.lit(NO_ID)).groupBy("doc").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
+    again = cut(again.where("lo != hi").select("doc", "lo"))
+    if not again.isEmpty():
+        found = cut(found.join(again, "doc", "left").where("lo is null or row = lo").drop("lo"))
+    stay = _grouped(docs, found, shingle, least).groupBy("root").agg(F.min(F.struct("doc", "row")).alias("top")).select(F.col("top.doc").alias("__doc"), F.col("top.row").alias("__hash"))
+    rows = docs.select(known_id(F.col("doc_id")).alias("__doc"), row_in(F.col("text").cast("string")).alias("__hash"), F.struct(*docs.columns).alias("__row")).join(stay, ["__doc", "__hash"], "left_semi")
+    return rows.groupBy("__doc", "__hash").agg(F.any_value("__row").alias("__row")).select("__row.*")

@@ -223,6 +223,17 @@ def test_similar_gate_is_no_weaker_than_the_judgement():
     assert tail < 0.0001
 
 
+def test_keep_first_of_null_and_repeated_ids(spark):
+    """Rows of a null doc_id are judged each by its own text; a group keeps a text where one doc_id has several."""
+    text = lambda k: " ".join(f"w{k}x{j}" for j in range(40))
+    rows = [(None, text(k)) for k in range(6)] + [(None, text(0)), (5, text(1)), (9, text(9))]
+    got = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((ident(r.doc_id), r.text) for r in got) == sorted([(LOW, text(k)) for k in range(6)] + [(9, text(9))])
+    rows = [(8, text(20)), (8, text(21)), (508, text(20)), (509, text(21))]
+    got = similar.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in got) == [text(20), text(21)] and 8 in {r.doc_id for r in got}
+
+
 def test_min_wise_bits():
     """Samples agree as often as shingles; short and long sets fill all cells."""
     rng = np.random.default_rng(2)
