@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from .knn import exact_distance, matrix
 
 SAME_KEY_LIMIT = 10
-"""Rows with one vector that a search returns for it."""
+"""Rows with one vector that a search returns for it, for each of ``ef``; iterative scans return all."""
 
 
 @dataclass
@@ -130,7 +130,8 @@ class Graph:
                 if iterative == "strict_order" and d < last:
                     continue
                 last = max(last, d)
-                out += [(d, r) for r in self.ids[i][:SAME_KEY_LIMIT] if keep is None or r in keep]
+                rows = self.ids[i] if iterative != "off" else self.ids[i][: SAME_KEY_LIMIT * ef]
+                out += [(d, r) for r in rows if keep is None or r in keep]
             if iterative == "off" or len(out) >= k or read >= max_tuples or not left:
                 break
             start = heapq.nsmallest(ef, set(left))

@@ -112,6 +112,16 @@ def test_hnsw_recall_and_duplicates(spark, cloud, tmp_path):
         hnsw.build(cloud, str(tmp_path / "x"), "v", m=16, ef_construction=31)
 
 
+def test_hnsw_finds_all_copies():
+    g, rng = hnsw.Graph(), np.random.default_rng(1)
+    for i in range(1000):
+        g.add(i, np.ones(3), rng.random())
+    for i in range(1000, 1100):
+        g.add(i, 2 + rng.random(3), rng.random())
+    assert all(r < 1000 for _, r in g.search(np.ones(3), 40, 100)) and len(g.search(np.ones(3), 2, 20)) == 20
+    assert [r for _, r in g.search(np.ones(3), 1, 3, "strict_order", {500, 700, 999})] == [500, 700, 999]
+
+
 def test_hnsw_iterative():
     g, rng = hnsw.Graph(), np.random.default_rng(1)
     x = rng.random((600, 3))
