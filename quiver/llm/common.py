@@ -1,8 +1,10 @@
 """Shared pieces: text slices, rolling hashes in numpy, cutting of lineage.
 
-Words are runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``. All hashes are
-64-bit polynomials modulo 2**64 over randomised byte values with a final mix;
-two different sequences agree with a chance of about 2**-57 or less.
+Words are runs of bytes other than ``\\x20`` and ``\\x09-\\x0D``. Rolling hashes
+are 64-bit polynomials modulo 2**64 over randomised values with a final mix.
+Modulo a power of two, certain strings of 1,024 values and more collide for
+every base (complementary Thue-Morse strings), so words of over LONG bytes are
+hashed by XXH64 instead, and nothing is removed by a rolling hash of words alone.
 """
 
 from __future__ import annotations
@@ -12,6 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -123,7 +126,8 @@ def word_spans(buf: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarra
     return edges[::2], edges[1::2]
 
 
-PIECE = 1 << 22
+PIECE = 1 << 20
+LONG = 64
 
 
 def word_hashes(text: bytes, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray, np.ndarray]:
@@ -138,7 +142,10 @@ def word_hashes(text: bytes, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray,
             end = min(len(buf), end + (int(more[0]) if len(more) else PIECE))
         part = buf[at:end]
         starts, ends = word_spans(part, space)
-        hashes.append(span_hashes(prefix_hashes(_BYTES[part]), starts, ends))
+        h = span_hashes(prefix_hashes(_BYTES[part]), starts, ends)
+        for k in np.flatnonzero(ends - starts > LONG).tolist():
+            h[k] = xxhash.xxh64_intdigest(part[starts[k] : ends[k]])
+        hashes.append(h)
         offsets.append(starts + at)
         at = end
     if not hashes:
@@ -146,7 +153,7 @@ def word_hashes(text: bytes, space: np.ndarray = IS_SPACE) -> tuple[np.ndarray,
     return np.concatenate(hashes), np.concatenate(offsets)
 
 
-def slices(batch: pa.RecordBatch, limit: int = PIECE) -> Iterator[tuple[np.ndarray, list[bytes]]]:
+def slices(batch: pa.RecordBatch, limit: int = 4 << 20) -> Iterator[tuple[np.ndarray, list[bytes]]]:
     """Ids (NO_ID for null) and texts (empty for null) of rows, about ``limit`` bytes at a time."""
     ids = batch.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_numpy(zero_copy_only=False)
     texts, size, first = [], 0, 0

@@ -1,11 +1,19 @@
 """Substring dedup: Rabin-Karp hashes of every window of ``width`` words.
 
-Each slice of documents hashes all its windows and deals the hashes out by
-their top bits, packed: a window that a smaller document of the slice holds
-too is settled there, so a hot window sends one entry a slice. A bucket finds
-the smallest document of each hash and answers per group of documents with
-the hashes that go. The answers meet the texts, whose repeated windows merge
-into maximal removal intervals.
+Texts are dealt to groups by a hash of id and text; a group is one task's work.
+
+1. A group hashes all its windows and sends each distinct hash once, with a
+   mark where several of its documents hold it, to the bucket of the hash's
+   top bits: 4 bytes a window, no ids. A bucket counts the groups of each hash
+   and answers every group with those of its hashes that occur again. So a hot
+   window is one entry a group.
+2. Only these candidates are read as words: a group sends the BLAKE2b digest of
+   each distinct one with the smallest document that holds it. A bucket finds
+   the smallest document of all and answers the groups that hold larger ones.
+   Windows are the same when their digests (96 bits) are; a rolling hash alone
+   removes nothing.
+3. The answers meet the texts, whose repeated windows merge into maximal
+   removal intervals.
 """
 
 from __future__ import annotations
@@ -15,165 +23,269 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, given_id, groups_for, known_id, slice_words, slices, text_rows, window_hashes, word_hashes, word_spans
+from .common import given_id, groups_for, known_id, window_hashes, word_hashes, word_spans
 
-LOW = 7  # bytes of a hash that travel; its bucket stands for the top bits
+LOW = 32
+"""Bits of a hash that travel; its bucket stands for the top bits. A bucket gets about 2**20 windows, so one in 2**12 is read in vain."""
+SLICE = 1 << 21
+"""Bytes of text whose windows are hashed at once."""
+_candidate = np.dtype([("doc", "<i8"), ("key", "<u8"), ("d0", "<u8"), ("d1", "<u4"), ("many", "?")])
+"""Smallest document of a group that holds a window; top and low bits of its hash; its digest; whether other documents of the group hold it."""
+_owner = np.dtype([("doc", "<i8"), ("key", "<u8"), ("d0", "<u8"), ("d1", "<u4")])
+_PACK = "bucket long, grp long, part binary"
+_pack_schema = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("part", pa.binary())])
 
 
-def _pack(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray) -> bytes:
-    """owner: sorted indexes into ids."""
-    held, counts = np.unique(owner, return_counts=True)
-    low = np.ascontiguousarray(hashes.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :LOW])
-    return b"".join((np.uint32(len(held)).tobytes(), ids[held].astype("<i8").tobytes(), counts.astype("<u4").tobytes(), low.tobytes()))
+def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
+    if len(x):
+        edges = np.flatnonzero(x[1:] != x[:-1]) + 1
+        yield from zip([0, *edges], [*edges, len(x)], strict=True)
 
 
-def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Ids, number of hashes of each, hashes."""
-    n = int(np.frombuffer(data, "<u4", 1)[0])
-    ids, counts = np.frombuffer(data, "<i8", n, 4), np.frombuffer(data, "<u4", n, 4 + 8 * n)
-    low = np.frombuffer(data, np.uint8, offset=4 + 12 * n).reshape(-1, LOW)
-    out = np.zeros((len(low), 8), dtype=np.uint8)
-    out[:, :LOW] = low
-    return ids, counts, out.view("<u8").ravel()
+def _table(out: list[tuple[int, int, bytes]]) -> pa.Table:
+    columns = zip(*out, strict=True) if out else ([], [], [])
+    return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(columns, _pack_schema.types, strict=True)], schema=_pack_schema)
 
 
-def _group(i: int, groups: int) -> int:
-    """As pmod(xxhash64(doc_id), groups) in Spark."""
-    return xxhash.xxh64_intdigest(int(i).to_bytes(8, "little", signed=True), 42) % groups  # groups: a power of two
+def pack_sorted(keys: np.ndarray) -> bytes:
+    """Sorted 32-bit values as differences, byte plane by byte plane: the empty planes of small differences compress away."""
+    steps = np.diff(keys.astype(np.int64), prepend=0).astype("<u4")
+    return steps.view(np.uint8).reshape(-1, 4).T.tobytes()
 
 
-def _by_group(ids: np.ndarray, owner: np.ndarray, hashes: np.ndarray, groups: int) -> Iterator[tuple[int, bytes]]:
-    held, inverse = np.unique(owner, return_inverse=True)
-    g = np.array([_group(i, groups) for i in ids[held]], dtype=np.int64)[inverse]
-    order = np.lexsort((owner, g))
-    g, owner, hashes = g[order], owner[order], hashes[order]
-    for a, b in _runs(g):
-        yield int(g[a]), _pack(ids, owner[a:b], hashes[a:b])
+def unpack_sorted(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(data, np.uint8).reshape(4, -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view("<u4").ravel(), dtype=np.uint64)
 
 
-def _runs(x: np.ndarray) -> Iterator[tuple[int, int]]:
-    if len(x):
-        edges = np.flatnonzero(x[1:] != x[:-1]) + 1
-        yield from zip([0, *edges], [*edges, len(x)], strict=True)
+def pack_columns(records: np.ndarray) -> bytes:
+    """A record array column by column."""
+    return b"".join(np.ascontiguousarray(records[c]).tobytes() for c in records.dtype.names)
 
 
-def _repeated(hashes: np.ndarray, ids: np.ndarray) -> np.ndarray:
-    """True where a smaller id has the same hash."""
-    out = np.zeros(len(hashes), dtype=bool)
-    s = np.sort(hashes)
-    twice = np.unique(s[1:][s[1:] == s[:-1]])
-    if len(twice):
-        sub = np.flatnonzero(twice[np.minimum(np.searchsorted(twice, hashes), len(twice) - 1)] == hashes)
-        h, d = hashes[sub], ids[sub]
-        order = np.lexsort((d, h))
-        h, d = h[order], d[order]
-        first = np.concatenate(([True], h[1:] != h[:-1]))
-        least = d[np.flatnonzero(first)][np.cumsum(first) - 1]
-        out[sub[order]] = d > least
+def unpack_columns(data: bytes, kind: np.dtype) -> np.ndarray:
+    out = np.empty(len(data) // kind.itemsize, dtype=kind)
+    at = 0
+    for c in kind.names:
+        out[c] = np.frombuffer(data, kind[c], len(out), at)
+        at += len(out) * kind[c].itemsize
     return out
 
 
-def _windows(width: int, bits: int, groups: int):
-    schema = pa.schema([("bucket", pa.int64()), ("part", pa.binary())])
-
-    def run(batches):
-        for batch in batches:
-            for ids, texts in slices(batch, 8 << 20):
-                words, at = slice_words(texts)
-                hashes = window_hashes(words, width)
-                n = np.maximum(0, np.diff(at) - width + 1)
-                owner = np.repeat(np.arange(len(ids)), n)
-                if not len(owner):
-                    continue
-                hashes = hashes[np.repeat(at[:-1] - np.cumsum(n) + n, n) + np.arange(len(owner))]
-                goes = _repeated(hashes, ids[owner])
-                out = [(-1 - g, p) for g, p in _by_group(ids, owner[goes], hashes[goes], groups)]
-                hashes, owner = hashes[~goes], owner[~goes]
-                bucket = (hashes >> np.uint64(64 - bits)).astype(np.uint16 if bits <= 16 else np.uint64)
-                order = np.argsort(bucket, kind="stable")
-                hashes, owner, bucket = hashes[order], owner[order], bucket[order]
-                out += [(int(bucket[a]), _pack(ids, owner[a:b], hashes[a:b])) for a, b in _runs(bucket)]
-                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], schema=schema)
+def _texts(docs: pa.Table) -> Iterator[tuple[int, bytes]]:
+    for batch in docs.to_batches():
+        texts = batch.column("text").cast(pa.large_binary())
+        for i, t in zip(batch.column("doc").to_pylist(), texts, strict=True):
+            yield i, t.as_py() or b""
+
+
+def _keys(texts: list[tuple[int, bytes]], width: int, bits: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Document, text, top and low bits of its windows' hashes; about SLICE bytes are hashed at once."""
+    held, size = [], 0
+    for k, (i, t) in enumerate(texts):
+        held.append((i, t))
+        size += len(t) + 1
+        if size >= SLICE or k + 1 == len(texts):
+            words, at = word_hashes(b"\n".join(t for _, t in held))
+            begin = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for _, t in held)]))
+            hashes = window_hashes(words, width) >> np.uint64(64 - bits - LOW)
+            for (doc, text), a, b in zip(held, begin[:-1].tolist(), begin[1:].tolist(), strict=True):
+                yield doc, text, hashes[a : max(a, b - width + 1)]
+            held, size = [], 0
+
+
+def _digests(text: bytes, at: np.ndarray, width: int) -> np.ndarray:
+    """12 bytes for each window that begins at a word of ``at``: [i, 0] a 64-bit, [i, 1] a 32-bit number."""
+    words = text.split()
+    ends = np.cumsum([len(w) + 1 for w in words])
+    plain = memoryview(b" ".join(words))
+    first = np.concatenate(([0], ends))[at].tolist()
+    last = (ends[at + width - 1] - 1).tolist()
+    raw = b"".join([hashlib.blake2b(plain[a:b], digest_size=12).digest() for a, b in zip(first, last, strict=True)])
+    return np.frombuffer(raw, dtype=[("d0", "<u8"), ("d1", "<u4")])
+
+
+def _counted(width: int, bits: int):
+    """Distinct window hashes of a group, for their buckets."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        group, out = docs.column("grp")[0].as_py(), []
+        found = [(doc, np.unique(k)) for doc, _, k in _keys(list(_texts(docs)), width, bits) if len(k)]
+        if not found:
+            return _table([])
+        keys = np.concatenate([k for _, k in found])
+        doc = np.repeat(np.unique([i for i, _ in found], return_inverse=True)[1], [len(k) for _, k in found])
+        order = np.argsort(keys, kind="stable")
+        keys, doc = keys[order], doc[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+        many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
+        keys = keys[first]
+        for a, b in _runs(keys >> np.uint64(LOW)):
+            low = keys[a:b] & np.uint64(2**LOW - 1)
+            out.append((int(keys[a]) >> LOW, group, np.uint32(b - a).tobytes() + pack_sorted(low) + np.packbits(many[a:b]).tobytes()))
+        return _table(out)
 
     return run
 
 
-def _answers(groups: int):
-    schema = pa.schema([("grp", pa.int64()), ("part", pa.binary())])
+def _again(table: pa.Table) -> pa.Table:
+    """Of one bucket: each group's hashes that several documents hold."""
+    bucket, got = table.column("bucket")[0].as_py(), []
+    for g, p in zip(table.column("grp").to_pylist(), table.column("part"), strict=True):
+        p = p.as_py()
+        n = int(np.frombuffer(p, "<u4", 1)[0])
+        got.append((g, unpack_sorted(p[4 : 4 + 4 * n]), np.unpackbits(np.frombuffer(p, np.uint8, offset=4 + 4 * n), count=n).astype(bool)))
+    low = np.concatenate([x[1] for x in got])
+    many = np.concatenate([x[2] for x in got])
+    order = np.argsort(low, kind="stable")
+    same = np.zeros(len(low), dtype=bool)
+    equal = low[order][1:] == low[order][:-1]
+    same[order[1:]] = equal
+    same[order[:-1]] |= equal
+    same |= many
+    out, at = [], 0
+    for g, own, _ in got:
+        mine = own[same[at : at + len(own)]]
+        at += len(own)
+        if len(mine):
+            out.append((bucket, g, pack_sorted(mine)))
+    return _table(out)
+
+
+def _held(table: np.ndarray, values: np.ndarray) -> np.ndarray:
+    """Where ``values`` are in the sorted ``table``."""
+    if not len(table):
+        return np.zeros(len(values), dtype=bool)
+    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
+
+
+def _read(width: int, bits: int):
+    """Digests of a group's candidate windows, for their buckets."""
 
-    def run(table: pa.Table) -> pa.Table:
-        bucket = table.column("bucket")[0].as_py()
-        parts = [x.as_py() for x in table.column("part")]
-        if bucket < 0:
-            out = [(-1 - bucket, p) for p in parts]
-        else:
-            got = [_unpack(p) for p in parts]
-            ids, owner = np.unique(np.concatenate([x[0] for x in got]), return_inverse=True)
-            owner = np.repeat(owner, np.concatenate([x[1] for x in got]))
-            hashes = np.concatenate([x[2] for x in got])
-            goes = _repeated(hashes, ids[owner])
-            out = list(_by_group(ids, owner[goes], hashes[goes], groups))
-        return pa.Table.from_arrays([pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.binary())], schema=schema)
+    def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
+        if not docs.num_rows or not answers.num_rows:
+            return _table([])
+        group = docs.column("grp")[0].as_py()
+        wanted = [unpack_sorted(p.as_py()) | np.uint64(b << LOW) for b, p in zip(answers.column("bucket").to_pylist(), answers.column("part"), strict=True)]
+        wanted = np.sort(np.concatenate(wanted))
+        found = []
+        for doc, text, keys in _keys(list(_texts(docs)), width, bits):
+            at = np.flatnonzero(_held(wanted, keys))
+            if len(at):
+                x = np.empty(len(at), dtype=_candidate)
+                d = _digests(text, at, width)
+                x["doc"], x["key"], x["d0"], x["d1"], x["many"] = doc, keys[at], d["d0"], d["d1"], False
+                found.append(x)
+        if not found:
+            return _table([])
+        x = np.concatenate(found)
+        x = x[np.lexsort((x["doc"], x["d1"], x["d0"], x["key"]))]
+        first = _firsts(x)
+        many = np.maximum.reduceat(x["doc"], first) > x["doc"][first]
+        x = x[first]
+        x["many"] = many
+        # as the documents go, so that equal ids compress away
+        x = x[np.lexsort((x["key"], x["doc"], x["key"] >> np.uint64(LOW)))]
+        return _table([(int(x["key"][a]) >> LOW, group, pack_columns(x[a:b])) for a, b in _runs(x["key"] >> np.uint64(LOW))])
 
     return run
 
 
+def _firsts(x: np.ndarray) -> np.ndarray:
+    """Where a new window begins in records sorted by key and digest."""
+    new = np.ones(len(x), dtype=bool)
+    new[1:] = (x["key"][1:] != x["key"][:-1]) | (x["d0"][1:] != x["d0"][:-1]) | (x["d1"][1:] != x["d1"][:-1])
+    return np.flatnonzero(new)
+
+
+def _smallest(table: pa.Table) -> pa.Table:
+    """Of one bucket: the smallest document of each window, for the groups in which a larger one holds it too."""
+    bucket = table.column("bucket")[0].as_py()
+    got = [unpack_columns(p.as_py(), _candidate) for p in table.column("part")]
+    group = np.repeat(np.array(table.column("grp").to_pylist()), [len(x) for x in got])
+    x = np.concatenate(got)
+    order = np.lexsort((x["doc"], x["d1"], x["d0"], x["key"]))
+    x, group = x[order], group[order]
+    first = _firsts(x)
+    size = np.diff(np.append(first, len(x)))
+    least = np.repeat(x["doc"][first], size)
+    goes = (x["doc"] > least) | x["many"]
+    out = np.empty(int(goes.sum()), dtype=_owner)
+    out["doc"] = least[goes]
+    for c in ("key", "d0", "d1"):
+        out[c] = x[c][goes]
+    group = group[goes]
+    order = np.lexsort((out["key"], out["doc"], group))
+    out, group = out[order], group[order]
+    return _table([(bucket, int(group[a]), pack_columns(out[a:b])) for a, b in _runs(group)])
+
+
+def _owners(owners: np.ndarray, keys: np.ndarray, digests: np.ndarray) -> np.ndarray:
+    """The smallest document of each window in ``owners``, which is sorted by key; the largest number if it isn't there."""
+    out = np.full(len(keys), np.iinfo(np.int64).max)
+    at, end = np.searchsorted(owners["key"], keys), np.searchsorted(owners["key"], keys, "right")
+    while len(open_ := np.flatnonzero(at < end)):
+        x = owners[at[open_]]
+        same = (x["d0"] == digests["d0"][open_]) & (x["d1"] == digests["d1"][open_])
+        out[open_[same]] = x["doc"][same]
+        at[open_] += 1
+    return out
+
+
 KEPT = "doc_id long, n_words long, n_removed long, spans array<struct<first:long,last:long>>, kept_text string, kept_sha256 string"
+_span = pa.struct([("first", pa.int64()), ("last", pa.int64())])
+_kept_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(_span)), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
 
 
-def _apply(width: int, with_text: bool):
+def _apply(width: int, bits: int, with_text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        goes: dict[int, list[np.ndarray]] = {}
-        for p in answers.column("part"):
-            ids, counts, hashes = _unpack(p.as_py())
-            for i, h in zip(ids.tolist(), np.split(hashes, np.cumsum(counts)[:-1]), strict=True):
-                goes.setdefault(i, []).append(h)
+        owners = np.concatenate([np.empty(0, dtype=_owner), *(unpack_columns(p.as_py(), _owner) for p in answers.column("part"))])
+        owners = owners[np.argsort(owners["key"], kind="stable")]
         rows = []
-        for i, t in zip(docs.column("doc_id").cast(pa.int64()).fill_null(NO_ID).to_pylist(), docs.column("text").cast(pa.large_binary()), strict=True):
-            text = t.as_py() or b""
+        for doc, text, keys in _keys(list(_texts(docs)), width, bits):
             words = text.split()
-            removed, spans = 0, []
-            if i in goes:
-                low = np.unique(np.concatenate(goes[i]))
-                h = window_hashes(word_hashes(text)[0], width) & np.uint64(2 ** (8 * LOW) - 1)
-                at = np.flatnonzero(low[np.minimum(np.searchsorted(low, h), len(low) - 1)] == h)
-                change = np.zeros(len(words) + 1, dtype=np.int64)
+            n, spans = len(words), []
+            at = np.flatnonzero(_held(owners["key"], keys))
+            if len(at):
+                at = at[_owners(owners, keys[at], _digests(text, at, width)) < doc]
+            if len(at):
+                change = np.zeros(n + 1, dtype=np.int64)
                 np.add.at(change, at, 1)
                 np.add.at(change, at + width, -1)
                 gone = np.cumsum(change)[:-1] > 0
-                removed = int(gone.sum())
                 s, e = word_spans((~gone).astype(np.uint8), np.array([False, True]))
                 spans = [{"first": int(a), "last": int(b)} for a, b in zip(s, e, strict=True)]
                 words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
             kept = b" ".join(words)
-            rows.append((given_id(i), len(words) + removed, removed, spans, kept.decode() if with_text else None, hashlib.sha256(kept).hexdigest()))
-        return pa.Table.from_pylist([dict(zip(_kept_schema.names, r, strict=True)) for r in rows], schema=_kept_schema)
+            rows.append((given_id(doc), n, n - len(words), spans, kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest()))
+        return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_kept_schema.types)], schema=_kept_schema)
 
     return run
 
 
-_kept_schema = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_removed", pa.int64()), ("spans", pa.list_(pa.struct([("first", pa.int64()), ("last", pa.int64())]))), ("kept_text", pa.string()), ("kept_sha256", pa.string())])
-
-
 def drop_repeated_windows(docs: DataFrame, width: int = 50, with_text: bool = True) -> DataFrame:
     """Removes each word in a window that also starts in a document of smaller id.
 
     Returns a row per row of ``docs``: doc_id, n_words, n_removed, spans
     (maximal removed runs of words, last not included), kept_text (null
-    unless ``with_text``), kept_sha256.
+    unless ``with_text``; bytes that are no UTF-8 are replaced there, not in
+    the hash), kept_sha256.
 
     Null or empty text: no words. Null doc_id: one document, smaller than all
     others. Rows of one doc_id are one document, so their windows never
-    remove each other's. Other columns are ignored. Empty table: no rows.
+    remove each other's; they are dealt by their texts, so many rows of one id
+    (or of none) don't meet in one task. Texts of any length are judged whole;
+    one text must fit a task. Other columns are ignored. Empty table: no rows.
     """
-    rows = text_rows(docs)
-    groups = groups_for(rows)
+    rows = docs.select(known_id(F.col("doc_id")).alias("doc"), F.col("text").cast("string").alias("text"))
+    groups = groups_for(rows, 4)
     bits = groups.bit_length() - 1
-    packed = rows.mapInArrow(_windows(width, bits, groups), "bucket long, part binary")
-    answers = packed.groupBy("bucket").applyInArrow(_answers(groups), "grp long, part binary")
-    dealt = rows.withColumn("grp", F.pmod(F.xxhash64(known_id(F.col("doc_id"))), F.lit(groups)))
-    return dealt.groupBy("grp").cogroup(answers.groupBy("grp")).applyInArrow(_apply(width, with_text), KEPT)
+    dealt = rows.withColumn("grp", F.xxhash64("doc", "text").bitwiseAND(F.lit(groups - 1)))
+    counted = dealt.groupBy("grp").applyInArrow(_counted(width, bits), _PACK)
+    again = counted.groupBy("bucket").applyInArrow(_again, _PACK)
+    read = dealt.groupBy("grp").cogroup(again.groupBy("grp")).applyInArrow(_read(width, bits), _PACK)
+    smallest = read.groupBy("bucket").applyInArrow(_smallest, _PACK)
+    return dealt.groupBy("grp").cogroup(smallest.groupBy("grp")).applyInArrow(_apply(width, bits, with_text), KEPT)

@@ -78,6 +78,44 @@ def test_substrings(docs, rows):
     assert any(w[2] for w in want)
 
 
+def thue_morse(n: int, flip: bool = False) -> str:
+    return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
+
+
+def test_substrings_verify_words(spark, monkeypatch):
+    """Strings that collide under every polynomial hash modulo 2**64, and hashes of a few bits, remove nothing."""
+    same = " ".join(f"w{j}" for j in range(49))
+    rows = [(1, f"{same} {thue_morse(1024)}"), (2, f"{same} {thue_morse(1024, True)}"), (3, f"{same} {thue_morse(1024)}"), (None, "x " * 60), (4, "x " * 55)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = {1: 0, 2: 0, 3: 50, None: 0, 4: 55}
+    assert {r.doc_id: r.n_removed for r in substrings.drop_repeated_windows(docs).collect()} == want
+    monkeypatch.setattr(substrings, "window_hashes", lambda v, width: np.zeros(max(0, len(v) - width + 1), dtype=np.uint64))
+    words = substrings._keys([(1, rows[0][1].encode()), (2, rows[1][1].encode())], 50, 4)
+    digests = [substrings._digests(t, np.flatnonzero(k == 0), 50).tolist() for _, t, k in words]
+    assert digests[0] != digests[1] and len(digests[0]) == 1
+
+
+@pytest.mark.parametrize("width", [50, 3])
+def test_substrings_hot(spark, width):
+    """A passage in every document, rows without an id, repeated rows, several rows of one id."""
+    shared = " ".join(f"s{j}" for j in range(70))
+    rows = [(i // 2 if i % 3 else None, f"{' '.join(f'd{i}x{j}' for j in range(i % 7))} {shared} tail{i}") for i in range(300)] * 2
+    first, want = {}, []
+    for i, t in rows:
+        w = t.split()
+        for j in range(len(w) - width + 1):
+            k = tuple(w[j : j + width])
+            first[k] = min(first.get(k, ident(i)), ident(i))
+    for i, t in rows:
+        w, gone = t.split(), set()
+        for j in range(len(w) - width + 1):
+            if first[tuple(w[j : j + width])] < ident(i):
+                gone.update(range(j, j + width))
+        want.append((ident(i), len(w), len(gone)))
+    got = substrings.drop_repeated_windows(spark.createDataFrame(rows, "doc_id long, text string"), width).collect()
+    assert norm(got, "doc_id", "n_words", "n_removed") == sorted(want, key=repr)
+
+
 @pytest.mark.parametrize("hot", [1024, 3])
 def test_bytespans(docs, rows, hot):
     width = 150
