@@ -4,15 +4,17 @@ Every string of ``width`` bytes is assigned to its anchor: the smallest hash
 of its ANCHOR-byte parts, leftmost if tied, which depends on nothing outside
 the string. So equal strings share an anchor.
 
-1. Each slice of texts packs (anchor hash, place) by hash bits; a bucket finds
-   the anchors that occur twice or more and answers per group of documents.
+1. Texts are dealt to groups by a hash of id and text. A group sends each of
+   its anchors once, with the number of its places, to the bucket of the
+   anchor's hash; the bucket answers with the anchors that occur again. So an
+   anchor in every text is one entry a group.
 2. The strings of such an anchor at one place overlap into one region of text.
    Equal regions of one anchor repeat as a whole. The distinct rest meets in
    the shard of its anchor, where a suffix array built by induced sorting and
    its permuted common prefixes tell which strings occur again.
-3. An anchor with more than HOT places would be one unbounded group. Its
-   strings are dealt out singly by hash instead, summed per group first, and
-   those of which there are two go. (The only step that trusts a 64-bit hash.)
+3. The regions of an anchor with more than HOT places would be one unbounded
+   group. Its strings are dealt out singly by their 128-bit BLAKE2b digests
+   instead, each once a group, and those of which there are two go.
 4. The answers meet the texts again.
 """
 
@@ -37,7 +39,8 @@ BATCH = 1 << 19
 _place = np.dtype([("row", "<i8"), ("first", "<u4"), ("count", "<u4"), ("anchor", "<u4")])
 """Text, first start, number of starts, place of the anchor."""
 _held = np.dtype([("hash", "<u8"), *_place.descr])
-_window = np.dtype([("hash", "<u8"), ("row", "<i8"), ("at", "<u4"), ("many", "?")])
+_window = np.dtype([("d0", "<u8"), ("d1", "<u8"), ("row", "<i8"), ("at", "<u4"), ("many", "?")])
+"""Digest of a string, a text and place that hold it, whether the group holds it elsewhere too."""
 _flag = np.dtype([("row", "<i8"), ("first", "<u4"), ("count", "<u4")])
 
 
@@ -114,15 +117,27 @@ def _by(key: np.ndarray, records: np.ndarray) -> list[tuple[int, bytes]]:
 
 
 def _anchors(width: int, bits: int):
-    def run(batches):
-        for batch in batches:
-            for held, data in _pieces(*_rows(batch), width):
-                found = anchored(held, data, width)
-                yield pa.RecordBatch.from_arrays(_packed(_by(_bucket(found["hash"], bits), found)), schema=_pack_schema)
+    """Distinct anchors of a group and the number of their places, for their buckets."""
+
+    def run(docs: pa.Table) -> pa.Table:
+        group, found = docs.column("grp")[0].as_py(), [np.empty(0, dtype=np.uint64)]
+        for held, data in _pieces(*_rows(docs), width):
+            found.append(anchored(held, data, width)["hash"].copy())
+        hashes, n = np.unique(np.concatenate(found), return_counts=True)
+        records = np.empty(len(hashes), dtype=_count)
+        records["hash"], records["n"] = hashes, n
+        parts = _by(_bucket(hashes, bits), records)
+        return pa.Table.from_arrays([*_packed(parts), pa.array([group] * len(parts), pa.int64())], schema=_count_schema)
 
     return run
 
 
+_count = np.dtype([("hash", "<u8"), ("n", "<u4")])
+_answer = np.dtype([("hash", "<u8"), ("hot", "?")])
+_COUNT = f"{_PACK}, grp long"
+_count_schema = _pack_schema.append(pa.field("grp", pa.int64()))
+
+
 def _bucket(hashes: np.ndarray, bits: int) -> np.ndarray:
     """Of mixed hashes: those of anchors are small ones."""
     return (mix(hashes) >> np.uint64(64 - bits)).astype(np.int64)
@@ -132,26 +147,23 @@ def _group(row: np.ndarray, groups: int) -> np.ndarray:
     return row & (groups - 1)  # rows are hashes
 
 
-def _repeated(groups: int, most: int):
-    """Places of anchors that occur again, per group; negative counts of starts stand for hot anchors."""
+def _repeated(most: int):
+    """Of one bucket: each group's anchors with several places anywhere; hot ones have more than ``most``."""
 
     def run(table: pa.Table) -> pa.Table:
-        found = np.concatenate([np.frombuffer(x.as_py(), dtype=_held) for x in table.column("part")])
-        _, inverse, n = np.unique(found["hash"], return_inverse=True, return_counts=True)
-        n = n[inverse]
-        found, hot = found[n > 1], (n > most)[n > 1]
-        records = np.empty(len(found), dtype=[*_held.descr, ("hot", "?")])
-        for name in _held.names:
-            records[name] = found[name]
-        records["hot"] = hot
-        return pa.Table.from_arrays(_packed(_by(_group(found["row"], groups), records)), schema=_pack_schema)
+        parts = [np.frombuffer(x.as_py(), dtype=_count) for x in table.column("part")]
+        found = np.concatenate(parts)
+        _, inverse = np.unique(found["hash"], return_inverse=True)
+        total = np.bincount(inverse, found["n"])[inverse]
+        group = np.repeat(np.array(table.column("grp").to_pylist()), [len(x) for x in parts])
+        again = total > 1
+        answers = np.empty(int(again.sum()), dtype=_answer)
+        answers["hash"], answers["hot"] = found["hash"][again], total[again] > most
+        return pa.Table.from_arrays(_packed(_by(group[again], answers)), schema=_pack_schema)
 
     return run
 
 
-_answer = np.dtype([*_held.descr, ("hot", "?")])
-
-
 def _all_starts(x) -> tuple:
     return int(x["row"]), int(x["first"]), int(x["count"])
 
@@ -162,33 +174,38 @@ def _regions(width: int, bits: int, groups: int):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         if not answers.num_rows or not docs.num_rows:
             return pa.Table.from_arrays(_packed([]), schema=_pack_schema)
-        places = np.concatenate([np.frombuffer(x.as_py(), dtype=_answer) for x in answers.column("part")])
-        texts: dict[int, bytes] = {}
-        for row, t in zip(*_rows(docs), strict=True):
-            texts[row] = t
+        wanted = np.concatenate([np.frombuffer(x.as_py(), dtype=_answer) for x in answers.column("part")])
+        wanted = wanted[np.argsort(wanted["hash"])]
+        rows, whole = _rows(docs)
+        texts = dict(zip(rows, whole, strict=True))
         out: list[tuple[int, bytes]] = []
         settled: list[tuple] = []
         shards: dict[int, dict[tuple[int, bytes], list]] = {}
-        windows = []
-        for x, shard in zip(places, _bucket(places["hash"], bits).tolist(), strict=True):
-            row, first, count = _all_starts(x)
-            region = texts[row][first : first + count + width - 1]
-            if x["hot"]:
-                p = prefix_hashes(_BYTES[np.frombuffer(region, dtype=np.uint8)])
-                at = np.arange(count)
-                w = np.empty(count, dtype=_window)
-                w["hash"], w["row"], w["at"], w["many"] = span_hashes(p, at, at + width), row, first + at, False
-                windows.append(w)
-            else:
-                shards.setdefault(shard, {}).setdefault((int(x["hash"]), region), []).append((row, first, count))
-        if windows:
-            w = np.concatenate(windows)
-            _, first, inverse, n = np.unique(w["hash"], return_index=True, return_inverse=True, return_counts=True)
-            again = w[n[inverse] > 1]
+        hot: dict[bytes, list] = {}
+        for held, data in _pieces(rows, whole, width):
+            places = anchored(held, data, width)
+            k = np.minimum(np.searchsorted(wanted["hash"], places["hash"]), len(wanted) - 1)
+            again = wanted["hash"][k] == places["hash"]
+            places, is_hot = places[again], wanted["hot"][k[again]]
+            for x, many, shard in zip(places, is_hot.tolist(), _bucket(places["hash"], bits).tolist(), strict=True):
+                row, first, count = at = _all_starts(x)
+                region = texts[row][first : first + count + width - 1]
+                if many:
+                    hot.setdefault(region, []).append(at)
+                else:
+                    shards.setdefault(shard, {}).setdefault((int(x["hash"]), region), []).append(at)
+        if hot:
+            w = np.concatenate([_windows(region, at, width) for region, at in hot.items()])
+            settled += [a for at in hot.values() if len(at) > 1 for a in at]
+            w = w[np.lexsort((w["d1"], w["d0"]))]
+            first = np.flatnonzero(np.concatenate(([True], (w["d0"][1:] != w["d0"][:-1]) | (w["d1"][1:] != w["d1"][:-1]))))
+            n = np.diff(np.append(first, len(w)))
+            again = w[np.repeat(n > 1, n) & ~w["many"]]
             settled += list(zip(again["row"].tolist(), again["at"].tolist(), [1] * len(again), strict=True))
+            many = np.logical_or.reduceat(w["many"], first) | (n > 1)
             w = w[first]
-            w["many"] = n > 1
-            out += _by(_bucket(w["hash"], bits), w)
+            w["many"] = many
+            out += _by(_bucket(w["d0"], bits), w)
         for shard, regions in shards.items():
             parts = []
             for (h, region), at in regions.items():
@@ -205,6 +222,17 @@ def _regions(width: int, bits: int, groups: int):
     return run
 
 
+def _windows(region: bytes, at: list[tuple[int, int, int]], width: int) -> np.ndarray:
+    """Digests of all strings of a hot anchor's region."""
+    row, first, count = at[0]
+    data = memoryview(region)
+    raw = b"".join([hashlib.blake2b(data[k : k + width], digest_size=16).digest() for k in range(count)])
+    d = np.frombuffer(raw, dtype=[("d0", "<u8"), ("d1", "<u8")])
+    w = np.empty(count, dtype=_window)
+    w["d0"], w["d1"], w["row"], w["at"], w["many"] = d["d0"], d["d1"], row, first + np.arange(count), len(at) > 1
+    return w
+
+
 _region = np.dtype([("hash", "<u8"), ("row", "<i8"), ("first", "<u4"), ("count", "<u4"), ("many", "?")])
 
 
@@ -236,8 +264,10 @@ def _shards(width: int, groups: int):
             return pa.Table.from_arrays(_packed([(-1 - bucket, p) for p in parts]), schema=_pack_schema)
         if bucket < 1 << 40:
             w = np.concatenate([np.frombuffer(p, dtype=_window) for p in parts])
-            _, inverse, n = np.unique(w["hash"], return_inverse=True, return_counts=True)
-            w = w[(n[inverse] > 1) & ~w["many"]]
+            w = w[np.lexsort((w["d1"], w["d0"]))]
+            equal = (w["d0"][1:] == w["d0"][:-1]) & (w["d1"][1:] == w["d1"][:-1])
+            w = w[np.concatenate((equal, [False])) | np.concatenate(([False], equal))]
+            w = w[~w["many"]]
             found = np.empty(len(w), dtype=_flag)
             found["row"], found["first"], found["count"] = w["row"], w["at"], 1
         else:
@@ -315,15 +345,17 @@ def drop_repeated_bytes(docs: DataFrame, width: int = 400, with_text: bool = Tru
     null unless ``with_text``), kept_sha256. Strings are judged on the input.
 
     Null or empty text: no bytes. Repeated rows are texts of their own, so
-    they repeat each other. Other columns are ignored.
+    they repeat each other. One text must fit a task. Other columns are
+    ignored. Empty table: no rows.
     """
     if width < 2 * ANCHOR:
         raise ValueError(f"width must be {2 * ANCHOR} at least")
     rows = docs.select(known_id(F.col("doc_id")).alias("doc"), F.col("text").cast("string").alias("text")).withColumn("row", F.xxhash64("doc", "text"))
     groups = groups_for(rows, 4)
     bits = groups.bit_length() + 1  # four times as many shards
-    answers = rows.select("row", "text").mapInArrow(_anchors(width, bits), _PACK).groupBy("bucket").applyInArrow(_repeated(groups, hot), _PACK)
     dealt = rows.withColumn("grp", F.col("row").bitwiseAND(F.lit(groups - 1)))
+    counts = dealt.groupBy("grp").applyInArrow(_anchors(width, bits), _COUNT)
+    answers = counts.groupBy("bucket").applyInArrow(_repeated(hot), _PACK)
     by_group = lambda df: df.withColumnRenamed("bucket", "grp").groupBy("grp")
     regions = dealt.groupBy("grp").cogroup(by_group(answers)).applyInArrow(_regions(width, bits, groups), _PACK)
     flags = regions.groupBy("bucket").applyInArrow(_shards(width, groups), _PACK)

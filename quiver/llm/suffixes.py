@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 
 NAMES = 512
-"""Alphabets beyond this are sorted by prefix doubling: a bucket at a time would be slow for so many."""
+"""Up to so many symbols suffixes are induced a bucket at a time, beyond it one by one: buckets are small then. Both give the same order in linear time."""
 
 
 def _types(text: np.ndarray) -> np.ndarray:
@@ -71,21 +71,46 @@ def _induce(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, starts: np.n
     return sa
 
 
-def _doubling(text: np.ndarray) -> np.ndarray:
-    n = len(text)
-    rank, width = text.astype(np.int64) + 1, 1
-    while True:
-        second = np.zeros(n, dtype=np.int64)
-        if width < n:
-            second[: n - width] = rank[width:]
-        key = rank * (int(rank.max()) + 2) + second
-        order = np.argsort(key, kind="stable")
-        step = np.concatenate(([1], (np.diff(key[order]) > 0).astype(np.int64)))
-        rank = np.empty(n, dtype=np.int64)
-        rank[order] = np.cumsum(step)
-        if rank[order[-1]] == n:
-            return order
-        width *= 2
+def _induce_singly(text: np.ndarray, small: np.ndarray, seeds: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """As _induce, a suffix at a time: for alphabets of many small buckets."""
+    n, sigma = len(text), len(starts) - 1
+    at, t, s = [-1] * n, text.tolist(), small.tolist()
+    begin = starts.tolist()
+    head, tail = begin[:-1], begin[1:]
+    by_char = np.searchsorted(text[seeds], np.arange(sigma + 1)).tolist()
+    seeds = seeds.tolist()
+    c = t[n - 1]
+    at[head[c]] = n - 1
+    head[c] += 1
+    for b in range(sigma):
+        i = begin[b]
+        while i < head[b]:
+            p = at[i] - 1
+            i += 1
+            if p >= 0 and not s[p]:
+                c = t[p]
+                at[head[c]] = p
+                head[c] += 1
+        for p in seeds[by_char[b] : by_char[b + 1]]:
+            c = t[p - 1]
+            at[head[c]] = p - 1
+            head[c] += 1
+    for b in range(sigma - 1, -1, -1):
+        i = begin[b + 1]
+        while i > tail[b]:
+            i -= 1
+            p = at[i] - 1
+            if p >= 0 and s[p]:
+                c = t[p]
+                tail[c] -= 1
+                at[tail[c]] = p
+        for i in range(head[b] - 1, begin[b] - 1, -1):
+            p = at[i] - 1
+            if p >= 0 and s[p]:
+                c = t[p]
+                tail[c] -= 1
+                at[tail[c]] = p
+    return np.array(at, dtype=np.int32)
 
 
 def suffix_array(text: np.ndarray) -> np.ndarray:
@@ -94,17 +119,16 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
     if n < 2:
         return np.arange(n)
     values, text = np.unique(text, return_inverse=True)
-    if len(values) > NAMES:
-        return _doubling(text)
-    text = text.astype(np.uint16)  # sorted by radix
+    induce = _induce if len(values) <= NAMES else _induce_singly
+    text = text.astype(np.uint16 if len(values) <= 1 << 16 else np.int32)  # 16 bits are sorted by radix
     small = _types(text)
     lms = (np.flatnonzero(small[1:] & ~small[:-1]) + 1).astype(np.int32)
     starts = np.concatenate(([0], np.cumsum(np.bincount(text, minlength=len(values)))))
     if not len(lms):
-        return _induce(text, small, lms, starts)
+        return induce(text, small, lms, starts)
     # by first character only: one round of induction sorts leftmost-smaller substrings
     first = lms[np.argsort(text[lms], kind="stable")]
-    sa = _induce(text, small, first, starts)
+    sa = induce(text, small, first, starts)
     is_lms = np.zeros(n, dtype=bool)
     is_lms[lms] = True
     order = sa[is_lms[sa]]
@@ -126,7 +150,7 @@ def suffix_array(text: np.ndarray) -> np.ndarray:
         reduced = np.empty(len(lms), dtype=np.int64)
         reduced[place[order]] = name
         order = lms[suffix_array(reduced)]
-    return _induce(text, small, order, starts)
+    return induce(text, small, order, starts)
 
 
 def permuted_prefixes(text: np.ndarray, sa: np.ndarray, breaks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -153,6 +153,40 @@ def test_suffix_arrays(monkeypatch):
                     assert (phi[i], lcp[i]) == (j, k)
 
 
+@pytest.mark.parametrize("names", [512, 3])
+def test_suffix_arrays_recurse(monkeypatch, names):
+    """Reduced strings of many names are induced too, through several levels."""
+    monkeypatch.setattr(suffixes, "NAMES", names)
+    rng = np.random.default_rng(4)
+    words = [bytes(rng.integers(97, 123, rng.integers(2, 9), dtype=np.uint8)) for _ in range(300)]
+    b = b" ".join(words[i] for i in rng.integers(0, 300, 4000))
+    b += b[:5000] + b"abab" * 300
+    depth = []
+    whole = suffixes.suffix_array
+    monkeypatch.setattr(suffixes, "suffix_array", lambda t: depth.append(len(t)) or whole(t))
+    sa = suffixes.suffix_array(np.frombuffer(b, dtype=np.uint8)).tolist()
+    assert sa == sorted(range(len(b)), key=lambda i: b[i:]) and len(depth) > 2
+
+
+@pytest.mark.parametrize("hot", [1024, 5])
+def test_bytespans_footer_everywhere(spark, hot):
+    """One passage in every text, long runs of one byte, repeated rows."""
+    footer = "".join(chr(97 + (7 * j * j + j) % 26) for j in range(260))
+    texts = [(i, ("x" * (i % 5) * 40) + f"head {i} " * 9 + footer + f" {i}" + ("z" * 300 if i % 9 == 0 else "")) for i in range(120)]
+    texts += texts[:3] + [(None, "q" * 200), (None, None)]
+    width = 150
+    n = Counter(t[j : j + width] for _, t in texts if t for j in range(len(t) - width + 1))
+    want = []
+    for i, t in texts:
+        gone = set()
+        for j in range(len(t or "") - width + 1):
+            if n[t[j : j + width]] > 1:
+                gone.update(range(j, j + width))
+        want.append((ident(i), len(gone), sha("".join(c for j, c in enumerate(t or "") if j not in gone))))
+    got = bytespans.drop_repeated_bytes(spark.createDataFrame(texts, "doc_id long, text string").repartition(5), width, hot=hot).collect()
+    same(norm(got, "doc_id", "n_removed", "kept_sha256"), want)
+
+
 def fingerprint(text: str) -> int:
     w = WORD.findall(re.sub("[A-Z]", lambda m: m[0].lower(), text))
     s = [" ".join(w[j : j + 3]) for j in range(len(w) - 2)] if len(w) > 2 else [" ".join(w)] if w else []
