@@ -9,6 +9,7 @@ hashed by XXH64 instead, and nothing is removed by a rolling hash of words alone
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Iterator
 
@@ -27,14 +28,33 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes the rows to the shared checkpoint folder and cuts the lineage.
 
     The folder is the session's ``spark.checkpoint.dir``; a temporary one is
-    set only where the session names none, as in tests.
+    set only where the session names none and runs on one machine, as in tests.
     """
     sc = df.sparkSession.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(sc.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = sc.getConf().get("spark.checkpoint.dir")
+        if not folder and not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
 
 
+def free_names(df: DataFrame, *names: str) -> list[str]:
+    """``names``, with underscores in front until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for n in names:
+        while n.lower() in taken:
+            n = f"_{n}"
+        out.append(n)
+    return out
+
+
+def whole_row(df: DataFrame) -> Column:
+    """A struct of all columns, whatever their names."""
+    return F.struct(*(F.col("`" + c.replace("`", "``") + "`") for c in df.columns))
+
+
 def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

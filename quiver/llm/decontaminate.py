@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, known_id, slice_words, slices, text_rows, window_hashes, word_hashes
+from .common import NO_ID, free_names, known_id, slice_words, slices, text_rows, window_hashes, word_hashes
 
 BLOCK = 4 << 20
 """Bytes of benchmark text in one broadcast; larger benchmarks go block by block."""
@@ -89,7 +89,7 @@ def _scan(items: list[tuple[int, bytes]], least: int, threshold: float):
             seeds[w] = h[order], owner[order]
         for batch in batches:
             for ids, texts in slices(batch):
-                words, at = slice_words([t.decode().lower().encode() for t in texts], IS_BREAK)
+                words, at = slice_words([t.decode("utf-8", "replace").lower().encode() for t in texts], IS_BREAK)
                 rows = []
                 for w, (sh, owner) in seeds.items():
                     h = window_hashes(words, w)
@@ -159,6 +159,7 @@ def leaks(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: floa
 
 
 def drop_leaked(docs: DataFrame, benchmark: DataFrame, least: int = 5, threshold: float = 0.6) -> DataFrame:
-    """The rows of ``docs`` without a leak, all columns kept; rows of one doc_id stay or go together."""
-    gone = leaks(docs, benchmark, least, threshold).select(known_id(F.col("doc_id")).alias("__doc")).distinct()
-    return docs.withColumn("__doc", known_id(F.col("doc_id"))).join(gone, "__doc", "left_anti").drop("__doc")
+    """The rows of ``docs`` without a leak, all columns kept; rows of one doc_id stay or go together. Nulls, empty texts and tables: as in ``leaks``."""
+    (doc,) = free_names(docs, "__doc")
+    gone = leaks(docs, benchmark, least, threshold).select(known_id(F.col("doc_id")).alias(doc)).distinct()
+    return docs.withColumn(doc, known_id(F.col("doc_id"))).join(gone, doc, "left_anti").drop(doc)

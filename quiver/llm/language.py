@@ -167,7 +167,7 @@ def _predict(shared):
         model = shared.value
         for batch in batches:
             for ids, raw in slices(batch, 1 << 21):
-                texts = [t.decode() for t in raw]
+                texts = [t.decode("utf-8", "replace") for t in raw]
                 read = [letters(t) for t in texts]
                 lang, score = [], []
                 n = np.array([max(1, len(x)) for x in read])

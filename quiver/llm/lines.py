@@ -155,6 +155,9 @@ def line_keep_bitmaps(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -
     return lines.join(gone, ["doc", "row"], "left").mapInArrow(_bitmaps, "doc long, row long, n_lines int, keep binary")
 
 
+RESERVED = {"doc_id", "text", "keep", "kept_text", "n_lines", "n_dropped", "kept_sha256", "__doc", "__row"}
+
+
 def _kept(batches):
     for batch in batches:
         texts, dropped, shas, n = [], [], [], []
@@ -180,8 +183,11 @@ def dedup_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5, carry:
     """Applies ``line_keep_bitmaps`` to the texts: doc_id, columns named in ``carry``, kept_text, n_lines, n_dropped, kept_sha256.
 
     A row per row of ``docs``; a null text counts as one empty line. Columns
-    not named in ``carry`` are ignored.
+    not named in ``carry`` are ignored; ``carry`` may not name a column that
+    is returned anyway or made on the way (ValueError).
     """
+    if clash := RESERVED & {c.lower() for c in carry}:
+        raise ValueError(f"carry can't name {sorted(clash)}")
     bitmaps = line_keep_bitmaps(docs, min_chars, min_docs).select(F.col("doc").alias("__doc"), F.col("row").alias("__row"), "keep")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carry)
     rows = rows.withColumns({"__doc": known_id(F.col("doc_id")), "__row": row_in(F.col("text"))})

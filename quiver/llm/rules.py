@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, known_id
+from .common import WORD, cut, free_names, known_id
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -91,9 +91,11 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
 def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05, carry: tuple[str, ...] = ()) -> DataFrame:
     """The columns of ``measures``, rejected_by (array of rule names) and kept, a row per row of ``docs``.
 
-    Null text: no words, so the base rules fail. Null lang: a stratum of its
-    own. No labels, or too few in a stratum: only the base rules reject there.
-    Other columns are ignored.
+    Null or empty text: no words, so the base rules fail. Null lang: a stratum
+    of its own. Null doc_id: never labelled. Repeated rows are judged alike,
+    each counts in the holdout. No labels, or too few in a stratum: only the
+    base rules reject there. Empty tables: no rows, no cutoffs. Other columns
+    are ignored.
     """
     measured = cut(measures(docs, carry))
     by_stratum = cutoffs(measured, labels, risk, delta).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in RULES)).withColumnRenamed("stratum", "__stratum")
@@ -104,7 +106,12 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float = 0.05) -> DataFrame:
-    """The rows of ``docs`` that ``judge`` keeps, all columns kept. Each row of a doc_id is judged by its own text."""
-    marked = docs.withColumns({"__doc": known_id(F.col("doc_id")), "__text": F.xxhash64("text"), "__lang": F.xxhash64("lang")})
-    stay = judge(marked, labels, risk, delta, ("__doc", "__text", "__lang")).where("kept").select("__doc", "__text", "__lang").distinct()
-    return marked.join(stay, ["__doc", "__text", "__lang"], "left_semi").drop("__doc", "__text", "__lang")
+    """The rows of ``docs`` that ``judge`` keeps, all columns kept.
+
+    Each row of a doc_id is judged by its own text and lang; repeated rows
+    stay or go together. Null or empty texts go. Empty table: no rows.
+    """
+    mark = free_names(docs, "__doc", "__text", "__lang")
+    marked = docs.withColumns(dict(zip(mark, (known_id(F.col("doc_id")), F.xxhash64("text"), F.xxhash64("lang")), strict=True)))
+    stay = judge(marked, labels, risk, delta, tuple(mark)).where("kept").select(*mark).distinct()
+    return marked.join(stay, mark, "left_semi").drop(*mark)

@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, known_id, slices, text_rows
+from .common import cut, known_id, slices, text_rows, whole_row
 from .components import components
 
 GENERATOR = 0b110001110101  # x^11 + x^10 + x^6 + x^5 + x^4 + x^2 + 1
@@ -211,7 +211,11 @@ def hex_of(fp):
 
 
 def keep_first(docs: DataFrame, shingle: int = 3, most: int = 3) -> DataFrame:
-    """The rows of ``docs`` whose doc_id is its component's smallest, all columns kept. Of rows with one doc_id, the one of the smallest text hash stays."""
+    """The rows of ``docs`` whose doc_id is its component's smallest, all columns kept.
+
+    Of rows with one doc_id, the one of the smallest text hash stays; of those
+    of one text, the one whose JSON is smallest.
+    """
     stay = near_duplicates(docs, shingle, most).where(F.col("doc") == F.col("component_id")).select(F.col("doc").alias("__doc")).distinct()
-    rows = docs.select(known_id(F.col("doc_id")).alias("__doc"), F.struct(*docs.columns).alias("__row")).join(stay, "__doc", "left_semi")
-    return rows.groupBy("__doc").agg(F.min_by("__row", F.xxhash64("__row.text")).alias("__row")).select("__row.*")
+    rows = docs.select(known_id(F.col("doc_id")).alias("__doc"), F.xxhash64("text").alias("__hash"), whole_row(docs).alias("__row")).join(stay, "__doc", "left_semi")
+    return rows.groupBy("__doc").agg(F.min_by("__row", F.struct("__hash", F.to_json("__row"))).alias("__row")).select("__row.*")

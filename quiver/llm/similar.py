@@ -1,6 +1,6 @@
-"""Near duplicates by the Jaccard similarity of word shingles, with Golay-code fuzzy keys.
+"""Near duplicates by the Jaccard similarity of word shingles: Golay-code fuzzy keys over min-wise bits.
 
-SimHash bits of texts with a similarity of 0.8 differ in 15 % of places, too
+This isn't SimHash proper: SimHash bits of texts with a similarity of 0.8 differ in 15 % of places, too
 many for selective keys; here the fingerprint is made of min-wise samples,
 whose lowest bits differ in 10 %. A document has ``TABLES`` segments of 23
 bits. Each is decoded to the indices of the Golay codewords near it (one to
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import NO_ID, cut, known_id, mix, prefix_hashes, row_in, slice_words, slices, span_hashes, text_rows, window_hashes
+from .common import NO_ID, cut, known_id, mix, prefix_hashes, row_in, slice_words, slices, span_hashes, text_rows, whole_row, window_hashes
 from .components import components
 from .simhash import indices
 
@@ -82,7 +82,7 @@ def _sketches(width: int):
                 words, at = slice_words([t.lower() for t in texts])  # bytes: only A-Z change
                 parts = [words[i:j] for i, j in zip(at[:-1], at[1:], strict=True)]
                 nodes = pa.array([node_of(w) for w in parts], pa.int64())
-                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), row, nodes, pa.array([sketch(shingles_of(w, width)).tobytes() for w in parts], pa.binary())], names=["doc", "row", "node", "sketch"])
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), row, nodes, pa.array(list(map(len, texts)), pa.int64()), pa.array([sketch(shingles_of(w, width)).tobytes() for w in parts], pa.binary())], names=["doc", "row", "node", "size", "sketch"])
 
     return run
 
@@ -311,14 +311,19 @@ def _stars(roots: DataFrame) -> DataFrame:
 
 def _sketched(docs: DataFrame, shingle: int) -> DataFrame:
     rows = text_rows(docs).withColumn("row", row_in(F.col("text")))
-    return cut(rows.mapInArrow(_sketches(shingle), "doc long, row long, node long, sketch binary"))
+    return cut(rows.mapInArrow(_sketches(shingle), "doc long, row long, node long, size long, sketch binary"))
+
+
+def _rank() -> Column:
+    """Of the longest text the smallest rank, of equal ones that of the largest doc_id; null ids last."""
+    return F.struct((-F.col("size")).alias("size"), F.bitwise_not("doc").alias("doc"), "row")
 
 
 def _grouped(docs: DataFrame, found: DataFrame, shingle: int, least: float) -> DataFrame:
-    """(node, doc, row, root) per distinct text of ``found``: its first document and row, and its component."""
+    """(node, doc, row, longest, root) per distinct text of ``found``: its first document and row, that of the longest spelling, and its component."""
     same, most = _limits(least)
-    nodes = found.groupBy("node").agg(F.min(F.struct("doc", "row")).alias("first"), F.min("sketch").alias("sketch"))
-    nodes = cut(nodes.select("node", "first.doc", "first.row", "sketch"))
+    nodes = found.groupBy("node").agg(F.min(F.struct("doc", "row")).alias("first"), F.min(_rank()).alias("longest"), F.min("sketch").alias("sketch"))
+    nodes = cut(nodes.select("node", "first.doc", "first.row", "longest", "sketch"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     keyed = nodes.select("node", "sketch").mapInArrow(_fuzzy_keys(most, same), "key long, node long, other long, w0 long, w1 long")
     pairs = keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_candidates(most, same), "a long, b long").distinct()
@@ -338,7 +343,7 @@ def _grouped(docs: DataFrame, found: DataFrame, shingle: int, least: float) -> D
     if not more.isEmpty():
         unsure = more.where(~F.col("sure")).select("a", "b")
         roots = components(_stars(roots).union(more.where("sure").select("a", "b")).union(_verified(docs, nodes, unsure, shingle, least)))
-    return nodes.select("node", "doc", "row").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    return nodes.select("node", "doc", "row", "longest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
 def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
@@ -360,19 +365,25 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     return found.select("doc", "node").join(least_of.select("node", "root").join(tops, "root").select("node", "component_id"), "node")
 
 
-def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8) -> DataFrame:
-    """One row of each group of similar texts, that of its smallest doc_id and text hash, all columns kept.
+def keep_first(docs: DataFrame, shingle: int = 5, least: float = 0.8, longest: bool = False) -> DataFrame:
+    """One row of each group of similar texts, all columns kept: that of its smallest doc_id and text hash, or with ``longest`` that of its longest text (bytes) and, of those, the largest doc_id.
 
     A known doc_id is one document: of its rows the one of the smallest text
     hash stands for it, the others neither stay nor link. Rows with a null
     doc_id are judged each by its own text. No group of the rows that are left
-    goes whole.
+    goes whole. Of rows that agree in doc_id and text the one whose JSON is
+    smallest stays. Null and empty texts link with one another. Empty table:
+    no rows.
     """
     found = _sketched(docs, shingle)
     again = found.where(F.col("doc") != F.lit(NO_ID)).groupBy("doc").agg(F.min("row").alias("lo"), F.max("row").alias("hi"))
     again = cut(again.where("lo != hi").select("doc", "lo"))
     if not again.isEmpty():
         found = cut(found.join(again, "doc", "left").where("lo is null or row = lo").drop("lo"))
-    stay = _grouped(docs, found, shingle, least).groupBy("root").agg(F.min(F.struct("doc", "row")).alias("top")).select(F.col("top.doc").alias("__doc"), F.col("top.row").alias("__hash"))
-    rows = docs.select(known_id(F.col("doc_id")).alias("__doc"), row_in(F.col("text").cast("string")).alias("__hash"), F.struct(*docs.columns).alias("__row")).join(stay, ["__doc", "__hash"], "left_semi")
-    return rows.groupBy("__doc", "__hash").agg(F.any_value("__row").alias("__row")).select("__row.*")
+    best = F.min("longest" if longest else F.struct("doc", "row")).alias("top")
+    stay = _grouped(docs, found, shingle, least).groupBy("root").agg(best)
+    doc = F.bitwise_not("top.doc") if longest else F.col("top.doc")
+    stay = stay.select(doc.alias("__doc"), F.col("top.row").alias("__hash"))
+    rows = docs.select(known_id(F.col("doc_id")).alias("__doc"), row_in(F.col("text").cast("string")).alias("__hash"), whole_row(docs).alias("__row"))
+    rows = rows.join(stay, ["__doc", "__hash"], "left_semi")
+    return rows.groupBy("__doc", "__hash").agg(F.min_by("__row", F.to_json("__row")).alias("__row")).select("__row.*")

@@ -180,7 +180,7 @@ def _count(name: str, chunk: int, overlap: int, limit: int):
         codec = _codec(SparkFiles.get(name) if not os.path.isabs(name) else name)
         for batch in batches:
             for ids, raw in slices(batch):
-                texts = [t.decode() for t in raw]
+                texts = [t.decode("utf-8", "replace") for t in raw]
                 short = [i for i, t in enumerate(texts) if len(t) <= chunk]
                 n = [0] * len(texts)
                 few = codec.count_words if codec.by_word else codec.counts

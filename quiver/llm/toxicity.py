@@ -54,7 +54,7 @@ def chosen(table: np.ndarray, bins: np.ndarray) -> tuple[np.ndarray, np.ndarray]
 
 def features(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Where each text's bins begin (one entry more at the end), and the distinct bins of all texts in a row."""
-    words, at = slice_words([t.decode().lower().encode() for t in texts], IS_BREAK)
+    words, at = slice_words([t.decode("utf-8", "replace").lower().encode() for t in texts], IS_BREAK)
     owner = np.repeat(np.arange(len(texts)), np.diff(at))
     both = np.unique(owner * BINS + (words >> np.uint64(40)).astype(np.int64) % BINS)
     return np.searchsorted(both, np.arange(len(texts) + 1) * BINS), both % BINS

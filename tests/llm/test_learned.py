@@ -3,9 +3,12 @@
 import random
 
 import numpy as np
+import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
-from quiver.llm import language, toxicity
+from quiver.llm import decontaminate, language, lines, rules, simhash, similar, tokens, toxicity
+from quiver.llm.queries import tokenizer_path
 
 
 def test_nnpu_finds_the_positives():
@@ -112,6 +115,46 @@ def test_pipeline(spark, tmp_path, docs, rows):
     assert 0 < len(got) == after.count()
 
 
+def test_pipeline_keeps_a_holder_of_each_line(spark, tmp_path):
+    """Near copies that differ by a shared line alone: the one that still holds it stays, at either end of the ids."""
+    words = lambda tag, n: " ".join(f"{tag}w{j}" for j in range(n))
+    shared = "this is a line of more than forty characters that many documents hold"
+    rows = [(i, f"{words(f'd{i}', 120)}\n{shared}\n{words(f'e{i}', 90)}", "en", "s", 1) for i in range(1, 7)]
+    rows += [(10, rows[0][1].replace("d1w3 ", "changed "), "en", "s", 1), (11, rows[1][1].replace("d2w3 ", "changed "), "en", "s", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    lined = corpus_pipeline.line_dedup(spark, docs, str(tmp_path))
+    assert [r.doc_id for r in lined.collect() if shared in r.text] == [11]
+    kept = corpus_pipeline.near_dedup(spark, lined, str(tmp_path)).collect()
+    assert sorted(r.doc_id for r in kept) == [3, 4, 5, 6, 10, 11] and sum(shared in r.text for r in kept) == 1
+    # of equal lengths the largest id, of known and null ids the known one
+    odd = [(2, words("q", 30), None, None, None), (5, words("q", 30), "en", None, 3), (None, words("q", 30), None, "s", 1), (None, None, None, None, None), (None, "", None, None, None)]
+    kept = corpus_pipeline.near_dedup(spark, spark.createDataFrame(odd, docs.schema), str(tmp_path)).collect()
+    assert sorted(r.doc_id or 0 for r in kept) == [0, 5]
+
+
+def test_stages_keep_columns_with_inner_names(spark, docs):
+    """Columns named like the operators' own stay; reserved names are refused."""
+    named = docs.select("doc_id", "text", "lang", F.lit(1).alias("__doc"), F.lit(2).alias("__text"), F.lit(3).alias("__row"), F.lit(4).alias("a.b"))
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
+    bench = spark.createDataFrame([(1, "no such words in any text")], "item_id long, text string")
+    for got in (rules.keep_good(named, labels), decontaminate.drop_leaked(named, bench), similar.keep_first(named), simhash.keep_first(named)):
+        row = got.first()
+        assert got.columns == named.columns and (row["__doc"], row["__text"], row["__row"], row["a.b"]) == (1, 2, 3, 4)
+    with pytest.raises(ValueError):
+        lines.dedup_lines(docs.withColumn("n_lines", F.lit(1)), carry=("n_lines",))
+
+
+def test_bytes_that_are_no_utf8(spark):
+    """They count as replaced characters; no operator fails."""
+    docs = spark.sql("SELECT 1L AS doc_id, cast(X'61FF6220C3' AS string) AS text, 'en' AS lang, 's' AS source")
+    labels = spark.createDataFrame([(1, 1)], "doc_id long, toxic int")
+    bench = spark.createDataFrame([(1, "a b c d e f")], "item_id long, text string")
+    assert toxicity.score(docs, toxicity.train(docs, labels)).count() == 1
+    assert decontaminate.leaks(docs, bench).count() == 0
+    assert language.identify(docs, language.learn(docs)).first().lang_pred == "en"
+    assert tokens.count_tokens(docs, tokenizer_path()).first().n_bytes == 5
+
+
 def test_entry_lists_all():
     import __spark_entry__ as e
 
