@@ -146,7 +146,7 @@ def word_spans(buf: np.ndarray, space: np.ndarray = IS_SPACE) -> tuple[np.ndarra
     return edges[::2], edges[1::2]
 
 
-PIECE = 1 << 20
+PIECE = 1 << 17
 LONG = 64
 
 

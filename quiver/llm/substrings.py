@@ -32,9 +32,9 @@ LOW = 32
 """Bits of a hash that travel; its bucket stands for the top bits. A bucket gets about 2**20 windows, so one in 2**12 is read in vain."""
 SLICE = 1 << 21
 """Bytes of text whose windows are hashed at once."""
-_candidate = np.dtype([("doc", "<i8"), ("key", "<u8"), ("d0", "<u8"), ("d1", "<u4"), ("many", "?")])
-"""Smallest document of a group that holds a window; top and low bits of its hash; its digest; whether other documents of the group hold it."""
-_owner = np.dtype([("doc", "<i8"), ("key", "<u8"), ("d0", "<u8"), ("d1", "<u4")])
+_candidate = np.dtype([("doc", "<i8"), ("key", "<u8"), ("d0", "<u8"), ("d1", "<u4"), ("many", "?"), ("only", "?")])
+"""Smallest document of a group that holds a window; top and low bits of its hash; its digest; whether other documents of the group hold it; whether no other window of the group has its hash."""
+_owner = np.dtype([("doc", "<i8"), ("key", "<u8"), ("d0", "<u8"), ("d1", "<u4"), ("only", "?")])
 _PACK = "bucket long, grp long, part binary"
 _pack_schema = pa.schema([("bucket", pa.int64()), ("grp", pa.int64()), ("part", pa.binary())])
 
@@ -82,19 +82,51 @@ def _texts(docs: pa.Table) -> Iterator[tuple[int, bytes]]:
             yield i, t.as_py() or b""
 
 
-def _keys(texts: list[tuple[int, bytes]], width: int, bits: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
-    """Document, text, top and low bits of its windows' hashes; about SLICE bytes are hashed at once."""
+def _keys(docs: pa.Table, width: int, bits: int) -> Iterator[tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray]]:
+    """About SLICE bytes at a time: documents and texts, number of windows of each, top and low bits of the windows' hashes."""
     held, size = [], 0
-    for k, (i, t) in enumerate(texts):
-        held.append((i, t))
-        size += len(t) + 1
-        if size >= SLICE or k + 1 == len(texts):
-            words, at = word_hashes(b"\n".join(t for _, t in held))
-            begin = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for _, t in held)]))
-            hashes = window_hashes(words, width) >> np.uint64(64 - bits - LOW)
-            for (doc, text), a, b in zip(held, begin[:-1].tolist(), begin[1:].tolist(), strict=True):
-                yield doc, text, hashes[a : max(a, b - width + 1)]
+
+    def hashed():
+        words, at = word_hashes(b"\n".join(t for _, t in held))
+        begin = np.searchsorted(at, np.cumsum([0, *(len(t) + 1 for _, t in held)]))
+        n = np.maximum(0, np.diff(begin) - width + 1)
+        inside = np.repeat(begin[:-1] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        return held, n, (window_hashes(words, width) >> np.uint64(64 - bits - LOW))[inside]
+
+    for x in _texts(docs):
+        held.append(x)
+        size += len(x[1]) + 1
+        if size >= SLICE:
+            yield hashed()
             held, size = [], 0
+    if held:
+        yield hashed()
+
+
+class _Table:
+    """A sorted table of keys, with a bitmap of their top bits that settles most other values."""
+
+    def __init__(self, keys: np.ndarray, bits: int):
+        self.keys, self.down = keys, np.uint64(max(0, bits + LOW - 22))
+        self.some = np.zeros(1 << 22, dtype=bool)
+        self.some[(keys >> self.down).astype(np.int64)] = True
+
+    def held(self, values: np.ndarray) -> np.ndarray:
+        """Where in ``values`` the keys are."""
+        if not len(self.keys):
+            return np.zeros(0, dtype=np.int64)
+        may = np.flatnonzero(self.some[(values >> self.down).astype(np.int64)])
+        found = values[may]
+        return may[self.keys[np.minimum(np.searchsorted(self.keys, found), len(self.keys) - 1)] == found]
+
+
+def _by_text(hit: np.ndarray, n: np.ndarray) -> Iterator[tuple[int, int, int, np.ndarray]]:
+    """Of windows ``hit``: the text, its part of ``hit``, and the words at which they begin there."""
+    first = np.cumsum(n) - n
+    owner = np.searchsorted(np.cumsum(n), hit, "right")
+    for a, b in _runs(owner):
+        k = int(owner[a])
+        yield k, a, b, hit[a:b] - first[k]
 
 
 def _digests(text: bytes, at: np.ndarray, width: int) -> np.ndarray:
@@ -113,12 +145,12 @@ def _counted(width: int, bits: int):
 
     def run(docs: pa.Table) -> pa.Table:
         group, out = docs.column("grp")[0].as_py(), []
-        found = [(doc, np.unique(k)) for doc, _, k in _keys(list(_texts(docs)), width, bits) if len(k)]
-        if not found:
+        found = [([i for i, _ in held], n, keys) for held, n, keys in _keys(docs, width, bits)]
+        if not any(len(k) for _, _, k in found):
             return _table([])
-        keys = np.concatenate([k for _, k in found])
-        doc = np.repeat(np.unique([i for i, _ in found], return_inverse=True)[1], [len(k) for _, k in found])
-        order = np.argsort(keys, kind="stable")
+        keys = np.concatenate([k for _, _, k in found])
+        doc = np.repeat(np.array([i for ids, _, _ in found for i in ids]), np.concatenate([n for _, n, _ in found]))
+        order = np.argsort(keys)
         keys, doc = keys[order], doc[order]
         first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
         many = np.minimum.reduceat(doc, first) < np.maximum.reduceat(doc, first)
@@ -155,13 +187,6 @@ def _again(table: pa.Table) -> pa.Table:
     return _table(out)
 
 
-def _held(table: np.ndarray, values: np.ndarray) -> np.ndarray:
-    """Where ``values`` are in the sorted ``table``."""
-    if not len(table):
-        return np.zeros(len(values), dtype=bool)
-    return table[np.minimum(np.searchsorted(table, values), len(table) - 1)] == values
-
-
 def _read(width: int, bits: int):
     """Digests of a group's candidate windows, for their buckets."""
 
@@ -170,23 +195,26 @@ def _read(width: int, bits: int):
             return _table([])
         group = docs.column("grp")[0].as_py()
         wanted = [unpack_sorted(p.as_py()) | np.uint64(b << LOW) for b, p in zip(answers.column("bucket").to_pylist(), answers.column("part"), strict=True)]
-        wanted = np.sort(np.concatenate(wanted))
+        wanted = _Table(np.sort(np.concatenate(wanted)), bits)
         found = []
-        for doc, text, keys in _keys(list(_texts(docs)), width, bits):
-            at = np.flatnonzero(_held(wanted, keys))
-            if len(at):
-                x = np.empty(len(at), dtype=_candidate)
-                d = _digests(text, at, width)
-                x["doc"], x["key"], x["d0"], x["d1"], x["many"] = doc, keys[at], d["d0"], d["d1"], False
-                found.append(x)
-        if not found:
-            return _table([])
+        for held, n, keys in _keys(docs, width, bits):
+            hit = wanted.held(keys)
+            x = np.empty(len(hit), dtype=_candidate)
+            x["key"], x["many"], x["only"] = keys[hit], False, False
+            for k, a, b, at in _by_text(hit, n):
+                d = _digests(held[k][1], at, width)
+                x["doc"][a:b], x["d0"][a:b], x["d1"][a:b] = held[k][0], d["d0"], d["d1"]
+            found.append(x)
         x = np.concatenate(found)
+        if not len(x):
+            return _table([])
         x = x[np.lexsort((x["doc"], x["d1"], x["d0"], x["key"]))]
         first = _firsts(x)
         many = np.maximum.reduceat(x["doc"], first) > x["doc"][first]
         x = x[first]
         x["many"] = many
+        same = x["key"][1:] == x["key"][:-1]
+        x["only"] = ~(np.concatenate((same, [False])) | np.concatenate(([False], same)))
         # as the documents go, so that equal ids compress away
         x = x[np.lexsort((x["key"], x["doc"], x["key"] >> np.uint64(LOW)))]
         return _table([(int(x["key"][a]) >> LOW, group, pack_columns(x[a:b])) for a, b in _runs(x["key"] >> np.uint64(LOW))])
@@ -215,7 +243,7 @@ def _smallest(table: pa.Table) -> pa.Table:
     goes = (x["doc"] > least) | x["many"]
     out = np.empty(int(goes.sum()), dtype=_owner)
     out["doc"] = least[goes]
-    for c in ("key", "d0", "d1"):
+    for c in ("key", "d0", "d1", "only"):
         out[c] = x[c][goes]
     group = group[goes]
     order = np.lexsort((out["key"], out["doc"], group))
@@ -223,15 +251,24 @@ def _smallest(table: pa.Table) -> pa.Table:
     return _table([(bucket, int(group[a]), pack_columns(out[a:b])) for a, b in _runs(group)])
 
 
-def _owners(owners: np.ndarray, keys: np.ndarray, digests: np.ndarray) -> np.ndarray:
-    """The smallest document of each window in ``owners``, which is sorted by key; the largest number if it isn't there."""
+def _owners(owners: np.ndarray, keys: np.ndarray, text: bytes, at: np.ndarray, width: int) -> np.ndarray:
+    """The smallest document of each window (``keys``, at the words ``at`` of ``text``) in ``owners``, which is sorted by key; the largest number if it isn't there.
+
+    Where a key stands for one window of the group alone, it has been verified; others are told apart by their digests.
+    """
     out = np.full(len(keys), np.iinfo(np.int64).max)
-    at, end = np.searchsorted(owners["key"], keys), np.searchsorted(owners["key"], keys, "right")
-    while len(open_ := np.flatnonzero(at < end)):
-        x = owners[at[open_]]
-        same = (x["d0"] == digests["d0"][open_]) & (x["d1"] == digests["d1"][open_])
-        out[open_[same]] = x["doc"][same]
-        at[open_] += 1
+    place = np.searchsorted(owners["key"], keys)
+    only = owners["only"][place]
+    out[only] = owners["doc"][place[only]]
+    rest = np.flatnonzero(~only)
+    if len(rest):
+        digests = _digests(text, at[rest], width)
+        place, end = place[rest], np.searchsorted(owners["key"], keys[rest], "right")
+        while len(open_ := np.flatnonzero(place < end)):
+            x = owners[place[open_]]
+            same = (x["d0"] == digests["d0"][open_]) & (x["d1"] == digests["d1"][open_])
+            out[rest[open_[same]]] = x["doc"][same]
+            place[open_] += 1
     return out
 
 
@@ -244,23 +281,28 @@ def _apply(width: int, bits: int, with_text: bool):
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
         owners = np.concatenate([np.empty(0, dtype=_owner), *(unpack_columns(p.as_py(), _owner) for p in answers.column("part"))])
         owners = owners[np.argsort(owners["key"], kind="stable")]
-        rows = []
-        for doc, text, keys in _keys(list(_texts(docs)), width, bits):
-            words = text.split()
-            n, spans = len(words), []
-            at = np.flatnonzero(_held(owners["key"], keys))
-            if len(at):
-                at = at[_owners(owners, keys[at], _digests(text, at, width)) < doc]
-            if len(at):
-                change = np.zeros(n + 1, dtype=np.int64)
-                np.add.at(change, at, 1)
-                np.add.at(change, at + width, -1)
-                gone = np.cumsum(change)[:-1] > 0
-                s, e = word_spans((~gone).astype(np.uint8), np.array([False, True]))
-                spans = [{"first": int(a), "last": int(b)} for a, b in zip(s, e, strict=True)]
-                words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
-            kept = b" ".join(words)
-            rows.append((given_id(doc), n, n - len(words), spans, kept.decode("utf-8", "replace") if with_text else None, hashlib.sha256(kept).hexdigest()))
+        table, rows = _Table(owners["key"], bits), []
+        for held, n, keys in _keys(docs, width, bits):
+            hit = table.held(keys)
+            goes = {}
+            for k, a, b, at in _by_text(hit, n):
+                at = at[_owners(owners, keys[hit[a:b]], held[k][1], at, width) < held[k][0]]
+                if len(at):
+                    goes[k] = at
+            for k, (doc, text) in enumerate(held):
+                words = text.split()
+                n_words, spans = len(words), []
+                if k in goes:
+                    change = np.zeros(n_words + 1, dtype=np.int64)
+                    np.add.at(change, goes[k], 1)
+                    np.add.at(change, goes[k] + width, -1)
+                    gone = np.cumsum(change)[:-1] > 0
+                    s, e = word_spans((~gone).astype(np.uint8), np.array([False, True]))
+                    spans = [{"first": int(a), "last": int(b)} for a, b in zip(s, e, strict=True)]
+                    words = [w for w, g in zip(words, gone.tolist(), strict=True) if not g]
+                kept = b" ".join(words)
+                whole = kept.decode("utf-8", "replace") if with_text else None
+                rows.append((given_id(doc), n_words, n_words - len(words), spans, whole, hashlib.sha256(kept).hexdigest()))
         return pa.Table.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate(_kept_schema.types)], schema=_kept_schema)
 
     return run

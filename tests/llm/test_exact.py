@@ -82,17 +82,19 @@ def thue_morse(n: int, flip: bool = False) -> str:
     return "".join("ab"[(bin(i).count("1") + flip) % 2] for i in range(n))
 
 
-def test_substrings_verify_words(spark, monkeypatch):
+def test_substrings_verify_words(spark):
     """Strings that collide under every polynomial hash modulo 2**64, and hashes of a few bits, remove nothing."""
     same = " ".join(f"w{j}" for j in range(49))
     rows = [(1, f"{same} {thue_morse(1024)}"), (2, f"{same} {thue_morse(1024, True)}"), (3, f"{same} {thue_morse(1024)}"), (None, "x " * 60), (4, "x " * 55)]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     want = {1: 0, 2: 0, 3: 50, None: 0, 4: 55}
     assert {r.doc_id: r.n_removed for r in substrings.drop_repeated_windows(docs).collect()} == want
-    monkeypatch.setattr(substrings, "window_hashes", lambda v, width: np.zeros(max(0, len(v) - width + 1), dtype=np.uint64))
-    words = substrings._keys([(1, rows[0][1].encode()), (2, rows[1][1].encode())], 50, 4)
-    digests = [substrings._digests(t, np.flatnonzero(k == 0), 50).tolist() for _, t, k in words]
-    assert digests[0] != digests[1] and len(digests[0]) == 1
+    owners = np.zeros(2, dtype=substrings._owner)
+    digests = [substrings._digests(t.encode(), np.array([0]), 50) for _, t in rows[:2]]
+    for k, d in enumerate(digests):
+        owners[k] = (10 + k, 7, d["d0"][0], d["d1"][0], False)
+    for k, (_, t) in enumerate(rows[:2]):
+        assert substrings._owners(owners, np.array([7], dtype=np.uint64), t.encode(), np.array([0]), 50).tolist() == [10 + k]
 
 
 @pytest.mark.parametrize("width", [50, 3])
