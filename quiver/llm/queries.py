@@ -109,9 +109,14 @@ p AS (SELECT *, [3, 1, 2][(row_number() OVER (ORDER BY source NULLS LAST) - 1) %
 q AS (SELECT *, row_number() OVER o AS place, sum(cap) OVER (o ROWS UNBOUNDED PRECEDING) - cap AS capped, sum(w) OVER (o ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS open, sum(source_size) OVER () AS total FROM p WINDOW o AS (ORDER BY cap / w, source NULLS LAST)),
 r AS (SELECT *, (total * 1.5::DOUBLE - capped) / open AS level FROM q),
 g AS (SELECT source, source_size, coalesce(least(cap, (SELECT arg_min(level, place) FROM r WHERE level <= cap / w) * w), cap) AS target FROM r),
-m AS (SELECT s.*, source_size, target, CASE WHEN source_size > 0 THEN target / source_size ELSE 0 END AS e FROM s JOIN g ON s.source IS NOT DISTINCT FROM g.source),
-o AS (SELECT *, floor(e) AS c, sum(size) OVER (PARTITION BY source ORDER BY bits, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM m)
-SELECT doc_id, size, source_size, target, ((c + CASE WHEN e > c AND 2 * (target - c * source_size - before) >= size THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM o""",
+n AS (SELECT source, size, count(*) * size AS words, size * 1048576 // (size + 64) AS w FROM s GROUP BY source, size),
+k AS (SELECT n.*, target, row_number() OVER z AS place, (sum(words) OVER (z ROWS UNBOUNDED PRECEDING) - words) * 2.0::DOUBLE AS capped, (sum(words::HUGEINT * w) OVER (z ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))::DOUBLE AS open FROM n JOIN g ON n.source IS NOT DISTINCT FROM g.source WINDOW z AS (PARTITION BY n.source ORDER BY size DESC)),
+v AS (SELECT source, arg_min(level, place) AS level FROM (SELECT *, (target - capped) / open AS level FROM k WHERE open > 0) WHERE level * w <= 2 GROUP BY source),
+e AS (SELECT g.*, level FROM g LEFT JOIN v ON g.source IS NOT DISTINCT FROM v.source),
+m AS (SELECT s.*, source_size, target, coalesce(least(2.0::DOUBLE, level * (size * 1048576 // (size + 64))), 2.0::DOUBLE) AS copies, floor(copies) AS c, copies - c AS p, (bits + 0.5::DOUBLE) / 281474976710656 AS u, (u / (1 - u)) / (p / (1 - p)) AS rank FROM s JOIN e ON s.source IS NOT DISTINCT FROM e.source),
+x AS (SELECT *, target - sum(c * size) OVER (PARTITION BY source) AS needed FROM m),
+o AS (SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source ORDER BY p > 0 DESC, rank, bits, doc_id NULLS FIRST, size ROWS UNBOUNDED PRECEDING) - size AS before FROM x)
+SELECT doc_id, size, source_size, target, ((c + CASE WHEN p > 0 AND 2 * (needed - before) >= size THEN 1 ELSE 0 END) * size)::BIGINT AS taken FROM o""",
     "op8_substring_dedup": rf"""
 WITH d AS (SELECT row_number() OVER () AS rid, doc_id, {WORDS} AS w FROM documents),
 g AS (SELECT rid, doc_id, i, array_to_string(list_slice(w, i, i + 49), ' ') AS g FROM d, unnest(range(1, len(w) - 48)) AS u(i)),

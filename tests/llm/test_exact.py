@@ -496,6 +496,55 @@ def test_mixing(spark, docs, rows):
         assert abs(taken[s] - target[s]) <= largest[s] / 2 + 1e-6
 
 
+def test_mixing_inclusion_follows_its_probability(spark):
+    """Over many sources alike but for their ids, documents are taken as often as their own chances say; each source's words stay fixed."""
+    runs, n = 150, 120
+    size = [3 + (i * 37) % 400 for i in range(n)]
+    rows = [(1000 * s + i, "w " * size[i], f"s{s:03d}") for s in range(runs) for i in range(n)]
+    got = mixing.mix_sources(spark.createDataFrame(rows, "doc_id long, text string, source string"), weights=(1,)).collect()
+    p, taken, words = {}, Counter(), Counter()
+    for r in got:
+        i = r.doc_id % 1000
+        assert p.setdefault(i, r.p) == r.p and r.copies - r.certain in (0, 1)
+        taken[i] += r.copies - r.certain
+        words[r.source] += r.taken
+    assert all(abs(x - 1.5 * sum(size)) <= max(size) / 2 for x in words.values())
+    open_ = [i for i in range(n) if 0 < p[i] < 1]
+    assert len({p[i] for i in open_}) > 50
+    off = [(taken[i] / runs - p[i]) / (p[i] * (1 - p[i]) / runs) ** 0.5 for i in open_ if 0.03 < p[i] < 0.97]
+    assert np.mean(np.square(off)) < 1.4 and abs(np.mean(off)) < 0.5
+    # the odds matter: chances differ between documents and frequencies follow them
+    assert np.corrcoef([p[i] for i in open_], [taken[i] / runs for i in open_])[0, 1] > 0.95
+
+
+def test_sql_of_mixing_and_rules(spark, tmp_path):
+    """The registered SQL, on tables with several sources, strata with cutoffs, nulls, ties and repeated rows."""
+    import duckdb
+
+    from quiver.llm import queries
+
+    rng = np.random.default_rng(7)
+    rows, labels = [], []
+    for i in range(9000):
+        bad, lang = rng.random() < 0.3, ("aa", "bb", None)[i % 3]
+        mark = ("%%%", "!!", "QX")[i % 3] if bad else ""
+        t = " ".join("w" + "".join(rng.choice(list("abcdefgh"), 4)) + mark for _ in range(int(rng.integers(3, 60))))
+        rows.append((i, t, lang, f"s{i % 7}" if i % 11 else None, len(t)))
+        labels.append((i, int(not bad), 0))
+    rows += rows[:5] + [(9001, None, None, None, None), (9002, "", "aa", "s1", 0)]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    db = duckdb.connect()
+    for t in ("documents", "labels"):
+        db.execute(f"CREATE VIEW {t} AS SELECT * FROM '{tmp_path}/{t}.parquet/*.parquet'")
+    for name in ("op7_mixing", "op4_quality_rules"):
+        df = queries.QUERIES[name](spark, str(tmp_path))
+        want = db.execute(f"SELECT {', '.join(df.columns)} FROM ({queries.ORACLES[name]})").fetchall()
+        assert sorted(map(repr, map(tuple, df.collect()))) == sorted(map(repr, want)), name
+    docs, known = (spark.read.parquet(str(tmp_path / f"{t}.parquet")) for t in ("documents", "labels"))
+    assert {r.stratum for r in rules.cutoffs(rules.measures(docs), known).collect()} == {"aa", "bb", None}
+
+
 def test_empty_tables(spark, empty):
     bench = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
