@@ -1,11 +1,13 @@
 """Token counts of whole texts, huge ones by overlap resynchronisation.
 
 A text longer than ``chunk`` characters is encoded in overlapping chunks with
-offsets. Two neighbours are spliced where, inside their overlap, a lone space
-or line feed stands between two other characters and both encodings hold the
-same tokens, with the same offsets, for AGREE tokens on either side. Where no
-such place is found the overlap doubles, and with it, when need be, the chunk;
-at last the rest of the text is one chunk.
+offsets. Two neighbours are spliced at a place of their overlap where the
+tokenizer's own rules prove that what stands on one side never changes the
+tokens of the other (``Codec.stable``), and where both encodings hold the same
+tokens, with the same offsets, for AGREE tokens on either side. Where no such
+place is found the overlap doubles, and with it, when need be, the chunk; at
+last the rest of the text is one chunk, as it is from the start for a
+tokenizer without such a proof.
 
 Where the tokenizer's own rules prove that pieces of a text, parted by its
 first split, are encoded each by itself, shorter texts count piece by piece
@@ -29,6 +31,8 @@ from pyspark.sql import DataFrame
 from .common import given_id, slices, text_rows
 
 AGREE = 4
+SPACE = "\u2581"
+"""Sentencepiece's space."""
 REMEMBERED = 400_000
 
 
@@ -37,7 +41,7 @@ class Codec:
 
     def __init__(self, path: str):
         self.memory: dict[str, int] = {}
-        self.by_word = False
+        self.by_word, self.breaks = False, ""
         if path.endswith(".json"):
             os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
             from tokenizers import Tokenizer
@@ -48,6 +52,7 @@ class Codec:
             with open(path, encoding="utf-8") as f:
                 rules = json.load(f)
             self.by_word = words_stand_alone(rules)
+            self.breaks = " \n" if self.by_word or spaces_begin_matches(rules) else ""
             if self.by_word:
                 first = rules["pre_tokenizer"]
                 self.pattern = regex.compile((first["pretokenizers"][0] if first["type"] == "Sequence" else first)["pattern"]["Regex"])
@@ -56,10 +61,27 @@ class Codec:
             from sentencepiece import SentencePieceProcessor
 
             self.library = SentencePieceProcessor(model_file=path)
+            pieces = (self.library.id_to_piece(i) for i in range(self.library.get_piece_size()))
+            if not any(SPACE in p.lstrip(SPACE) for p in pieces):
+                self.breaks = " "  # a space begins a piece: no merge reaches across it
         else:
             raise ValueError(f"neither .json nor .model: {path}")
         self.json = path.endswith(".json")
 
+    def stable(self, text: str, p: int) -> bool:
+        """Whether the tokens before place ``p`` and those from it on are proven not to depend on one another.
+
+        So they are at a lone space (line feeds too, where the first split
+        parts at them) that no token crosses; for sentencepiece, whose
+        normaliser joins characters, between ASCII letters or digits only.
+        """
+        if not 0 < p < len(text) - 1 or text[p] not in self.breaks:
+            return False
+        before, after = text[p - 1], text[p + 1]
+        if self.json:
+            return not before.isspace() and not after.isspace()
+        return before.isascii() and before.isalnum() and after.isascii() and after.isalnum()
+
     def located(self, text: str) -> list[tuple[int, int, int]]:
         """(id, start, end) of each token."""
         if self.json:
@@ -127,10 +149,23 @@ def words_stand_alone(rules: dict) -> bool:
     return all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not any(c.isspace() for c in t["content"]) for t in rules.get("added_tokens", [])) and not model.get("dropout") and not model.get("fuse_unk")
 
 
-def boundary(text: str, left: list, right: list, start: int, end: int) -> int | None:
-    """A place in text[start:end] at which both token lists, in offsets of ``text``, agree; the one nearest the middle."""
+def spaces_begin_matches(rules: dict) -> bool:
+    """Whether white space after another character always begins a new piece.
+
+    True for the byte-level split as its library defines it, without
+    normalizer or added space: all its alternatives have white space first or
+    alone, and look ahead from white space only. Added tokens: as above.
+    """
+    first = rules.get("pre_tokenizer") or {}
+    plain = rules.get("normalizer") is None and first.get("type") == "ByteLevel" and first.get("use_regex") and not first.get("add_prefix_space")
+    added = all(not t["lstrip"] and not t["rstrip"] and not t["single_word"] and not any(c.isspace() for c in t["content"]) for t in rules.get("added_tokens", []))
+    return bool(plain and added and not rules["model"].get("dropout"))
+
+
+def boundary(text: str, left: list, right: list, start: int, end: int, stable) -> int | None:
+    """A stable place in text[start:end] at which both token lists, in offsets of ``text``, agree; the one nearest the middle."""
     starts_l, starts_r = [t[1] for t in left], [t[1] for t in right]
-    places = [p for p in range(start + 1, end - 1) if text[p] in " \n" and not text[p - 1].isspace() and not text[p + 1].isspace()]
+    places = [p for p in range(start + 1, end - 1) if text[p] in " \n" and stable(text, p)]
     for p in sorted(places, key=lambda p: abs(2 * p - start - end)):
         i, j = bisect.bisect_left(starts_l, p), bisect.bisect_left(starts_r, p)
         if min(i, j) >= AGREE and left[i - AGREE : i + AGREE] == right[j - AGREE : j + AGREE] and len(left) >= i + AGREE and left[i - 1][2] <= p:
@@ -138,8 +173,13 @@ def boundary(text: str, left: list, right: list, start: int, end: int) -> int |
     return None
 
 
-def spliced(text: str, located, chunk: int, overlap: int) -> int:
-    """Number of tokens of ``text``; ``located`` encodes a chunk."""
+def lone(text: str, p: int) -> bool:
+    """A space or line feed between other characters."""
+    return not text[p - 1].isspace() and not text[p + 1].isspace()
+
+
+def spliced(text: str, located, chunk: int, overlap: int, stable=lone) -> int:
+    """Number of tokens of ``text``; ``located`` encodes a chunk, ``stable`` tells at which places of the text neighbours may be spliced."""
 
     def encode(a: int, b: int) -> list[tuple[int, int, int]]:
         return [(i, s + a, e + a) for i, s, e in located(text[a:b])]
@@ -157,7 +197,7 @@ def spliced(text: str, located, chunk: int, overlap: int) -> int:
             begin = end - width
             stop = min(len(text), begin + max(chunk, 2 * width))
             after = encode(begin, stop)
-            at = boundary(text, now, after, max(begin, cut), end)
+            at = boundary(text, now, after, max(begin, cut), end, stable)
             if at is not None:
                 break
             width *= 2
@@ -189,19 +229,21 @@ def _count(name: str, chunk: int, overlap: int, limit: int):
                         n[i] = c
                 for i, t in enumerate(texts):
                     if len(t) > chunk:
-                        n[i] = spliced(t, codec.located, chunk, overlap)
+                        n[i] = spliced(t, codec.located, chunk, overlap, codec.stable) if codec.breaks else codec.counts([t])[0]
                 yield pa.RecordBatch.from_arrays([pa.array([given_id(i) for i in ids.tolist()], pa.int64()), pa.array([len(t) for t in raw], pa.int64()), pa.array(n, pa.int64()), pa.array([x > limit for x in n], pa.bool_())], schema=schema)
 
     return run
 
 
-def count_tokens(docs: DataFrame, path: str, chunk: int = 1 << 16, overlap: int = 1 << 10, limit: int = 2048) -> DataFrame:
+def count_tokens(docs: DataFrame, path: str, chunk: int = 1 << 14, overlap: int = 1 << 9, limit: int = 2048) -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit (more than ``limit`` tokens), a row per row of ``docs``.
 
     ``path`` is the tokenizer's file on the driver; executors get a copy.
     Counts are the library's for the whole text without begin, end or added
     special tokens; special strings in a text count as the library does by
-    default. Null or empty text: 0. Other columns are ignored.
+    default. Null or empty text: 0. Null doc_id: returned as null. Bytes that
+    are no UTF-8 count as replaced characters, but as they are in n_bytes.
+    Repeated rows count each. Empty table: no rows. Other columns are ignored.
     """
     docs.sparkSession.sparkContext.addFile(path)
     return text_rows(docs).mapInArrow(_count(os.path.basename(path), chunk, overlap, limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")

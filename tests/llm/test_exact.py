@@ -363,7 +363,37 @@ def test_splicing(name, rows):
     codec = tokens.Codec(tokenizer_path(name))
     for t in [max((r[1] or "" for r in rows), key=len), "x" * 5000, "ab " * 3000, " " * 4000 + "a b", "日本語 " * 2000, ""]:
         for chunk, overlap in ((500, 40), (1000, 4)):
-            assert tokens.spliced(t, codec.located, chunk, overlap) == codec.counts([t])[0]
+            for stable in (tokens.lone, codec.stable):
+                assert tokens.spliced(t, codec.located, chunk, overlap, stable) == codec.counts([t])[0]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "piece_bpe_32k.model", "word_bpe_49k.json"])
+def test_stable_places_are_stable(name):
+    """Whatever stands on either side of a stable place, the tokens of the other side are the same."""
+    codec, rng = tokens.Codec(tokenizer_path(name)), np.random.default_rng(3)
+    parts = ["the", "a1", "'s", "ß", "e\u0301", "\u0301", "ΑΣ", "日本", "  ", "\t", "\n", "...", "<|endoftext|>", "x" * 30, "I'll", "２", "\u00a8", "ﬁ"]
+    found = 0
+    for _ in range(300):
+        t = "".join(parts[i] + " " * int(rng.integers(0, 2)) for i in rng.integers(0, len(parts), 12))
+        whole = codec.counts([t])[0]
+        for p in range(1, len(t) - 1):
+            if codec.stable(t, p):
+                found += 1
+                left = codec.counts([t[:p]])[0]
+                # what comes after the place, with any text before it
+                other = "q " if codec.json else "q"
+                right = codec.counts([other + t[p:]])[0] - codec.counts([other])[0] if not codec.json else codec.counts([t[p:]])[0]
+                assert left + right == whole, (t, p)
+    assert found > 100
+
+
+def test_splicing_is_used_by_the_query(spark):
+    """Texts above the chunk are spliced at several places; a tokenizer without a proof encodes them whole."""
+    text = "The quick brown fox, it's 42 years old.\n" * 1500
+    codec, calls = tokens.Codec(tokenizer_path()), []
+    assert tokens.spliced(text, lambda t: calls.append(len(t)) or codec.located(t), 1 << 14, 1 << 9, codec.stable) == codec.counts([text])[0]
+    assert len(calls) >= 4 and max(calls) <= 1 << 14
+    assert not tokens.spaces_begin_matches({"pre_tokenizer": {"type": "ByteLevel", "use_regex": True, "add_prefix_space": True}, "model": {}})
 
 
 def brute_tiles(text, item, least):
