@@ -41,31 +41,30 @@ def test_toxicity_rows(spark, docs, rows, empty):
 
 
 def brute_phrases(reference: str, text: str) -> int:
-    n = 0
-    for a in range(0, len(text), language.BLOCK):
-        part, at = text[a : a + language.BLOCK], 0
-        while at < len(part):
-            k = 0
-            while at + k < len(part) and part[at : at + k + 1] in reference:
-                k += 1
-            n += 1
-            if k == 0:
-                k = 1
-            at += k
+    n, at = 0, 0
+    while at < len(text):
+        k = 0
+        while at + k < len(text) and text[at : at + k + 1] in reference:
+            k += 1
+        n += 1
+        at += max(1, k)
     return n
 
 
-def test_phrases_are_longest_matches():
+@pytest.mark.parametrize("block", [512, 7, 1])
+def test_phrases_are_longest_matches(monkeypatch, block):
+    """Over blocks too, with letters that the reference lacks, and where readings never meet."""
+    monkeypatch.setattr(language, "BLOCK", block)
     rng = random.Random(0)
     reference = "".join(rng.choice("abc ") for _ in range(300)).replace("  ", " ")
-    model = language.build({"x": reference})
-    inside = "".join(map(chr, language.letters(reference)))
-    for _ in range(20):
-        t = "".join(rng.choice("abc ") for _ in range(rng.choice([5, 80, 700])))
-        read = language.letters(t)
-        got = int(language.phrases(model, [read])[0][0])
-        want = brute_phrases(inside, "".join(map(chr, read)))
-        assert abs(got - want) <= -(-len(read) // language.BLOCK)  # a block's last phrase may end with the block
+    model = language.build({"x": reference, "y": "ab" * 40})
+    texts = ["".join(rng.choice(x) for _ in range(rng.choice([0, 1, 5, 80, 700]))) for x in ["abc "] * 20 + ["abcdz "] * 20]
+    texts += ["abc" * 300, "ab" * 700, "b" + "ab" * 50, reference * 3, "zzz", "d" * 30]
+    read = [language.letters(t) for t in texts]
+    got = language.phrases(model, read)
+    for row, inside in zip(got, (reference, "ab" * 40), strict=True):
+        inside = "".join(map(chr, language.letters(inside)))
+        assert row.tolist() == [brute_phrases(inside, "".join(map(chr, x))) for x in read]
 
 
 def test_automaton_holds_exactly_the_parts():
