@@ -1,7 +1,7 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic texts are the positives; every other text is unlabelled, a
-mix of clean and toxic ones. With the class prior p and a linear score g over
+Confirmed toxic texts are the positives; all texts, those among them, are the
+unlabelled mix of clean and toxic ones. With the class prior p and a linear score g over
 hashed words, the risk is
 
     p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)])
@@ -11,7 +11,9 @@ unlabelled risk, which can't be negative; where it would be, the step goes
 the other way. Features of a text: which of the chosen words it has, by hash
 in BINS. Words are chosen whose share among the positives is above that among
 the unlabelled by ``far`` standard deviations. That and the weight decay are
-picked from SETTINGS on an inner fold of the training rows.
+picked from SETTINGS on an inner fold of the training rows; there the scores
+are shifted too, so that the class prior's share of the unlabelled texts
+reaches THRESHOLD.
 """
 
 from __future__ import annotations
@@ -27,7 +29,8 @@ from .common import cut, given_id, slice_words, slices, text_rows
 from .decontaminate import IS_BREAK
 
 BINS = 1 << 24
-SETTINGS = tuple((far, decay) for far in (4.0, 3.0, 5.0, 6.0) for decay in (1e-4, 1e-3))
+SETTINGS = tuple((far, decay) for far in (4.0, 3.0, 5.0, 6.0) for decay in (1e-3, 1e-4, 3e-3))
+THRESHOLD = 0.3
 INNER = 4
 """One training row in so many is in the inner fold."""
 
@@ -126,49 +129,63 @@ def fit(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float,
     return Model(table, w, bias, prior)
 
 
-def pick(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, threshold: float = 0.3, seed: int = 1) -> tuple[float, float]:
-    """The setting with the largest r ** 2 / q on the inner fold, the first of equal ones: r is the share of its positives that score
-    ``threshold`` or more, q that of its unlabelled texts. For a given prior it grows with the product of recall and precision."""
+def pick(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, seed: int = 1) -> tuple[float, float, float]:
+    """The setting, the first of equal ones, with the largest chance that a positive of the inner fold scores above an unlabelled text of it; and the shift of its scores, in logits.
+
+    For a given prior that chance grows with the one to score above a clean text.
+    """
     rng = np.random.default_rng(seed)
     inner = [rng.permutation(len(x)) % INNER == 0 for x in (positive, unlabelled)]
-    (tp, vp), (tu, vu) = (([x for x, i in zip(sample, fold, strict=True) if not i], [x for x, i in zip(sample, fold, strict=True) if i]) for sample, fold in zip((positive, unlabelled), inner, strict=True))
-    if not (tp and vp and tu and vu):
-        return SETTINGS[0]
-
-    def share(model: Model, sample: list[np.ndarray]) -> float:
-        s = model.score(np.cumsum([0, *map(len, sample)]), np.concatenate(sample))
-        return float((s >= threshold).mean())
-
-    best = []
+    (tp, vp), (tu, vu) = (
+        ([x for x, i in zip(sample, fold, strict=True) if not i], [x for x, i in zip(sample, fold, strict=True) if i])
+        for sample, fold in zip((positive, unlabelled), inner, strict=True)
+    )
+    if not (tp and vp and tu and vu) or not 0 < prior < 1:
+        return *SETTINGS[0], 0.0
+
+    def logits(model: Model, sample: list[np.ndarray]) -> np.ndarray:
+        s = np.clip(model.score(np.cumsum([0, *map(len, sample)]), np.concatenate(sample)), 1e-12, 1 - 1e-12)
+        return np.log(s / (1 - s))
+
+    found = []
     for far, decay in SETTINGS:
         model = fit(tp, tu, prior, far=far, decay=decay, seed=seed)
-        best.append(share(model, vp) ** 2 / max(share(model, vu), 1 / len(vu)))
-    return SETTINGS[int(np.argmax(best))]
+        a, b = logits(model, vp), np.sort(logits(model, vu))
+        above = float((np.searchsorted(b, a) + np.searchsorted(b, a, "right")).mean()) / 2 / len(b)
+        found.append((above, far, decay, float(np.log(THRESHOLD / (1 - THRESHOLD)) - np.quantile(b, 1 - prior))))
+    # where the share can't be told from texts without any chosen word, the scores stay
+    _, far, decay, shift = max(found, key=lambda x: x[0])
+    floor = fit(tp, tu, prior, far=far, decay=decay, seed=seed).bias
+    return far, decay, shift if floor + shift < np.log(THRESHOLD / (1 - THRESHOLD)) - 1e-9 else 0.0
 
 
 def train(docs: DataFrame, labels: DataFrame, most_positive: int = 2000, most_unlabelled: int = 8000, seed: int = 1) -> Model:
-    """Fits on the confirmed toxic of ``labels`` (doc_id, toxic) and other rows of ``docs`` (both already without held-out rows).
+    """Fits on the confirmed toxic of ``labels`` (doc_id, toxic) and on a sample of all ``docs`` (both already without held-out rows).
 
     The samples are the smallest hashes of doc_id: at most ``most_positive``
     and ``most_unlabelled`` documents. The class prior is the share of toxic
     ones among all labels. Null ids and labels don't count; repeated rows
     count once in the sample of ids. Empty tables: a constant score.
     """
-    marked = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
+    usable = labels.where(F.col("toxic").isin(0, 1) & F.col("doc_id").isNotNull())
+    marked = usable.groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     prior = marked.agg(F.avg("toxic")).first()[0] or 0.0
     order = F.xxhash64("doc_id", F.lit(seed))
     positive = marked.where("toxic = 1").select("doc_id").orderBy(order, "doc_id").limit(most_positive)
-    rest = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(order, "doc_id").limit(most_unlabelled)
+    every = docs.where(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc_id")).orderBy(order, "doc_id").limit(most_unlabelled)
     # at most most_positive + most_unlabelled ids
-    sample = cut(positive.withColumn("p", F.lit(1)).union(rest.withColumn("p", F.lit(0))).groupBy("doc_id").agg(F.max("p").alias("p")))
+    both = positive.select("doc_id", F.lit(1).alias("p"), F.lit(0).alias("u")).union(every.select("doc_id", F.lit(0), F.lit(1)))
+    sample = cut(both.groupBy("doc_id").agg(F.max("p").alias("p"), F.max("u").alias("u")))
     found = text_rows(docs).join(F.broadcast(sample.select("doc_id")), "doc_id", "left_semi").mapInArrow(_featurised, "doc_id long, bins binary")
-    groups: tuple[list, list] = ([], [])
-    for r in sorted(found.join(F.broadcast(sample), "doc_id").select("doc_id", "p", "bins").collect()):
-        groups[r["p"]].append(np.frombuffer(r["bins"], dtype="<i4").astype(np.int64))
-    # positives are part of the whole: as many as the prior says stand for them among the unlabelled
-    share = groups[1][: round(len(groups[0]) * prior / (1 - prior))] if 0 < prior < 1 else []
-    far, decay = pick(groups[1], groups[0] + share, prior)
-    return fit(groups[1], groups[0] + share, prior, far=far, decay=decay)
+    positives, unlabelled = [], []
+    for r in sorted(found.join(F.broadcast(sample), "doc_id").select("doc_id", "p", "u", "bins").collect()):
+        bins = np.frombuffer(r["bins"], dtype="<i4").astype(np.int64)
+        positives += [bins] * r["p"]
+        unlabelled += [bins] * r["u"]
+    far, decay, shift = pick(positives, unlabelled, prior)
+    model = fit(positives, unlabelled, prior, far=far, decay=decay)
+    model.bias += shift
+    return model
 
 
 def _scores(shared):

@@ -36,9 +36,9 @@ def test_settings_come_from_an_inner_fold():
     rng = np.random.default_rng(1)
     clean = [np.unique(rng.integers(100, 3000, 30)).astype(np.int64) for _ in range(1500)]
     toxic = [np.unique(np.concatenate((rng.integers(100, 3000, 30), rng.integers(0, 12, 3)))).astype(np.int64) for _ in range(200)]
-    far, decay = toxicity.pick(toxic, clean, 0.1)
-    assert (far, decay) in toxicity.SETTINGS and (far, decay) == toxicity.pick(toxic, clean, 0.1)
-    assert toxicity.pick([], clean, 0.1) == toxicity.SETTINGS[0]
+    far, decay, shift = toxicity.pick(toxic, clean + toxic[:160], 0.1)
+    assert (far, decay) in toxicity.SETTINGS and (far, decay, shift) == toxicity.pick(toxic, clean + toxic[:160], 0.1)
+    assert toxicity.pick([], clean, 0.1) == (*toxicity.SETTINGS[0], 0.0)
     model = toxicity.fit(toxic, clean, 0.1, far=far, decay=decay)
     s = model.score(np.cumsum([0, *map(len, toxic + clean)]), np.concatenate(toxic + clean))
     assert (s[:200] >= 0.3).mean() > 0.9 and (s[200:] >= 0.3).mean() < 0.1
