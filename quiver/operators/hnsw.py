@@ -1,4 +1,9 @@
-"""Layered-graph search, one graph a shard; searches visit all shards and merge."""
+"""Layered-graph search, one graph a shard; searches visit all shards and merge.
+
+Points are dense or half vectors (l2, ip, cosine, l1), bit strings (hamming,
+jaccard) or sparse vectors (l2, ip, cosine, l1). A shard holds about
+SHARD_ROWS rows, so their number follows the table's.
+"""
 
 from __future__ import annotations
 
@@ -10,13 +15,67 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .knn import exact_distance, matrix
+from ..functions import types as T
+from .knn import checked, exact_distance, matrix
 
 SAME_KEY_LIMIT = 10
 """Rows with one vector that a search returns for it, for each of ``ef``; iterative scans return all."""
+SHARD_ROWS = 50_000
+LEFT = 1 << 16
+"""Elements that an iterative scan keeps aside, times the memory multiplier."""
+QUERY_BYTES = 8 << 20
+KINDS = {"vector": ("l2", "ip", "cosine", "l1"), "halfvec": ("l2", "ip", "cosine", "l1"), "bit": ("hamming", "jaccard"), "sparsevec": ("l2", "ip", "cosine", "l1")}
+MAX_DIM = {"vector": 2000, "halfvec": 4000, "bit": 64000, "sparsevec": 10**9}
+MAX_NONZERO = 1000
+
+
+def _bits(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
+    if metric == "hamming":
+        return np.bitwise_count(x ^ q).sum(axis=1, dtype=np.int64).astype(np.float64)
+    both, either = (np.bitwise_count(y).sum(axis=1, dtype=np.int64) for y in (x & q, x | q))
+    return np.where(both == 0, 1.0, 1.0 - both / np.maximum(either, 1))
+
+
+def _sparse(q: np.ndarray, points: list[np.ndarray], metric: str) -> np.ndarray:
+    """Points are arrays [2, n] of indices and values."""
+    out = np.empty(len(points))
+    for k, p in enumerate(points):
+        at = np.union1d(q[0], p[0])
+        a, b = np.zeros(len(at)), np.zeros(len(at))
+        a[np.searchsorted(at, q[0])], b[np.searchsorted(at, p[0])] = q[1], p[1]
+        out[k] = exact_distance(a, b, metric)
+    return out
+
+
+def _points(column: pa.Array, kind: str) -> list[np.ndarray]:
+    if kind == "bit":
+        return [np.packbits(np.frombuffer(x.encode(), dtype=np.uint8) - 48) for x in column.to_pylist()]
+    if kind == "sparsevec":
+        return [np.array([x["indices"], x["values"]], dtype=np.float64) for x in column.to_pylist()]
+    return list(matrix(column))
+
+
+def _unit(v: np.ndarray, kind: str) -> np.ndarray | None:
+    """For cosine: of length 1; None for a zero vector."""
+    n = np.linalg.norm(v[1] if kind == "sparsevec" else v)
+    return None if n == 0 else np.array([v[0], v[1] / n]) if kind == "sparsevec" else v / n
+
+
+def _column(vec: str, kind: str) -> Column:
+    """Checked for what a graph may hold."""
+    c = F.col(vec)
+    if kind == "bit":
+        size, out = F.length(c), c.cast("string")
+    elif kind == "sparsevec":
+        size, out = c["dim"], c.cast(T.SPARSE)
+        out = F.when(F.size(c["indices"]) <= MAX_NONZERO, out).otherwise(T.fail(f"sparsevec cannot have more than {MAX_NONZERO} non-zero elements for hnsw index"))
+    else:
+        size, out = F.size(c), c.cast("array<float>")
+        out = T.vector_to_halfvec(out) if kind == "halfvec" else out
+    return F.when(size <= MAX_DIM[kind], out).otherwise(T.fail(f"column cannot have more than {MAX_DIM[kind]} dimensions for hnsw index"))
 
 
 @dataclass
@@ -26,6 +85,7 @@ class Graph:
     metric: str = "l2"
     m: int = 16
     ef_construction: int = 64
+    kind: str = "vector"
     points: list[np.ndarray] = field(default_factory=list)
     ids: list[list[int]] = field(default_factory=list)
     links: list[list[list[int]]] = field(default_factory=list)
@@ -33,7 +93,10 @@ class Graph:
     same: dict[bytes, int] = field(default_factory=dict)
 
     def distance(self, q: np.ndarray, at: Sequence[int]) -> np.ndarray:
-        return exact_distance(q, np.stack([self.points[i] for i in at]), self.metric)
+        points = [self.points[i] for i in at]
+        if self.kind == "sparsevec":
+            return _sparse(q, points, self.metric)
+        return (_bits if self.kind == "bit" else exact_distance)(q, np.stack(points), self.metric)
 
     def layer(self, q: np.ndarray, start: list[tuple[float, int]], ef: int, level: int, seen: set[int] | None = None, left: list | None = None) -> list[tuple[float, int]]:
         """The ef nearest found, nearest first; what is put aside goes to ``left``."""
@@ -112,8 +175,9 @@ class Graph:
         if level > top:
             self.enter = me
 
-    def search(self, q: np.ndarray, ef: int, k: int, iterative: str = "off", keep=None, max_tuples: int = 20_000) -> list[tuple[float, int]]:
-        """(distance, row). Iterative scans go on from what was put aside until k rows pass ``keep`` or ``max_tuples`` are seen; strict order drops rows nearer than one before."""
+    def search(self, q: np.ndarray, ef: int, k: int, iterative: str = "off", keep=None, max_tuples: int = 20_000, most_left: int = LEFT) -> list[tuple[float, int]]:
+        """(distance, row). Iterative scans go on from what was put aside until k rows pass ``keep``, ``max_tuples`` are seen or more than ``most_left`` elements
+        are put aside; strict order drops rows nearer than one before."""
         if self.enter < 0:
             return []
         at = [(float(self.distance(q, [self.enter])[0]), self.enter)]
@@ -132,77 +196,199 @@ class Graph:
                 last = max(last, d)
                 rows = self.ids[i] if iterative != "off" else self.ids[i][: SAME_KEY_LIMIT * ef]
                 out += [(d, r) for r in rows if keep is None or r in keep]
-            if iterative == "off" or len(out) >= k or read >= max_tuples or not left:
+            if iterative == "off" or len(out) >= k or read >= max_tuples or not left or len(left) > most_left:
                 break
-            start = heapq.nsmallest(ef, set(left))
-            left = [x for x in set(left) if x not in set(start)]
+            aside = set(left)
+            start = heapq.nsmallest(ef, aside)
+            left = list(aside.difference(start))
             found = self.layer(q, start, ef, 0, seen, left)
         return out[:k]
 
+    def without(self, dead: set[int], seed: int = 1) -> Graph:
+        """The graph without rows; elements that lose all their rows go, and those that linked to them get neighbours anew."""
+        ids = [[r for r in rows if r not in dead] for rows in self.ids]
+        kept = [i for i, rows in enumerate(ids) if rows]
+        if len(kept) < 0.7 * len(ids):  # little is left to repair from
+            g, rng = Graph(self.metric, self.m, self.ef_construction, self.kind), np.random.default_rng(seed)
+            for i in kept:
+                for r in ids[i]:
+                    g.add(r, self.points[i], rng.random())
+            return g
+        place = {old: new for new, old in enumerate(kept)}
+        g = Graph(self.metric, self.m, self.ef_construction, self.kind, [self.points[i] for i in kept], [ids[i] for i in kept], same={k: place[i] for k, i in self.same.items() if i in place})
+        g.links = [[[place[j] for j in level if j in place] for level in self.links[i]] for i in kept]
+        top = max((len(x) for x in g.links), default=0)
+        g.enter = next((i for i, x in enumerate(g.links) if len(x) == top), -1)
+        for i, old in enumerate(kept):
+            for lev, level in enumerate(self.links[old]):
+                if any(j not in place for j in level):
+                    g._relink(i, lev)
+        return g
+
+    def _relink(self, i: int, lev: int) -> None:
+        """Neighbours of an element on one level, found from the entry and from those it has left."""
+        v, start = self.points[i], {self.enter, *self.links[i][lev]} - {i}
+        start = [j for j in start if len(self.links[j]) > lev]
+        if not start:
+            return
+        found = self.layer(v, list(zip(self.distance(v, start).tolist(), start, strict=True)), self.ef_construction, lev)
+        self.links[i][lev] = self.choose([x for x in found if x[1] != i], self.m)
+        most = self.m * (2 if lev == 0 else 1)
+        for j in self.links[i][lev]:
+            theirs = self.links[j][lev]
+            if i not in theirs:
+                theirs.append(i)
+                if len(theirs) > most:
+                    self.links[j][lev] = self.choose(list(zip(self.distance(self.points[j], theirs).tolist(), theirs, strict=True)), most)
+
+
+_shard_schema = pa.schema([("shard", pa.int32()), ("graph", pa.binary())])
+
+
+def _grown(metric: str, m: int, ef_construction: int, kind: str, seed: int):
+    """A shard's graph, or none yet, with more rows."""
+
+    def run(old: pa.Table, new: pa.Table) -> pa.Table:
+        g = pickle.loads(old.column("graph")[0].as_py()) if old.num_rows else Graph(metric, m, ef_construction, kind)
+        if new.num_rows:
+            column = new.column("vec").combine_chunks()
+            ids, points = new.column("id").to_pylist(), _points(column, kind)
+            chances = np.random.default_rng([seed, len(g.points)]).random(len(ids)).tolist()
+            for i, u in zip(np.argsort(ids, kind="stable").tolist(), chances, strict=True):
+                v = _unit(points[i], kind) if metric == "cosine" else points[i]
+                if v is not None:
+                    g.add(ids[i], v, u)
+        shard = (old if old.num_rows else new).column("shard")[0].as_py()
+        return pa.table([pa.array([shard], pa.int32()), pa.array([pickle.dumps(g)], pa.binary())], schema=_shard_schema)
+
+    return run
+
+
+def _shrunk(old: pa.Table, dead: pa.Table) -> pa.Table:
+    if not old.num_rows or not dead.num_rows:
+        return old.select(["shard", "graph"]).cast(_shard_schema)
+    g = pickle.loads(old.column("graph")[0].as_py()).without(set(dead.column("id").to_pylist()))
+    return pa.table([old.column("shard").combine_chunks(), pa.array([pickle.dumps(g)], pa.binary())], schema=_shard_schema)
+
 
 @dataclass
 class HnswIndex:
+    """Graphs of a table, in versions: ``path``/v<n> counts once it is whole, the largest of them."""
+
     spark: SparkSession
     path: str
     metric: str
+    kind: str = "vector"
+    shards: int = 1
+    m: int = 16
+    ef_construction: int = 64
+    seed: int = 1
+    version: int = 0
 
     def table(self) -> DataFrame:
-        return self.spark.read.parquet(self.path)
+        return self.spark.read.schema("shard int, graph binary").parquet(f"{self.path}/v{self.version}")
+
+    def _rows(self, df: DataFrame, vec: str, key: str) -> DataFrame:
+        rows = df.where(F.col(vec).isNotNull())
+        return rows.select(self._shard(key), F.col(key).cast("long").alias("id"), _column(vec, self.kind).alias("vec"))
+
+    def _shard(self, key: str) -> Column:
+        return F.pmod(F.xxhash64(F.col(key).cast("long")), F.lit(self.shards)).cast("int").alias("shard")
+
+    def _write(self, graphs: DataFrame, version: int) -> None:
+        graphs.write.mode("overwrite").parquet(f"{self.path}/v{version}")
+        self.version = version
+
+    def insert(self, df: DataFrame, vec: str = "embedding", key: str = "id") -> None:
+        """Adds rows to the graphs of their shards, as a new version. Null vectors, and zero ones for cosine, stay out."""
+        grow = _grown(self.metric, self.m, self.ef_construction, self.kind, self.seed)
+        old = self.table().groupBy("shard")
+        self._write(old.cogroup(self._rows(df, vec, key).groupBy("shard")).applyInArrow(grow, "shard int, graph binary"), self.version + 1)
 
-    def search(self, query: Sequence[float], k: int, ef_search: int = 40, iterative: str = "off") -> DataFrame:
-        one = self.spark.createDataFrame([(0, [float(x) for x in query])], "qid long, q array<float>")
-        return self.search_many(one, k, ef_search, iterative, "q", "qid").drop("qid")
+    def vacuum(self, dead: DataFrame, key: str = "id") -> None:
+        """Takes the rows of ``dead`` out of the graphs and mends their neighbours' links, as a new version."""
+        gone = dead.select(self._shard(key), F.col(key).cast("long").alias("id"))
+        self._write(self.table().groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_shrunk, "shard int, graph binary"), self.version + 1)
 
-    def search_many(self, queries: DataFrame, k: int, ef_search: int = 40, iterative: str = "off", qvec: str = "embedding", qkey: str = "id") -> DataFrame:
-        """(qid, id, distance): every shard searches, the k nearest a query stay. Queries must fit a broadcast; join in parts otherwise."""
+    def search(self, query, k: int, ef_search: int = 40, iterative: str = "off", where: DataFrame | None = None, max_scan_tuples: int = 20_000, mem_multiplier: float = 1) -> DataFrame:
+        """(id, distance) for one query: a list of numbers, a bit string, or (indices, values) of a sparse one, indices from 0."""
+        if query is None:
+            return self.spark.createDataFrame([], "id long, distance double")
+        if self.kind == "bit":
+            one = self.spark.createDataFrame([(0, query)], "qid long, q string")
+        elif self.kind == "sparsevec":
+            held = (int(max(query[0], default=0)) + 1, [int(i) for i in query[0]], [float(x) for x in query[1]])
+            one = self.spark.createDataFrame([(0, held)], f"qid long, q {T.SPARSE}")
+        else:
+            one = self.spark.createDataFrame([(0, [float(x) for x in query])], "qid long, q array<float>")
+        return self.search_many(one, k, ef_search, iterative, "q", "qid", where, max_scan_tuples, mem_multiplier).drop("qid")
+
+    def search_many(
+        self, queries: DataFrame, k: int, ef_search: int = 40, iterative: str = "off", qvec: str = "embedding", qkey: str = "id", where: DataFrame | None = None, max_scan_tuples: int = 20_000, mem_multiplier: float = 1
+    ) -> DataFrame:
+        """(qid, id, distance): every shard searches, the k nearest a query stay, nearest first.
+
+        ``where``: a table whose column ``id`` holds the rows that may be
+        found; they meet the graphs shard by shard. Without an iterative scan
+        a search so filtered may find fewer than k. ``max_scan_tuples`` and
+        ``mem_multiplier`` end iterative scans, shard by shard. Queries go out
+        in blocks of QUERY_BYTES at most.
+        """
         if not 1 <= ef_search <= 1000:
             raise ValueError(f'{ef_search} is outside the valid range for parameter "hnsw.ef_search" (1 .. 1000)')
         if iterative not in ("off", "relaxed_order", "strict_order"):
             raise ValueError(f'invalid value for parameter "hnsw.iterative_scan": "{iterative}"')
-        asked = queries.where(F.col(qvec).isNotNull()).select(F.col(qkey).cast("long").alias("qid"), F.col(qvec).cast("array<float>").alias("q")).toArrow()
-        qids, qs, metric = asked.column("qid").to_pylist(), matrix(asked.column("q").combine_chunks()), self.metric
+        asked = queries.where(F.col(qvec).isNotNull()).select(F.col(qkey).cast("long").alias("qid"), _column(qvec, self.kind).alias("q"))
+        graphs = self.table()
+        if where is not None:
+            kept = where.select(self._shard("id"), F.col("id").cast("long").alias("id")).groupBy("shard").agg(F.collect_set("id").alias("keep"))
+            graphs = graphs.join(kept, "shard")
+        size = F.size("q") if self.kind in ("vector", "halfvec") else F.length("q") if self.kind == "bit" else F.size("q.indices") * 2
+        total = asked.agg(F.coalesce(F.sum(size.cast("long") * 8 + 16), F.lit(0))).first()[0]
+        blocks = max(1, -(-total // QUERY_BYTES))
+        out = None
+        for b in range(blocks):
+            mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
+            part = graphs.mapInArrow(self._searched(mine, k, ef_search, iterative, max_scan_tuples, mem_multiplier), "qid long, id long, distance double")
+            out = part if out is None else out.union(part)
+        rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
+        return out.withColumn("rank", rank).where(F.col("rank") <= k).orderBy("qid", "rank").drop("rank")
+
+    def _searched(self, asked: pa.Table, k: int, ef: int, iterative: str, tuples: int, memory: float):
+        metric, kind = self.metric, self.kind
+        qids = asked.column("qid").to_pylist()
+        qs = _points(asked.column("q").combine_chunks(), kind) if qids else []
+        if metric == "cosine":
+            qs = [q if (u := _unit(q, kind)) is None else u for q in qs]
 
         def run(batches):
             for batch in batches:
-                for blob in batch.column("graph"):
-                    g = pickle.loads(blob.as_py())
-                    rows = []
+                keeps = batch.column("keep").to_pylist() if "keep" in batch.schema.names else [None] * batch.num_rows
+                for blob, keep in zip(batch.column("graph"), keeps, strict=True):
+                    g, keep, rows = pickle.loads(blob.as_py()), None if keep is None else set(keep), []
                     for i, q in zip(qids, qs, strict=True):
-                        if metric == "cosine":
-                            q = q / max(np.linalg.norm(q), 1e-30)
-                        rows += [(i, r, d) for d, r in g.search(q, ef_search, k, iterative)]
-                    yield pa.RecordBatch.from_arrays([pa.array([x[j] for x in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64()))], names=["qid", "id", "distance"])
+                        rows += [(i, r, d) for d, r in g.search(q, ef, k, iterative, keep, tuples, int(memory * LEFT))]
+                    columns = (pa.array([x[j] for x in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64())))
+                    yield pa.RecordBatch.from_arrays(list(columns), names=["qid", "id", "distance"])
 
-        from pyspark.sql import Window
+        return run
 
-        found = self.table().mapInArrow(run, "qid long, id long, distance double")
-        rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
-        return found.withColumn("rank", rank).where(F.col("rank") <= k).drop("rank")
 
-
-def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", metric: str = "l2", m: int = 16, ef_construction: int = 64, shards: int = 4, seed: int = 1) -> HnswIndex:
-    """One graph for each of ``shards`` groups of rows, by hash of the key; null vectors, and zero ones for cosine, stay out."""
+def build(
+    df: DataFrame, path: str, vec: str = "embedding", key: str = "id", metric: str = "l2", m: int = 16, ef_construction: int = 64, shards: int | None = None, seed: int = 1, kind: str = "vector"
+) -> HnswIndex:
+    """One graph for each of ``shards`` groups of rows, by hash of the key; by default one for every SHARD_ROWS rows. Null vectors, and zero ones for cosine, stay out."""
     if not 2 <= m <= 100:
         raise ValueError(f'value {m} out of bounds for option "m"')
     if not 4 <= ef_construction <= 1000:
         raise ValueError(f'value {ef_construction} out of bounds for option "ef_construction"')
     if ef_construction < 2 * m:
         raise ValueError("ef_construction must be greater than or equal to 2 * m")
-
-    def run(table: pa.Table) -> pa.Table:
-        g = Graph(metric, m, ef_construction)
-        ids, x = table.column("id").to_pylist(), matrix(table.column("vec").combine_chunks())
-        order = np.argsort(ids)
-        for i, u in zip(order.tolist(), np.random.default_rng(seed).random(len(ids)).tolist(), strict=True):
-            v = x[i]
-            if metric == "cosine":
-                n = np.linalg.norm(v)
-                if n == 0:
-                    continue
-                v = v / n
-            g.add(ids[i], v, u)
-        return pa.table({"shard": table.column("shard")[:1], "graph": pa.array([pickle.dumps(g)], pa.binary())})
-
-    rows = df.where(F.col(vec).isNotNull()).select(F.pmod(F.xxhash64(key), F.lit(shards)).cast("int").alias("shard"), F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
-    rows.groupBy("shard").applyInArrow(run, "shard int, graph binary").write.mode("overwrite").parquet(path)
-    return HnswIndex(df.sparkSession, path, metric)
+    checked(metric, KINDS[kind])
+    shards = shards or max(1, -(-df.count() // SHARD_ROWS))
+    index = HnswIndex(df.sparkSession, path, metric, kind, shards, m, ef_construction, seed)
+    rows = index._rows(df, vec, key)
+    none = df.sparkSession.createDataFrame([], "shard int, graph binary")
+    grow = _grown(metric, m, ef_construction, kind, seed)
+    index._write(none.groupBy("shard").cogroup(rows.groupBy("shard")).applyInArrow(grow, "shard int, graph binary"), 0)
+    return index

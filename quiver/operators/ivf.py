@@ -2,17 +2,17 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import vectors as V
 from . import projection as P
-from .knn import QUERY_BYTES, block_distances, exact_distance, literal, matrix
+from .knn import NONE, QUERY_BYTES, block_distances, checked, literal, matrix, nearest, top
 
 MAX_LISTS = 32768
 MAX_DIM = {"vector": 2000, "halfvec": 4000, "bit": 64000}
@@ -52,20 +52,35 @@ def kmeans(x: np.ndarray, k: int, spherical: bool = False, bits: bool = False, s
     return c
 
 
-def _assign(centers: np.ndarray, metric: str, reduce):
+def _assign(centers: np.ndarray, metric: str, read):
     def run(batches):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = reduce(matrix(batch.column("vec")))
-            near = block_distances(x, centers, metric).argmin(1)  # the lowest list wins ties
+            near = block_distances(read(batch.column("vec")), centers, metric).argmin(1)  # the lowest list wins ties
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(near, pa.int32())], names=[*batch.schema.names, "list_id"])
 
     return run
 
 
+def bit_matrix(column: pa.Array) -> np.ndarray:
+    """A column of bit strings of one length, as 0.0 and 1.0."""
+    data = b"".join(x.encode() for x in column.to_pylist())
+    return (np.frombuffer(data, dtype=np.uint8) - 48.0).reshape(len(column), -1) if len(column) else np.zeros((0, 0))
+
+
+METRICS = ("l2", "ip", "cosine", "l1", "hamming")
+
+
 @dataclass
 class IvfIndex:
+    """Lists of a table. Folders under ``path``: meta-<n>, one row that says what the index is, and lists-<n>, its rows by list and load.
+
+    The largest complete meta folder counts, so a rewrite takes effect as one
+    step, by the folder that it writes last; ``open_index`` finds it again in
+    any session.
+    """
+
     spark: SparkSession
     path: str
     metric: str
@@ -73,84 +88,136 @@ class IvfIndex:
     dim: int
     projection: np.ndarray | None = None
     notices: list[str] = field(default_factory=list)
+    version: int = 0
 
     @property
     def lists(self) -> int:
         return len(self.centers)
 
+    @property
+    def _kind(self) -> str:
+        return "string" if self.metric == "hamming" else "array<float>"
+
     def _space(self) -> str:
-        return "ip" if self.metric in ("ip", "cosine") else "l2"
+        return "ip" if self.metric in ("ip", "cosine") else "l1" if self.metric == "l1" else "l2"
 
     def _prepared(self, df: DataFrame, vec: str, key: str) -> DataFrame:
-        rows = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
+        rows = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast(self._kind).alias("vec"))
         if self.metric == "cosine":
             rows = rows.where(V.vector_norm(F.col("vec")) > 0).withColumn("vec", V.l2_normalize(F.col("vec")))
         return rows
 
     def assigned(self, df: DataFrame, vec: str, key: str) -> DataFrame:
-        r = self.projection
-        reduce = (lambda x: x) if r is None else (lambda x: x @ r.T)
-        return self._prepared(df, vec, key).mapInArrow(_assign(self.centers, self._space(), reduce), "id long, vec array<float>, list_id int")
+        r, bits = self.projection, self.metric == "hamming"
+
+        def read(column: pa.Array) -> np.ndarray:
+            x = bit_matrix(column) if bits else matrix(column)
+            return x if r is None else x @ r.T
 
-    def insert(self, df: DataFrame, vec: str = "embedding", key: str = "id", mode: str = "append") -> None:
-        """Appends rows to the lists of their nearest centres; centres stay."""
-        rows = self.assigned(df, vec, key)
-        rows.repartition(F.col("list_id")).write.mode(mode).partitionBy("list_id").parquet(f"{self.path}/lists")
+        return self._prepared(df, vec, key).mapInArrow(_assign(self.centers, self._space(), read), f"id long, vec {self._kind}, list_id int")
+
+    def insert(self, df: DataFrame, vec: str = "embedding", key: str = "id", load: str = "0", mode: str = "append") -> None:
+        """Adds rows to the lists of their nearest centres; centres stay.
+
+        ``load`` names the rows' folders in their lists. With mode
+        "overwrite" what an earlier try of this load wrote goes, so a load can
+        be repeated. Large lists are written by several tasks.
+        """
+        rows = self.assigned(df, vec, key).withColumn("load", F.lit(load))
+        write = rows.hint("rebalance", "list_id").write.mode(mode).option("partitionOverwriteMode", "dynamic")
+        write.partitionBy("list_id", "load").parquet(self._lists(self.version))
+
+    def _lists(self, version: int) -> str:
+        return f"{self.path}/lists-{version}"
+
+    def _commit(self, version: int) -> None:
+        """From now on ``version`` counts."""
+        shape = lambda x: [0, 0] if x is None else list(x.shape)
+        raw = lambda x: b"" if x is None else np.ascontiguousarray(x, dtype="<f8").tobytes()
+        row = (self.metric, self.dim, shape(self.centers), bytearray(raw(self.centers)), shape(self.projection), bytearray(raw(self.projection)))
+        kinds = "metric string, dim int, shape array<int>, centers binary, r_shape array<int>, projection binary"
+        self.spark.createDataFrame([row], kinds).coalesce(1).write.mode("overwrite").parquet(f"{self.path}/meta-{version}")
+        self.version = version
 
     def table(self) -> DataFrame:
-        return self.spark.read.schema("id long, vec array<float>, list_id int").parquet(f"{self.path}/lists")
+        """(id, vec, list_id, load)."""
+        return self.spark.read.schema(f"id long, vec {self._kind}, list_id int, load string").parquet(self._lists(self.version))
 
     def vacuum(self, dead: DataFrame, key: str = "id") -> None:
-        """Rewrites the lists without the rows of ``dead``; centres are not trained again."""
-        kept = self.table().join(dead.select(F.col(key).cast("long").alias("id")), "id", "left_anti")
-        kept.write.mode("overwrite").partitionBy("list_id").parquet(f"{self.path}/next")
-        self.spark.read.schema("id long, vec array<float>, list_id int").parquet(f"{self.path}/next").write.mode("overwrite").partitionBy("list_id").parquet(f"{self.path}/lists")
+        """Writes the lists without the rows of ``dead`` as a new version, and lets it count when it is whole; centres are not trained again.
 
-    def _query(self, q: Sequence[float]) -> np.ndarray:
+        The version before stays until the next vacuum, for searches under way.
+        """
+        kept = self.table().join(dead.select(F.col(key).cast("long").alias("id")), "id", "left_anti")
+        after = self.version + 1
+        kept.hint("rebalance", "list_id").write.mode("overwrite").partitionBy("list_id", "load").parquet(self._lists(after))
+        self._commit(after)
+        for old in range(after - 1):
+            for name in ("lists", "meta"):
+                _delete(self.spark, f"{self.path}/{name}-{old}")
+
+    def _query(self, q: Sequence[float] | str) -> np.ndarray:
+        if self.metric == "hamming":
+            if len(q) != self.dim:
+                raise ValueError(f"different bit lengths {self.dim} and {len(q)}")
+            return np.frombuffer(q.encode(), dtype=np.uint8) - 48.0
         q = np.asarray(q, dtype=np.float64)
         n = np.linalg.norm(q)
         return q / n if self.metric == "cosine" and n > 0 else q
 
-    def probe_order(self, q: Sequence[float]) -> list[int]:
+    def probe_order(self, q: Sequence[float] | str) -> list[int]:
         """Lists, nearest centre first."""
         q = self._query(q)[None, :]
         q = q if self.projection is None else q @ self.projection.T
         d = block_distances(q, self.centers, self._space())[0]
         return np.lexsort((np.arange(len(d)), d)).tolist()
 
-    def search(self, q: Sequence[float] | None, k: int, probes: int = 1, iterative: str = "off", max_probes: int = MAX_PROBES, where=None) -> DataFrame:
-        """(id, distance, batch) of the k nearest in the probed lists; ``where`` filters afterwards.
+    def _distance(self, q) -> Column:
+        if self.metric == "hamming":
+            return V.hamming_distance(F.col("vec"), F.lit(q))
+        return V.DISTANCES[self.metric](F.col("vec"), literal(None if q is None else self._query(q)), self.dim)
+
+    def search(self, q: Sequence[float] | str | None, k: int, probes: int = 1, iterative: str = "off", max_probes: int = MAX_PROBES, where: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+        """(id, distance, batch) of the k nearest in the probed lists, nearest first; ``where`` filters rows of the lists.
 
-        ``iterative='relaxed_order'`` goes on with the next lists until k rows
-        pass the filter or ``max_probes`` lists are read; each batch is in
-        order. A null query returns indexed rows with null distances.
+        ``iterative='relaxed_order'`` goes on with the next ``probes`` lists, a
+        batch each, until k rows pass the filter or ``max_probes`` lists are
+        read; rows come batch by batch, each in order. Batches are read one,
+        then three, then nine more at a time, so few jobs read few lists more
+        than needed. A null query returns indexed rows with null distances.
         """
         if iterative not in ("off", "relaxed_order"):
             raise ValueError(f'invalid value for parameter "ivfflat.iterative_scan": "{iterative}"')
         probes = max(1, min(probes, self.lists))
         order = self.probe_order(q) if q is not None else list(range(self.lists))
         limit = probes if iterative == "off" else min(self.lists, max(max_probes, probes))
-        out, found = None, 0
-        for batch, a in enumerate(range(0, limit, probes)):
-            part = self.table().where(F.col("list_id").isin(order[a : min(a + probes, limit)]))
-            part = part.withColumn("distance", V.DISTANCES[self.metric](F.col("vec"), literal(None if q is None else self._query(q)), self.dim)).withColumn("batch", F.lit(batch))
-            if where is not None:
-                part = where(part)
-            part = part.orderBy(F.col("distance").asc_nulls_last(), "id").limit(k - found)
-            out = part if out is None else out.union(part)
-            if iterative != "off":
-                found += part.count()
-                if found >= k:
-                    break
-        return out.select("id", "distance", "batch")
+        order = order[:limit]
+
+        def part(a: int, b: int, want: int) -> DataFrame:
+            batch = F.element_at(F.create_map(*(F.lit(x) for i, c in enumerate(order[a:b]) for x in (c, (a + i) // probes))), F.col("list_id"))
+            rows = self.table().where(F.col("list_id").isin(order[a:b])).withColumn("distance", self._distance(q))
+            rows = rows if where is None else where(rows)
+            rows = rows.withColumn("batch", batch if b - a > probes else F.lit(a // probes))
+            return rows.select("id", "distance", "batch").orderBy("batch", F.col("distance").asc_nulls_last(), "id").limit(want)
+
+        if iterative == "off":
+            return part(0, limit, k)
+        rows, a, step = [], 0, probes
+        while a < limit and len(rows) < k:
+            rows += part(a, min(a + step, limit), k - len(rows)).collect()  # k rows at most
+            a, step = a + step, min(3 * step, 1024 * probes)
+        found = self.spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "id long, distance double, batch int, place int")
+        return found.orderBy("place").select("id", "distance", "batch")
 
     def search_many(self, queries: DataFrame, k: int, probes: int = 1, qvec: str = "embedding", qkey: str = "id") -> DataFrame:
-        """(qid, id, distance, rank): each query against the rows of its nearest ``probes`` lists.
+        """(qid, id, distance, rank): each query against the rows of its nearest ``probes`` lists, ties by id.
 
         Queries and their lists go out in blocks of QUERY_BYTES at most; each
         partition of the lists streams by and keeps k rows a query, so lists
         of any size are read where they lie.
         """
+        if self.metric == "hamming":
+            raise ValueError("one bit query at a time: use search")
         asked = queries.where(F.col(qvec).isNotNull()).select(F.col(qkey).cast("long").alias("qid"), F.col(qvec).cast("array<float>").alias("q"))
         n = asked.count()
         blocks = max(1, -(-(n * (self.dim * 8 + probes * 4)) // QUERY_BYTES))
@@ -172,35 +239,71 @@ class IvfIndex:
         return out.withColumn("rank", rank).where(F.col("rank") <= k)
 
 
-def _probe(qids: np.ndarray, qs: np.ndarray, near: np.ndarray, k: int, metric: str, slack: int = 8):
+def _probe(qids: np.ndarray, qs: np.ndarray, near: np.ndarray, k: int, metric: str):
     asks = {int(c): np.flatnonzero((near == c).any(axis=1)) for c in np.unique(near)}
 
     def run(batches):
-        best_d, best_i = np.full((len(qs), k), np.inf), np.zeros((len(qs), k), dtype=np.int64)
+        best = NONE
         for batch in batches:
             if not batch.num_rows:
                 continue
             lists, ids, x = batch.column("list_id").to_numpy(), batch.column("id").to_numpy(), matrix(batch.column("vec"))
+            new = [best]
             for c in np.unique(lists).tolist():
-                rows, who = np.flatnonzero(lists == c), asks.get(c, ())
+                rows, who = np.flatnonzero(lists == c), asks.get(c, np.zeros(0, dtype=np.int64))
                 for a in range(0, len(who), 256):
                     w = who[a : a + 256]
-                    d = block_distances(qs[w], x[rows], metric)
-                    m = min(k + slack, d.shape[1])
-                    pick = rows[np.argpartition(d, m - 1, axis=1)[:, :m]]
-                    d = np.hstack((best_d[w], exact_distance(qs[w][:, None, :], x[pick], metric)))
-                    i = np.hstack((best_i[w], ids[pick]))
-                    order = np.lexsort((i, d), axis=1)[:, :k]
-                    best_d[w], best_i[w] = np.take_along_axis(d, order, 1), np.take_along_axis(i, order, 1)
-        kept = best_d < np.inf
-        at, _ = np.nonzero(kept)
-        yield pa.RecordBatch.from_arrays([pa.array(qids[at]), pa.array(best_i[kept]), pa.array(best_d[kept])], names=["qid", "id", "distance"])
+                    owner, i, d = nearest(qs[w], x[rows], ids[rows], k, metric)
+                    new.append((w[owner], i, d))
+            best = top(*(np.concatenate(z) for z in zip(*new, strict=True)), k)
+        yield pa.RecordBatch.from_arrays([pa.array(qids[best[0]]), pa.array(best[1]), pa.array(best[2])], names=["qid", "id", "distance"])
 
     return run
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
+def open_index(spark: SparkSession, path: str) -> IvfIndex:
+    """The index that ``build`` wrote to ``path``, in this session or another, in its last complete version."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/meta-*/_SUCCESS")
+    found = p.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(p) or []
+    versions = [int(f.getPath().getParent().getName().rpartition("-")[2]) for f in found]
+    if not versions:
+        raise ValueError(f"no index at {path}")
+    r = spark.read.parquet(f"{path}/meta-{max(versions)}").first()
+    array = lambda raw, shape: np.frombuffer(bytes(raw), dtype="<f8").reshape(shape) if shape[0] else None
+    return IvfIndex(spark, path, r["metric"], array(r["centers"], r["shape"]), r["dim"], array(r["projection"], r["r_shape"]), version=max(versions))
+
+
+def _phase(spark: SparkSession, name: str, work):
+    """Runs ``work`` with its name on Spark's jobs, as a build's progress."""
+    sc = spark.sparkContext
+    before = sc.getLocalProperty("spark.job.description")
+    sc.setLocalProperty("spark.job.description", name)
+    try:
+        return work()
+    finally:
+        sc.setLocalProperty("spark.job.description", before)
+
+
+def check_centers(centers: np.ndarray, lists: int) -> np.ndarray:
+    """Centres as the index needs them: the right number, and finite."""
+    if len(centers) != lists:
+        raise ValueError(f"expected {lists} centers, not {len(centers)}")
+    if np.isnan(centers).any():
+        raise ValueError("NaN detected. Please report a bug.")
+    if np.isinf(centers).any():
+        raise ValueError("Infinite value detected. Please report a bug.")
+    return centers
+
+
 def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lists: int = 100, metric: str = "l2", kind: str = "vector", seed: int = 1, project: int | None = None, centers: np.ndarray | None = None) -> IvfIndex:
-    """Samples max(50 * lists, 10000) rows by hash, trains centres on the driver, assigns on the executors, writes list partitions.
+    """Samples max(50 * lists, 10000) rows by hash, trains centres on the driver, assigns on the executors, writes list partitions to an emptied ``path``.
+
+    ``metric`` "hamming" takes bit strings; its centres are majorities.
 
     ``project``: centres live in a random projection to that many dimensions
     (rows keep their full vectors). Null vectors, and zero ones for cosine,
@@ -208,8 +311,10 @@ def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lis
     """
     if not 1 <= lists <= MAX_LISTS:
         raise ValueError(f'value {lists} out of bounds for option "lists"')
-    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("array<float>").alias("vec"))
-    dims = rows.select(F.size("vec").alias("n")).agg(F.min("n"), F.max("n")).first()
+    bits = checked(metric, METRICS) == "hamming"
+    kind = "bit" if bits else kind
+    rows = df.where(F.col(vec).isNotNull()).select(F.col(key).cast("long").alias("id"), F.col(vec).cast("string" if bits else "array<float>").alias("vec"))
+    dims = rows.select((F.length("vec") if bits else F.size("vec")).alias("n")).agg(F.min("n"), F.max("n")).first()
     if dims[0] is None:
         raise ValueError("column does not have dimensions")
     if dims[0] != dims[1]:
@@ -218,10 +323,13 @@ def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lis
     if dim > MAX_DIM[kind]:
         raise ValueError(f"column cannot have more than {MAX_DIM[kind]} dimensions for ivfflat index")
     spherical = metric in ("ip", "cosine")
+    if metric == "hamming" and project:
+        raise ValueError("bits have no projection")
     if spherical and dim < 2:
         raise ValueError("dimensions must be greater than one for this opclass")
-    sampled = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(50 * lists, 10_000)).toArrow()
-    x = matrix(sampled.column("vec").combine_chunks())
+    sample = rows.orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(max(50 * lists, 10_000))
+    sampled = _phase(df.sparkSession, "building index: sampling for k-means", sample.toArrow)
+    x = (bit_matrix if bits else matrix)(sampled.column("vec").combine_chunks())
     if spherical and len(x):
         n = np.linalg.norm(x, axis=1)
         x = x[n > 0] / n[n > 0][:, None]
@@ -231,7 +339,11 @@ def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lis
         space = x if r is None else x @ r.T
         if spherical and len(space):
             space = space / np.maximum(np.linalg.norm(space, axis=1, keepdims=True), 1e-30)
-        centers = kmeans(space.reshape(len(x), -1) if len(x) else np.zeros((0, project or dim)), lists, spherical, seed=seed)
-    index = IvfIndex(df.sparkSession, path, metric, np.asarray(centers, dtype=np.float64), dim, r, notices)
-    index.insert(df, vec, key, "overwrite")
+        centers = kmeans(space.reshape(len(x), -1) if len(x) else np.zeros((0, project or dim)), lists, spherical, bits, seed=seed)
+    centers = check_centers(np.asarray(centers, dtype=np.float64), lists)
+    spark = df.sparkSession
+    _delete(spark, path)
+    index = IvfIndex(spark, path, metric, centers, dim, r, notices)
+    _phase(spark, "building index: loading tuples", lambda: index.insert(df, vec, key, "0", "overwrite"))
+    index._commit(0)
     return index

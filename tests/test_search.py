@@ -2,6 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from quiver.functions import types as T
 from quiver.functions import vectors as V
 from quiver.operators import hnsw, ivf, knn, projection, quantize
 from quiver.plans import planner
@@ -183,3 +184,157 @@ def test_planner(spark, small, cloud, index):
     rows = spark.sql(f"SELECT id, l2_distance(v, {q}) AS d, cosine_distance(v, {q}) AS c FROM small ORDER BY d NULLS LAST").collect()
     assert [r.id for r in rows] == [2, 5, 3, 1, 4]
     assert rows[3].c != rows[3].c
+
+
+def test_sql_functions(spark):
+    planner.register(spark)
+    spark.createDataFrame([(1, [1.0, 2.0, 3.0], [4.0, 5.0, 6.0], "1011", "0011"), (2, None, [1.0, 1.0, 1.0], None, "1")], "id long, a array<float>, b array<float>, x string, y string").createOrReplaceTempView("pairs")
+    r = spark.sql(planner.rewrite("""
+        SELECT a <-> b AS l2, a <#> '[4,5,6]' AS ip, (a <=> vector_add(a, array(0f, 0f, float(abs(-1)))) ) AS c, a <+> b AS l1, x <~> y AS h, x <%> '0011' AS j, 'a <-> b' AS s, -- a <-> b
+               vector_concat(a, b) AS both, subvector(b, 0, 3) AS part, l2_normalize(a) AS n, binary_quantize(vector_sub(a, b)) AS q, vector_cmp(a, b) AS cmp, vector_dims(b) AS d,
+               sparsevec_l2_distance(vector_to_sparsevec(a), vector_to_sparsevec(b)) AS sl2, sparsevec_cosine_distance(vector_to_sparsevec(a), vector_to_sparsevec(a)) AS sc, array_to_vector(array(1, 2), 2) AS v, vector_to_halfvec(array(0.1f)) AS hv
+        FROM pairs ORDER BY id""")).collect()
+    a = r[0]
+    assert (a.ip, a.l1, a.h, a.s, a.cmp, a.d, a.q) == (-32.0, 9.0, 1.0, "a <-> b", -1, 3, "000")
+    assert a.l2 == pytest.approx(27**0.5) and a.sl2 == a.l2 and abs(a.sc) < 1e-12 and a.j == pytest.approx(1 / 3) and a.c == pytest.approx(1 - 17 / (14 * 21) ** 0.5)
+    assert a.both == [1, 2, 3, 4, 5, 6] and a.part == [4.0, 5.0] and a.v == [1.0, 2.0] and a.hv[0] == pytest.approx(0.0999755859375, abs=0)
+    assert r[1].l2 is None and r[1].h is None and r[1].d == 3
+    with pytest.raises(Exception, match="different vector dimensions 3 and 1"):
+        spark.sql(planner.rewrite("SELECT a <-> '[1]' FROM pairs")).collect()
+
+
+@pytest.mark.parametrize(("sql", "want"), [
+    ("SELECT f(g(v), 1) <-> h(k(w)) FROM t", "SELECT l2_distance(f(g(v), 1), h(k(w))) FROM t"),
+    ("SELECT (a) <-> (b)", "SELECT l2_distance((a), (b))"),
+    ("WHERE a.v<->'[1,2]'::vector < 3 AND x", "WHERE l2_distance(a.v, array(float(1), float(2))) < 3 AND x"),
+    ("ORDER BY v[1] <+> w[2], id", "ORDER BY l1_distance(v[1], w[2]), id"),
+    ("SELECT `a b` <=> c /* a <=> b */", "SELECT cosine_distance(`a b`, c) /* a <=> b */"),
+])
+def test_rewrite(sql, want):
+    assert planner.rewrite(sql) == want
+
+
+@pytest.mark.parametrize("mode", ["relaxed_order", "strict_order"])
+def test_filtered_index_searches(spark, cloud, index, tmp_path, mode):
+    """A filter that one row in 400 passes: all ten are found by iterative scans, in order; limits end them early."""
+    graph = hnsw.build(cloud, str(tmp_path / "g"), "v", m=8, ef_construction=32, shards=4)
+    t = planner.VectorTable(cloud, "v", "id", ivf=index, hnsw=graph, rows=1_000_000)
+    s, few, passing = planner.Settings(), planner.Settings(), F.col("id") % 400 == 0
+    s.put("ivfflat.iterative_scan", "relaxed_order")
+    s.put("hnsw.iterative_scan", mode)
+    few.put("ivfflat.iterative_scan", "relaxed_order")
+    few.put("ivfflat.max_probes", 2)
+    few.put("hnsw.iterative_scan", mode)
+    few.put("hnsw.max_scan_tuples", 50)
+    exact = [r.id for r in t.search([0.5] * 3, 11, "exact", where=passing).collect()]
+    assert len(exact) == 10
+    got = [r.id for r in t.search([0.5] * 3, 11, "ivf", s, passing, "post").collect()]
+    assert sorted(got) == sorted(exact)
+    assert len(t.search([0.5] * 3, 11, "ivf", few, passing, "post").collect()) < 10
+    rows = t.search([0.5] * 3, 11, "hnsw", s, passing, "post").collect()
+    assert [r.distance for r in rows] == sorted(r.distance for r in rows)
+    assert len(rows) >= (10 if mode == "relaxed_order" else 8) and {r.id for r in rows} <= set(exact)
+    assert len(t.search([0.5] * 3, 11, "hnsw", few, passing, "post").collect()) < 10
+    assert t.search([0.5] * 3, 11, "hnsw", None, passing, "post").count() < 10
+
+
+def test_join_is_exact_with_ties_and_large_values(spark):
+    same = spark.createDataFrame([(i, [1.0, 2.0]) for i in range(200)] + [(200 + i, [1.0, 2.0 + i]) for i in range(1, 20)], "id long, v array<float>").repartition(5)
+    asked = spark.createDataFrame([(0, [1.0, 2.0]), (1, None)], "id long, v array<float>")
+    for metric in ("l2", "ip", "cosine", "l1"):
+        got = [r.id for r in knn.knn_join(same, asked, "v", "id", 5, metric).orderBy("rank").collect()]
+        assert got == [r.id for r in knn.knn(same, "v", [1.0, 2.0], 5, metric).collect()], metric
+    rng = np.random.default_rng(5)
+    far = [(i, (1e8 + rng.random(3) * 1e3).tolist()) for i in range(500)]
+    rows = spark.createDataFrame(far, "id long, v array<double>")
+    for packed in (False, True):
+        before, knn.QUERY_BYTES = knn.QUERY_BYTES, 0 if packed else knn.QUERY_BYTES
+        try:
+            got = [(r.qid, r.id) for r in knn.knn_join(rows, rows.where("id < 40"), "v", "id", 5).orderBy("qid", "rank").collect()]
+        finally:
+            knn.QUERY_BYTES = before
+        x = np.array([v for _, v in far])
+        want = [(q, i) for q in range(40) for i in np.lexsort((np.arange(500), np.sqrt(((x - x[q]) ** 2).sum(1))))[:5].tolist()]
+        assert got == want
+
+
+def test_unknown_metrics_and_taken_names_are_refused(cloud, tmp_path):
+    for work in (lambda: knn.knn(cloud, "v", [0.0] * 3, 1, "hamming"), lambda: knn.knn_join(cloud, cloud, "v", "id", 1, "L2"), lambda: ivf.build(cloud, str(tmp_path), "v", metric="jaccard"), lambda: hnsw.build(cloud, str(tmp_path), "v", metric="hamming")):
+        with pytest.raises(ValueError, match="unknown metric"):
+            work()
+    with pytest.raises(ValueError, match="distance"):
+        knn.knn(cloud.withColumn("distance", F.lit(1)), "v", [0.0] * 3, 1)
+
+
+def test_stored_index_opens_again(spark, cloud, tmp_path):
+    path = str(tmp_path / "i")
+    index = ivf.build(cloud.where("id < 900"), path, "v", "id", 6)
+    again = ivf.open_index(spark, path)
+    assert np.array_equal(again.centers, index.centers) and (again.metric, again.dim, again.projection) == ("l2", 3, None)
+    q = [0.1, 0.2, 0.3]
+    assert again.search(q, 5, 2).collect() == index.search(q, 5, 2).collect()
+    again.vacuum(cloud.where("id < 100"))
+    again.vacuum(cloud.where("id < 200"))
+    third = ivf.open_index(spark, path)
+    assert third.version == 2 and third.table().count() == 700
+    spark.range(1).write.parquet(f"{path}/lists-3/list_id=0/load=0")  # a rewrite that never ended
+    assert ivf.open_index(spark, path).table().count() == 700
+    for _ in range(2):  # a load that is repeated
+        third.insert(cloud.where("id >= 900 and id < 950"), "v", "id", "x", "overwrite")
+    assert third.table().count() == 750
+    with pytest.raises(ValueError, match="no index"):
+        ivf.open_index(spark, str(tmp_path / "none"))
+
+
+def test_bit_lists(spark, tmp_path):
+    rng = np.random.default_rng(2)
+    rows = [(i, "".join(rng.choice(list("01"), 52))) for i in range(2000)] + [(5000, None)]
+    df = spark.createDataFrame(rows, "id long, v string")
+    index = ivf.build(df, str(tmp_path / "b"), "v", "id", 5, "hamming")
+    q = rows[3][1]
+    want = sorted((sum(a != b for a, b in zip(q, v, strict=True)), i) for i, v in rows[:-1])
+    got = index.search(q, 20, 5).collect()
+    assert [(int(r.distance), r.id) for r in got] == want[:20]
+    assert len({r.id for r in index.search(q, 20, 2).collect()} & {i for _, i in want[:20]}) >= 6
+    assert ivf.open_index(spark, str(tmp_path / "b")).search(q, 1, 1).first().id == 3
+    with pytest.raises(ValueError, match="different bit lengths 52 and 3"):
+        index.search("101", 1)
+
+
+@pytest.mark.parametrize(("kind", "metric"), [("bit", "hamming"), ("bit", "jaccard"), ("sparsevec", "l2"), ("sparsevec", "cosine"), ("sparsevec", "ip"), ("sparsevec", "l1"), ("halfvec", "l2"), ("vector", "cosine")])
+def test_graph_kinds(spark, tmp_path, kind, metric):
+    rng = np.random.default_rng(4)
+    x = rng.random((300, 12)).round(2) * (rng.random((300, 12)) < 0.5)
+    x[0, 0] = 1
+    if kind == "bit":
+        df = spark.createDataFrame([(i, "".join("01"[int(b > 0)] for b in v)) for i, v in enumerate(x)], "id long, v string")
+        b = (x > 0).astype(float)
+        both = (b * b[0]).sum(1)
+        want = np.abs(b - b[0]).sum(1) if metric == "hamming" else np.where(both == 0, 1.0, 1 - both / np.maximum(1, ((b + b[0]) > 0).sum(1)))
+        q = df.first().v
+    else:
+        y = x.astype(np.float16).astype(float) if kind == "halfvec" else x.astype(np.float32).astype(float)
+        want = knn.exact_distance(y[0], y, metric)
+        df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "id long, v array<float>")
+        q = x[0].tolist()
+        if kind == "sparsevec":
+            df = df.select("id", T.vector_to_sparsevec(F.col("v")).alias("v"))
+            q = (np.flatnonzero(x[0]).tolist(), x[0][x[0] != 0].tolist())
+    g = hnsw.build(df, str(tmp_path / "g"), "v", metric=metric, m=8, ef_construction=32, shards=2, kind=kind)
+    got = g.search(q, 10, 400).collect()
+    near = np.sort(want[~np.isnan(want)])[:10]
+    assert np.allclose([r.distance for r in got], near, atol=1e-6) and all(abs(want[r.id] - r.distance) < 1e-6 for r in got)
+
+
+def test_graph_insert_and_vacuum(spark, cloud, tmp_path):
+    g = hnsw.build(cloud.where("id < 400"), str(tmp_path / "g"), "v", m=8, ef_construction=32, shards=3)
+    g.insert(cloud.where("id >= 400 and id < 600"), "v")
+    g.vacuum(cloud.where("id % 10 = 0"))
+    left = cloud.where("id < 600 and id % 10 <> 0")
+    truth = knn.knn_join(left, cloud.where("id < 20"), "v", "id", 10)
+    found = g.search_many(cloud.where("id < 20"), 10, 100, "off", "v")
+    assert knn.recall(found, truth, 10).first()[0] >= 0.97 and found.where("id % 10 = 0").count() == 0
+    g.vacuum(left)
+    assert g.search([0.5] * 3, 5).count() == 0
+    g.insert(cloud.where("id < 50"), "v")
+    assert g.search([0.5] * 3, 5, 60).count() == 5
