@@ -13,6 +13,7 @@ from decimal import Decimal, InvalidOperation
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -165,8 +166,19 @@ def pack_sparse(v) -> bytes:
     return np.array([v["dim"], len(v["indices"]), 0], ">i4").tobytes() + np.asarray(v["indices"], ">i4").tobytes() + np.asarray(v["values"], ">f4").tobytes()
 
 
-def unpack_sparse(data: bytes) -> dict:
+def unpack_sparse(data: bytes, expected: int | None = None) -> dict:
     dim, n, unused = (int(x) for x in np.frombuffer(data, ">i4", 3))
+    if dim < 1:
+        raise VectorError("sparsevec must have at least 1 dimension")
+    if dim > SPARSEVEC_MAX_DIM:
+        raise VectorError(f"sparsevec cannot have more than {SPARSEVEC_MAX_DIM} dimensions")
+    if n < 0:
+        raise VectorError("sparsevec cannot have negative number of elements")
+    if n > SPARSEVEC_MAX_NNZ:
+        raise VectorError(f"sparsevec cannot have more than {SPARSEVEC_MAX_NNZ} non-zero elements")
+    if n > dim:
+        raise VectorError("sparsevec cannot have more elements than dimensions")
+    _expected(None, dim, expected)
     if unused != 0:
         raise VectorError(f"expected unused to be 0, not {unused}")
     indices = np.frombuffer(data, ">i4", n, 12)
@@ -175,6 +187,10 @@ def unpack_sparse(data: bytes) -> dict:
         raise VectorError("sparsevec indices must not contain duplicates" if (np.diff(np.sort(indices)) == 0).any() else "sparsevec indices must be in ascending order")
     if n and (indices[0] < 0 or indices[-1] >= dim):
         raise VectorError("sparsevec index out of bounds")
+    if np.isnan(values).any():
+        raise VectorError("NaN not allowed in sparsevec")
+    if np.isinf(values).any():
+        raise VectorError("infinite value not allowed in sparsevec")
     if (values == 0).any():
         raise VectorError("binary representation of sparsevec cannot contain zero values")
     return {"dim": dim, "indices": indices.tolist(), "values": values.astype(float).tolist()}
@@ -183,20 +199,105 @@ def unpack_sparse(data: bytes) -> dict:
 _ARROW = {"array<float>": pa.list_(pa.float32()), "string": pa.string(), "binary": pa.binary(), SPARSE: pa.struct([("dim", pa.int32()), ("indices", pa.list_(pa.int32())), ("values", pa.list_(pa.float32()))])}
 
 
-def _each(f, kind: str):
+def _each(f, kind: str, batch=None):
+    """``batch`` takes a whole array without nulls, or returns None where values must go one by one (for the error's wording, say)."""
+
     @F.arrow_udf(kind)
     def run(x: pa.Array) -> pa.Array:
+        if batch is not None and len(x):
+            known = x.drop_null()
+            out = batch(known) if len(known) else None
+            if out is not None:
+                if len(known) == len(x):
+                    return out
+                at = np.cumsum(np.asarray(x.is_valid())) - 1
+                return out.take(pa.array(np.where(np.asarray(x.is_valid()), at, -1), mask=np.asarray(x.is_null())))
         return pa.array([None if v is None else f(v) for v in x.to_pylist()], _ARROW[kind])
 
     return run
 
 
+def _lists(flat: np.ndarray, offsets: np.ndarray) -> pa.Array:
+    return pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(flat, pa.float32()))
+
+
+def _lengths(x: pa.Array) -> np.ndarray:
+    return pc.list_value_length(x).to_numpy(zero_copy_only=False)
+
+
+def _batch_in(dim: int | None, half: bool):
+    """Plain texts of finite numbers, all in order."""
+
+    def run(x: pa.Array) -> pa.Array | None:
+        try:
+            if not pc.all(pc.match_substring_regex(x, r"^\[[-+.eE\d,]+\]$")).as_py():
+                return None
+            parts = pc.split_pattern(pc.utf8_slice_codeunits(x, 1, -1), ",")
+            flat = parts.flatten().cast(pa.float32()).to_numpy(zero_copy_only=False)
+        except pa.ArrowInvalid:
+            return None
+        n = _lengths(parts)
+        if n.max() > VECTOR_MAX_DIM or dim is not None and (n != dim).any() or not np.isfinite(flat).all():
+            return None
+        if half:
+            with np.errstate(over="ignore"):
+                flat = flat.astype(np.float16).astype(np.float32)
+            if not np.isfinite(flat).all():
+                return None
+        return _lists(flat, np.concatenate(([0], np.cumsum(n))))
+
+    return run
+
+
+def _batch_out(x: pa.Array) -> pa.Array:
+    flat = x.flatten().cast(pa.float32())
+    text = flat.cast(pa.string())
+    values = flat.to_numpy(zero_copy_only=False)
+    size = np.abs(values)
+    odd = np.flatnonzero((size != 0) & ((size < 1e-4) | (size >= 1e6)) | ~np.isfinite(size))
+    if len(odd):  # those that take an exponent
+        mask = np.zeros(len(values), dtype=bool)
+        mask[odd] = True
+        text = pc.replace_with_mask(text, mask, pa.array([_shortest(v) for v in values[odd]], pa.string()))
+    offsets = np.concatenate(([0], np.cumsum(_lengths(x))))
+    joined = pc.binary_join(pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), text), ",")
+    return pc.binary_join_element_wise("[", joined, "]", "")
+
+
+def _batch_send(half: bool):
+    def run(x: pa.Array) -> pa.Array | None:
+        n = _lengths(x)
+        if n.min() != n.max() or n[0] > VECTOR_MAX_DIM:
+            return None
+        out = np.empty(len(x), dtype=[("dim", ">i2"), ("unused", ">i2"), ("v", ">f2" if half else ">f4", (int(n[0]),))])
+        out["dim"], out["unused"], out["v"] = n[0], 0, x.flatten().to_numpy(zero_copy_only=False).reshape(len(x), -1)
+        offsets = np.arange(len(x) + 1, dtype=np.int32) * out.dtype.itemsize
+        return pa.Array.from_buffers(pa.binary(), len(x), [None, pa.py_buffer(offsets), pa.py_buffer(out.tobytes())])
+
+    return run
+
+
+def _batch_recv(half: bool):
+    def run(x: pa.Array) -> pa.Array | None:
+        n = pc.binary_length(x).to_numpy(zero_copy_only=False)
+        dim, rest = divmod(int(n[0]) - 4, 2 if half else 4)
+        if n.min() != n.max() or rest or dim < 1:
+            return None
+        got = np.frombuffer(b"".join(x.to_pylist()), dtype=[("dim", ">i2"), ("unused", ">i2"), ("v", ">f2" if half else ">f4", (dim,))])
+        flat = got["v"].astype(np.float32).ravel()
+        if (got["dim"] != dim).any() or got["unused"].any() or not np.isfinite(flat).all():
+            return None
+        return _lists(flat, np.arange(len(x) + 1) * dim)
+
+    return run
+
+
 def vector_in(text: Column, dim: int | None = None) -> Column:
-    return _each(lambda s: parse_vector(s, dim), "array<float>")(text)
+    return _each(lambda s: parse_vector(s, dim), "array<float>", _batch_in(dim, False))(text)
 
 
 def halfvec_in(text: Column, dim: int | None = None) -> Column:
-    return _each(lambda s: parse_vector(s, dim, "halfvec"), "array<float>")(text)
+    return _each(lambda s: parse_vector(s, dim, "halfvec"), "array<float>", _batch_in(dim, True))(text)
 
 
 def sparsevec_in(text: Column, dim: int | None = None) -> Column:
@@ -204,7 +305,7 @@ def sparsevec_in(text: Column, dim: int | None = None) -> Column:
 
 
 def vector_out(v: Column) -> Column:
-    return _each(format_vector, "string")(v)
+    return _each(format_vector, "string", _batch_out)(v)
 
 
 halfvec_out = vector_out
@@ -219,23 +320,23 @@ def sparsevec_send(v: Column) -> Column:
 
 
 def vector_send(v: Column) -> Column:
-    return _each(pack_vector, "binary")(v)
+    return _each(pack_vector, "binary", _batch_send(False))(v)
 
 
 def vector_recv(data: Column) -> Column:
-    return _each(unpack_vector, "array<float>")(data)
+    return _each(unpack_vector, "array<float>", _batch_recv(False))(data)
 
 
 def halfvec_send(v: Column) -> Column:
-    return _each(lambda x: pack_vector(x, True), "binary")(v)
+    return _each(lambda x: pack_vector(x, True), "binary", _batch_send(True))(v)
 
 
 def halfvec_recv(data: Column) -> Column:
-    return _each(lambda x: unpack_vector(x, True), "array<float>")(data)
+    return _each(lambda x: unpack_vector(x, True), "array<float>", _batch_recv(True))(data)
 
 
-def sparsevec_recv(data: Column) -> Column:
-    return _each(unpack_sparse, SPARSE)(data)
+def sparsevec_recv(data: Column, dim: int | None = None) -> Column:
+    return _each(lambda x: unpack_sparse(x, dim), SPARSE)(data)
 
 
 # --- casts, as expressions ---

@@ -7,7 +7,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .knn import matrix
+from .knn import free, matrix
 
 
 def rademacher(dim: int, k: int = 64, seed: int = 1) -> np.ndarray:
@@ -43,7 +43,9 @@ def formula_signs(dim: int, k: int) -> np.ndarray:
 
 
 def project(df: DataFrame, vec: str, r: np.ndarray, name: str = "projected", normalize: bool = False) -> DataFrame:
-    """Adds ``r`` times the vector, a matrix product a batch; other columns pass through."""
+    """Adds ``r`` times the vector, a matrix product a batch; other columns pass through, one of the same name is an error."""
+    if name.lower() in {c.lower() for c in df.columns}:
+        raise ValueError(f"the rows have a column {name!r}")
 
     def run(batches):
         for batch in batches:
@@ -68,6 +70,14 @@ def projected(vec: Column, r: np.ndarray) -> Column:
 
 def standardize(df: DataFrame, vec: str, dim: int, name: str = "scaled") -> DataFrame:
     """(x - mean) / standard deviation, value by value; a constant one becomes 0. One aggregate, its row broadcast."""
-    stats = df.agg(F.array(*(F.avg(F.get(vec, F.lit(i))) for i in range(dim))).alias("__m"), F.array(*(F.stddev_pop(F.get(vec, F.lit(i)).cast("double")) for i in range(dim))).alias("__s"))
-    scaled = F.transform(vec, lambda x, i: F.when(F.get("__s", i) > 0, (x - F.get("__m", i)) / F.when(F.get("__s", i) > 0, F.get("__s", i))).otherwise(0.0).cast("float"))
-    return df.crossJoin(F.broadcast(stats)).withColumn(name, scaled).drop("__m", "__s")
+    mean, spread = free(df, "__m"), free(df, "__s")
+    value = lambda i: F.get(vec, F.lit(i)).cast("double")
+    stats = df.agg(F.array(*(F.avg(value(i)) for i in range(dim))).alias(mean), F.array(*(F.stddev_pop(value(i)) for i in range(dim))).alias(spread))
+    scaled = F.transform(vec, lambda x, i: F.when(F.get(spread, i) > 0, (x - F.get(mean, i)) / F.when(F.get(spread, i) > 0, F.get(spread, i))).otherwise(0.0).cast("float"))
+    return df.crossJoin(F.broadcast(stats)).withColumn(name, scaled).drop(mean, spread)
+
+
+def gaussian_scaled(df: DataFrame, vec: str, dim: int, k: int | None = None, name: str = "projected", seed: int = 1) -> DataFrame:
+    """Standard-scaled vectors under a Gaussian projection."""
+    scaled = free(df, "__scaled")
+    return project(standardize(df, vec, dim, scaled), scaled, gaussian(dim, k, seed=seed), name).drop(scaled)

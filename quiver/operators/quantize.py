@@ -107,3 +107,16 @@ def adc(codes: DataFrame, quantizer: Quantizer, query: Sequence[float], k: int)
 def codes_out(codes: np.ndarray) -> list[str]:
     """Text form of codes: {1,2,3}."""
     return ["{" + ",".join(map(str, row)) + "}" for row in codes.tolist()]
+
+
+def codes_in(texts: Sequence[str]) -> np.ndarray:
+    """Codes from their text form; all of one length."""
+    rows = []
+    for t in texts:
+        body = t.strip()
+        if not (body.startswith("{") and body.endswith("}")):
+            raise ValueError(f"codes must stand in braces: {t!r}")
+        rows.append([int(x) for x in body[1:-1].split(",")])
+    if len({len(r) for r in rows}) > 1:
+        raise ValueError("codes of different lengths")
+    return np.array(rows, dtype=np.int64)

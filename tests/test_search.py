@@ -166,6 +166,29 @@ def test_files(spark, tmp_path):
     assert files.read_vector_csv(spark, str(tmp_path / "v.csv")).count() == 2
 
 
+def test_large_files_are_split(spark, tmp_path, monkeypatch):
+    v = np.random.default_rng(0).random((4000, 8)).astype(np.float32)
+    (tmp_path / "b.fvecs").write_bytes(files.pack_fvecs(v))
+    monkeypatch.setattr(files, "PIECE", 20_000)
+    df = files.read_fvecs(spark, str(tmp_path / "b.fvecs"), 8)
+    assert df.rdd.getNumPartitions() > 4
+    got = df.orderBy("id").collect()
+    assert [r.id for r in got] == list(range(4000)) and np.array_equal(np.array([r.embedding for r in got], dtype=np.float32), v)
+    near = knn.knn_join(df, df.where("id < 5"), "embedding", "id", 3).groupBy("qid").agg(F.sort_array(F.collect_list(F.struct("rank", "id")))["id"].alias("neighbours"))
+    truth = near.select(F.col("qid").alias("id"), "neighbours")
+    assert files.check_truth(truth, df, df.where("id < 5"), 3).count() == 0
+    wrong = truth.select("id", F.when(F.col("id") == 2, F.array(F.lit(2), F.lit(17).cast("long"), F.lit(18))).otherwise(F.col("neighbours")).alias("neighbours"))
+    assert [r.qid for r in files.check_truth(wrong, df, df.where("id < 5"), 3).collect()] == [2]
+
+
+def test_codes_read_back():
+    codes = np.array([[1, 2, 3], [0, 255, 7]])
+    assert np.array_equal(quantize.codes_in(quantize.codes_out(codes)), codes)
+    for bad in (["1,2"], ["{1}", "{1,2}"]):
+        with pytest.raises(ValueError):
+            quantize.codes_in(bad)
+
+
 def test_planner(spark, small, cloud, index):
     s = planner.Settings()
     with pytest.raises(ValueError, match=r'0 is outside the valid range for parameter "ivfflat.probes" \(1 .. 32768\)'):

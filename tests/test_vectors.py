@@ -161,3 +161,33 @@ def test_aggregates(spark):
     assert V.avg_vector(df.where("g = 2"), "v").first()[0] is None
     with pytest.raises(Exception, match="expected 1 dimensions, not 2"):
         V.avg_vector(spark.createDataFrame([([1.0],), ([1.0, 2.0],)], "v array<float>"), "v").collect()
+
+
+def test_codecs_by_batch(spark):
+    """Batches agree with values one by one: odd texts, exponents, nulls, several lengths."""
+    rng = np.random.default_rng(0)
+    values = [np.float32(x) for x in (0.0, -0.0, 1.5, 1e-7, -3e38, 123456.0, 1234567.0, 0.1, 1e-4, 9.999e5)]
+    rows = [(i, [float(values[j]) for j in rng.integers(0, len(values), n)]) for i, n in enumerate([3] * 20 + [1, 5, 2])] + [(99, None)]
+    df = spark.createDataFrame(rows, "id long, v array<float>")
+    got = df.select("id", "v", T.vector_out(F.col("v")).alias("t")).withColumn("back", T.vector_in(F.col("t"))).withColumn("bin", T.vector_recv(T.vector_send(F.col("v")))).collect()
+    for r in got:
+        if r.v is None:
+            assert r.t is None and r.back is None and r.bin is None
+        else:
+            assert r.t == T.format_vector(r.v) and r.back == r.v == r.bin
+    same = spark.createDataFrame([(i, [0.5 * i, -1.0, 2.0]) for i in range(50)] + [(60, None)], "id long, v array<float>")
+    got = same.select("v", T.halfvec_recv(T.halfvec_send(F.col("v"))).alias("h"), T.vector_recv(T.vector_send(F.col("v"))).alias("b"), T.halfvec_in(T.vector_out(F.col("v"))).alias("t")).collect()
+    assert all(r.v == r.h == r.b == r.t for r in got)
+    for text, words in (("[1,nan]", "NaN"), ("[1,]", "invalid"), ("[1,4e38]", "out of range"), ("[1,2,3]", "expected 2")):
+        with pytest.raises(Exception, match=words):
+            spark.createDataFrame([("[1,2]",), (text,)], "t string").select(T.vector_in(F.col("t"), 2)).collect()
+    assert spark.createDataFrame([(" [ 1 , 2 ] ",), ("[3,4]",)], "t string").select(T.vector_in(F.col("t")).alias("v")).collect()[0].v == [1.0, 2.0]
+
+
+@pytest.mark.parametrize(("dim", "n", "index", "value", "words"), [(-3, 0, 0, 1.0, "at least 1"), (5, -1, 0, 1.0, "negative"), (5, 1, 0, float("nan"), "NaN"), (5, 1, 0, float("inf"), "infinite"), (5, 1, 7, 1.0, "bounds"), (5, 1, 0, 0.0, "zero"), (1_000_000_001, 0, 0, 1.0, "dimensions"), (1, 2, 0, 1.0, "more elements")])
+def test_sparse_binary_is_checked(dim, n, index, value, words):
+    data = np.array([dim, n, 0], ">i4").tobytes() + np.array([index] * max(0, n), ">i4").tobytes() + np.array([value] * max(0, n), ">f4").tobytes()
+    with pytest.raises(T.VectorError, match=words):
+        T.unpack_sparse(data)
+    with pytest.raises(T.VectorError, match="expected 4 dimensions, not 3"):
+        T.unpack_sparse(T.pack_sparse({"dim": 3, "indices": [1], "values": [2.0]}), 4)
