@@ -6,8 +6,16 @@ whose lowest bits differ in 10 %. A document has ``TABLES`` segments of 23
 bits. Each is decoded to the indices of the Golay codewords near it (one to
 six, as in ``simhash``); a key is one index with two whole samples. Two
 texts at 0.8 share a key of a table with a chance of about 0.5, of any table
-of about 0.9998. Rows of one key are compared by 128 further bits, candidates by
-all bits, and what those can't tell for sure by the shingles themselves.
+of about 0.9998.
+
+A first pass links each row of a key with the nearest of the rows that lead
+the key, by 128 further bits, then by all bits, and where those can't tell for
+sure by the shingles themselves: one candidate a row and key at most. Keys
+that hold several components after that join their rows into groups, and a
+second pass compares all rows of a group whose components differ, by all bits
+and then by their shingles, in cells that send links alone. So no row that
+shares a key with a similar one is lost, and nothing grows with the square of
+a group but the comparisons in memory.
 """
 
 from __future__ import annotations
@@ -32,6 +40,10 @@ GATE = 5.0
 PRIME = np.uint64(0x9E3779B97F4A7C15)
 SMALL = 64 << 20
 CELL = 1024
+LEADERS = 256
+"""Rows of a key that others are compared with in the first pass; the second one handles the rest."""
+SEEN = 1 << 18
+"""Candidates that a task remembers, so as not to send them again for other keys."""
 
 
 def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
@@ -96,26 +108,49 @@ def _words(column: pa.Array) -> np.ndarray:
     return np.frombuffer(b"".join(column.to_pylist()), dtype="<u8").reshape(len(column), -1)
 
 
+class _Leaders:
+    """Of one key's rows, those that lead: with no earlier leader ``same`` bits away or fewer."""
+
+    def __init__(self):
+        self.nodes, self.words = [], []
+
+    def take(self, node: np.ndarray, word: np.ndarray, same: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of further rows: the nearest leader (its node), how many bits it is away (a large number without one), whether the row leads."""
+        near, far = np.zeros(len(node), dtype=np.int64), np.full(len(node), 999)
+        leads = np.zeros(len(node), dtype=bool)
+        left, at = np.arange(len(node)), 0
+        while len(left):
+            if at == len(self.nodes):
+                if at >= LEADERS:
+                    break
+                x, left = left[0], left[1:]
+                leads[x] = True
+                self.nodes.append(node[x])
+                self.words.append(word[x])
+            d = np.bitwise_count(word[left] ^ self.words[at]).sum(axis=1, dtype=np.int64)
+            closer = (d < far[left]) & (node[left] != self.nodes[at])
+            near[left[closer]], far[left[closer]] = self.nodes[at], d[closer]
+            left = left[d > same]
+            at += 1
+        return near, far, leads
+
+
 def _close(key: np.ndarray, node: np.ndarray, word: np.ndarray, most: int, same: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Candidates of rows sorted by key, and the rows that lead: those with no earlier leader of their key ``same`` bits away or fewer."""
+    """Of rows sorted by key: a candidate a row at most (smaller node, larger node), and the rows that lead."""
     edges = np.flatnonzero(key[1:] != key[:-1]) + 1
     starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(key)]))
     leads = np.ones(len(key), dtype=bool)
     a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
     many = ends - starts > 1
     for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-        left = np.arange(i, j)
-        while len(left) > 1:
-            x, left = left[0], left[1:]
-            d = np.bitwise_count(word[left] ^ word[x]).sum(axis=1)
-            near = left[d <= most]
-            a.append(np.repeat(node[x], len(near)))
-            b.append(node[near])
-            leads[left[d <= same]] = False
-            left = left[d > same]
+        near, far, leads[i:j] = _Leaders().take(node[i:j], word[i:j], same)
+        hit = far <= most
+        a.append(near[hit])
+        b.append(node[i:j][hit])
+        # rows that no leader settles go on to the key's other rows
+        leads[i:j] |= far > same
     a, b = np.concatenate(a), np.concatenate(b)
-    other = a != b
-    return np.minimum(a, b)[other], np.maximum(a, b)[other], leads
+    return np.minimum(a, b), np.maximum(a, b), leads
 
 
 def _rows(key, node, other, word):
@@ -159,20 +194,29 @@ def _candidates(most: int, same: int):
     """Streams rows sorted by key; only the leaders of the key that goes on are kept between batches."""
 
     def run(batches):
-        held = None
+        last, leaders, seen = None, _Leaders(), set()
         for batch in batches:
             key, node, other, *word = (batch.column(c).to_numpy() for c in ("key", "node", "other", "w0", "w1"))
             ready = node != other
-            yield pa.RecordBatch.from_arrays([pa.array(node[ready]), pa.array(other[ready])], names=["a", "b"])
+            a, b = [node[ready]], [other[ready]]
             key, node, word = key[~ready], node[~ready], np.stack(word, axis=1)[~ready].view(np.uint64)
-            if not len(key):
-                continue
-            if held is not None and held[0][0] == key[0]:
-                key, node, word = (np.concatenate(x) for x in zip(held, (key, node, word), strict=True))
-            a, b, leads = _close(key, node, word, most, same)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-            go_on = leads & (key == key[-1])
-            held = key[go_on], node[go_on], word[go_on]
+            edges = np.flatnonzero(key[1:] != key[:-1]) + 1
+            alone = np.diff(np.concatenate(([0], edges, [len(key)]))) == 1
+            for i, j, one in zip([0, *edges.tolist()], [*edges.tolist(), len(key)], alone.tolist(), strict=True) if len(key) else ():
+                if key[i] != last:
+                    if one and j < len(key):
+                        continue
+                    last, leaders = key[i], _Leaders()
+                near, far, _ = leaders.take(node[i:j], word[i:j], same)
+                hit = far <= most
+                a.append(np.minimum(near[hit], node[i:j][hit]))
+                b.append(np.maximum(near[hit], node[i:j][hit]))
+            pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1).T.tolist()
+            new = [p for p in map(tuple, pairs) if p not in seen]
+            if len(seen) > SEEN:
+                seen.clear()
+            seen.update(new)
+            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
 
     return run
 
@@ -215,69 +259,91 @@ def _key_roots(batches):
 
 
 def _across(least: float):
-    """Streams rows sorted by cell and side; pairs of different roots that may reach ``least``. Side 0 meets side 1, side 2 itself."""
-    wide = _doubt(least)
-    columns = ("cell", "side", "node", "root")
+    """Streams rows sorted by cell and side; links between different components, no two for the same pair of them. Side 0 meets side 1, side 2 itself."""
+    wide = 4.5 / SIGMAS * _doubt(least)
 
-    def pairs(side, node, root, bits):
-        a, b, about = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], [np.zeros(0)]
+    def links(side, node, root, bits, sets):
+        parent: dict[int, int] = {}
+
+        def find(r: int) -> int:
+            while parent.setdefault(r, r) != r:
+                parent[r] = parent[parent[r]]
+                r = parent[r]
+            return r
+
+        out, size = [], np.array([len(x) for x in sets])
+        roots = root.tolist()
         for x in range(len(node)):
             if side[x] == 1:
                 break
             others = np.arange(x + 1, len(node)) if side[x] == 2 else np.flatnonzero(side == 1)
-            others = others[root[others] != root[x]]
+            others = others[(root[others] != root[x]) & (np.minimum(size[others], size[x]) >= least * np.maximum(size[others], size[x]))]
             near = 1 - 2 * np.bitwise_count(bits[others] ^ bits[x]).sum(axis=1, dtype=np.int64) / BITS
-            may = near >= least - wide
-            a.append(np.repeat(node[x], may.sum()))
-            b.append(node[others[may]])
-            about.append(near[may])
-        a, b, about = np.concatenate(a), np.concatenate(b), np.concatenate(about)
-        return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b), pa.int64()), pa.array(np.maximum(a, b), pa.int64()), pa.array(about >= least + wide)], names=["a", "b", "sure"])
+            may = np.flatnonzero(near >= least - wide)
+            for o in others[may[np.argsort(-near[may], kind="stable")]].tolist():
+                if find(roots[o]) == find(roots[x]):
+                    continue
+                both = len(np.intersect1d(sets[x], sets[o], assume_unique=True))
+                if both >= least * (size[x] + size[o] - both):
+                    out.append((int(node[x]), int(node[o])))
+                    parent[find(roots[o])] = find(roots[x])
+        return pa.RecordBatch.from_arrays([pa.array([p[k] for p in out], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
     def run(batches):
-        held = None
+        held, now = [], None
+
+        def flush():
+            rows = [np.concatenate(x) for x in zip(*((h[0], h[1], h[2]) for h in held), strict=True)]
+            return links(*rows, np.concatenate([h[3] for h in held]), [x for h in held for x in h[4]])
+
         for batch in batches:
             if not batch.num_rows:
                 continue
-            rows = [*(batch.column(c).to_numpy() for c in columns), _words(batch.column("bits"))]
-            if held is not None:
-                rows = [np.concatenate(x) for x in zip(held, rows, strict=True)]
-            edges = [0, *(np.flatnonzero(rows[0][1:] != rows[0][:-1]) + 1).tolist()]
+            cell, side, node, root = (batch.column(c).to_numpy() for c in ("cell", "side", "node", "root"))
+            bits, shingles = _words(batch.column("bits")), batch.column("shingles")
+            edges = [0, *(np.flatnonzero(cell[1:] != cell[:-1]) + 1).tolist(), len(cell)]
             for i, j in zip(edges[:-1], edges[1:], strict=True):
-                yield pairs(*(x[i:j] for x in rows[1:]))
-            held = [x[edges[-1] :] for x in rows]
-        if held is not None:
-            yield pairs(*held[1:])
+                if held and cell[i] != now:
+                    yield flush()
+                    held = []
+                now = cell[i]
+                held.append((side[i:j], node[i:j], root[i:j], bits[i:j], [np.frombuffer(x.as_py(), dtype=np.int64) for x in shingles.slice(i, j - i)]))
+        if held:
+            yield flush()
 
     return run
 
 
-def _skipped(nodes: DataFrame, roots: DataFrame, least: float) -> DataFrame:
-    """(a, b, sure): pairs with a common key whose components differ still, all of them.
+def _skipped(docs: DataFrame, nodes: DataFrame, roots: DataFrame, width: int, least: float) -> DataFrame | None:
+    """(a, b): links between texts with a common key whose components differ still; None where no key has two components.
 
-    Only keys with more than one component take part. In such a key the rows
-    of the largest component meet all others, and the others meet one another,
-    in cells of about ``CELL`` rows a side, so no task takes a whole large key.
+    Keys that share a row make one group. In a group the rows of the largest
+    component meet all others, and the others meet one another, in cells of
+    about ``CELL`` rows a side, so no task takes a whole large group.
     """
-    now = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "sketch"))
-    keyed = now.mapInArrow(_key_roots, "key long, node long, root long")
-    mixed = cut(keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("key"))
-    few = mixed.count() * 8 <= SMALL
-    rows = cut(keyed.join(F.broadcast(mixed) if few else mixed, "key", "left_semi"))
-    sizes = rows.groupBy("key", "root").agg(F.count("*").alias("n"))
-    sizes = sizes.groupBy("key").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
-    sizes = sizes.select("key", F.col("top.root").alias("big"), F.ceil(F.col("top.n") / CELL).alias("c1"), F.ceil((F.col("all") - F.col("top.n")) / CELL).alias("c2"))
+    now = cut(nodes.join(roots, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "doc", "row", "sketch"))
+    keyed = now.select("node", "root", "sketch").mapInArrow(_key_roots, "key long, node long, root long")
+    mixed = keyed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.min("node").alias("b")).where("lo != hi")
+    mixed = cut(mixed.select("key", "b"))
+    n = mixed.count()
+    if not n:
+        return None
+    edges = cut(keyed.join(F.broadcast(mixed) if n * 16 <= SMALL else mixed, "key").select(F.col("node").alias("a"), "b").distinct())
+    groups = components(edges).select("node", F.col("root").alias("grp"))
+    rows = cut(now.join(groups, "node").select("node", "root", "grp", "doc", "row", _bits().alias("bits")))
+    sizes = rows.groupBy("grp", "root").agg(F.count("*").alias("n"))
+    sizes = sizes.groupBy("grp").agg(F.max(F.struct("n", "root")).alias("top"), F.sum("n").alias("all"))
+    sizes = sizes.select("grp", F.col("top.root").alias("big"), F.ceil(F.col("top.n") / CELL).alias("c1"), F.ceil((F.col("all") - F.col("top.n")) / CELL).alias("c2"))
     at = lambda c: F.pmod(F.xxhash64("node"), F.col(c))
     upto = lambda c: F.sequence(F.lit(0).cast("long"), F.col(c) - 1)
-    cell = lambda kind, i, j, side: F.struct(F.xxhash64("key", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
+    cell = lambda kind, i, j, side: F.struct(F.xxhash64("grp", F.lit(kind), i, j).alias("cell"), side.cast("int").alias("side"))
     of_big = F.transform(upto("c2"), lambda g: cell(0, at("c1"), g, F.lit(0)))
     with_big = F.transform(upto("c1"), lambda g: cell(0, g, at("c2"), F.lit(1)))
     with_rest = F.transform(upto("c2"), lambda g: cell(1, F.least(g, at("c2")), F.greatest(g, at("c2")), F.when(g == at("c2"), 2).when(g < at("c2"), 1).otherwise(0)))
-    dealt = rows.join(sizes, "key").select("node", "root", F.explode(F.when(F.col("root") == F.col("big"), of_big).otherwise(F.concat(with_big, with_rest))).alias("at"))
-    bits = now.select("node", _bits().alias("bits"))
+    dealt = rows.join(sizes, "grp").select("node", "root", "bits", F.explode(F.when(F.col("root") == F.col("big"), of_big).otherwise(F.concat(with_big, with_rest))).alias("at"))
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = dealt.select("node", "root", "at.cell", "at.side").join(bits, "node").repartition(parts, "cell").sortWithinPartitions("cell", "side", "node")
-    return dealt.mapInArrow(_across(least), "a long, b long, sure boolean").distinct()
+    dealt = dealt.select("node", "root", "bits", "at.cell", "at.side").join(_shingles(docs, rows, width), "node")
+    return dealt.repartition(parts, "cell").sortWithinPartitions("cell", "side", "node").mapInArrow(_across(least), "a long, b long")
 
 
 def _sets(width: int):
@@ -287,22 +353,39 @@ def _sets(width: int):
                 words, at = slice_words([t.lower() for t in texts])
                 for i, j in zip(at[:-1], at[1:], strict=True):
                     part = words[i:j]
-                    yield pa.RecordBatch.from_arrays([pa.array([node_of(part)], pa.int64()), pa.array([shingles_of(part, width).view(np.int64)], pa.list_(pa.int64()))], names=["node", "shingles"])
+                    yield pa.RecordBatch.from_arrays([pa.array([node_of(part)], pa.int64()), pa.array([shingles_of(part, width).tobytes()], pa.binary())], names=["node", "shingles"])
 
     return run
 
 
-def _verified(docs: DataFrame, nodes: DataFrame, doubtful: DataFrame, width: int, least: float) -> DataFrame:
-    """The pairs whose shingles reach ``least``; only their documents are read again."""
-    wanted = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    ids = cut(nodes.join(wanted, "node", "left_semi").select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct())
+def _shingles(docs: DataFrame, rows: DataFrame, width: int) -> DataFrame:
+    """(node, shingles) of the texts of ``rows`` (doc, row); only these are read again."""
+    ids = cut(rows.select(F.col("doc").alias("__doc"), F.col("row").alias("__row")).distinct())
     few = ids.count() * 16 <= SMALL
     texts = text_rows(docs).join(F.broadcast(ids) if few else ids, (known_id(F.col("doc_id")) == F.col("__doc")) & (row_in(F.col("text")) == F.col("__row")), "left_semi")
-    sets = texts.mapInArrow(_sets(width), "node long, shingles array<long>").groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    return texts.mapInArrow(_sets(width), "node long, shingles binary").dropDuplicates(["node"])
+
+
+def _agree(least: float):
+    def run(batches):
+        for batch in batches:
+            x, y = (batch.column(c) for c in ("x", "y"))
+            keep = []
+            for i, j in zip(x, y, strict=True):
+                i, j = np.frombuffer(i.as_py(), dtype=np.int64), np.frombuffer(j.as_py(), dtype=np.int64)
+                both = len(np.intersect1d(i, j, assume_unique=True))
+                keep.append(both >= least * (len(i) + len(j) - both))
+            yield pa.RecordBatch.from_arrays([batch.column(c).filter(pa.array(keep, pa.bool_())) for c in ("a", "b")], names=["a", "b"])
+
+    return run
+
+
+def _verified(docs: DataFrame, nodes: DataFrame, doubtful: DataFrame, width: int, least: float) -> DataFrame:
+    """The pairs whose shingles reach ``least``."""
+    wanted = doubtful.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    sets = _shingles(docs, nodes.join(wanted, "node", "left_semi"), width)
     x, y = (sets.select(F.col("node").alias(c), F.col("shingles").alias(s)) for c, s in (("a", "x"), ("b", "y")))
-    both = F.size(F.array_intersect("x", "y"))
-    pairs = doubtful.join(x, "a").join(y, "b")
-    return pairs.where(both >= F.lit(least) * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return doubtful.join(x, "a").join(y, "b").mapInArrow(_agree(least), "a long, b long")
 
 
 def _stars(roots: DataFrame) -> DataFrame:
@@ -330,19 +413,12 @@ def _grouped(docs: DataFrame, found: DataFrame, shingle: int, least: float) -> D
     for c, s in (("a", "x"), ("b", "y")):
         pairs = pairs.join(nodes.select(F.col("node").alias(c), _bits().alias(s)), c)
     judged = cut(pairs.mapInArrow(_judged(least), "a long, b long, sure boolean"))
-    sure = judged.where("sure").select("a", "b")
-    roots = components(sure)
-    doubtful = judged.where(~F.col("sure")).select("a", "b")
-    for c in ("a", "b"):
-        doubtful = doubtful.join(roots.select(F.col("node").alias(c), F.col("root").alias(f"{c}_root")), c, "left")
-    doubtful = cut(doubtful.where(F.coalesce("a_root", "a") != F.coalesce("b_root", "b")).select("a", "b"))
-    # the stars of the first pass stand for all its links
-    roots = components(_stars(roots).union(_verified(docs, nodes, doubtful, shingle, least)))
-    # what leaders hid from one another
-    more = cut(_skipped(nodes, roots, least).join(doubtful, ["a", "b"], "left_anti"))
-    if not more.isEmpty():
-        unsure = more.where(~F.col("sure")).select("a", "b")
-        roots = components(_stars(roots).union(more.where("sure").select("a", "b")).union(_verified(docs, nodes, unsure, shingle, least)))
+    sure, doubtful = judged.where("sure").select("a", "b"), judged.where(~F.col("sure")).select("a", "b")
+    roots = components(sure.union(_verified(docs, nodes, doubtful, shingle, least)))
+    more = _skipped(docs, nodes, roots, shingle, least)
+    if more is not None and not (more := cut(more)).isEmpty():
+        # the stars of the first pass stand for all its links
+        roots = components(_stars(roots).union(more))
     return nodes.select("node", "doc", "row", "longest").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
 
 
@@ -354,10 +430,9 @@ def similar_documents(docs: DataFrame, shingle: int = 5, least: float = 0.8) ->
     without words, link with one another only. component_id is the smallest
     doc_id reachable over links. Null doc_id: NO_ID, one document, smaller
     than all others. Repeated rows keep their rows. Texts of equal words are
-    one ``node``. Within a key, a row whose bits put it clearly above
-    ``least`` with its leader isn't compared with further rows at first: links
-    show up as paths over leaders. Where a key has several components after
-    that, all its rows of different components are compared.
+    one ``node``. Links show up as paths where a key's rows are linked to its
+    leaders; where a key has several components after that, all its rows of
+    different components are compared.
     """
     found = _sketched(docs, shingle)
     least_of = _grouped(docs, found, shingle, least)
