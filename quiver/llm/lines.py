@@ -112,7 +112,8 @@ def dropped_lines(docs: DataFrame, min_chars: int = 40, min_docs: int = 5) -> Da
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("h1"), F.col("h2"), F.col("doc").desc()]
-    dealt = occurrences(docs, min_chars).repartitionByRange(parts, *order).sortWithinPartitions(*order, "row", "pos")
+    # the ranges are found by a pass over the rows: over these, not over the texts again
+    dealt = cut(occurrences(docs, min_chars)).repartitionByRange(parts, *order).sortWithinPartitions(*order, "row", "pos")
     found = cut(dealt.mapInArrow(_stream(min_docs), _ROW))
     # an open key has an edge row from each partition that it touches: two a partition at most
     edges = found.where(F.col("kind") == _EDGE).groupBy("h1", "h2").agg(F.sum("n").alias("docs"), F.max("top").alias("most")).where(F.col("docs") >= min_docs)
