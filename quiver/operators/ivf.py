@@ -300,13 +300,13 @@ def check_centers(centers: np.ndarray, lists: int) -> np.ndarray:
     return centers
 
 
-def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lists: int = 100, metric: str = "l2", kind: str = "vector", seed: int = 1, project: int | None = None, centers: np.ndarray | None = None) -> IvfIndex:
+def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lists: int = 100, metric: str = "l2", kind: str = "vector", seed: int = 1, project: int | np.ndarray | None = None, centers: np.ndarray | None = None) -> IvfIndex:
     """Samples max(50 * lists, 10000) rows by hash, trains centres on the driver, assigns on the executors, writes list partitions to an emptied ``path``.
 
     ``metric`` "hamming" takes bit strings; its centres are majorities.
 
-    ``project``: centres live in a random projection to that many dimensions
-    (rows keep their full vectors). Null vectors, and zero ones for cosine,
+    ``project``: centres live in a random projection to that many dimensions,
+    or in the given one (rows keep their full vectors). Null vectors, and zero ones for cosine,
     are not indexed.
     """
     if not 1 <= lists <= MAX_LISTS:
@@ -323,7 +323,7 @@ def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lis
     if dim > MAX_DIM[kind]:
         raise ValueError(f"column cannot have more than {MAX_DIM[kind]} dimensions for ivfflat index")
     spherical = metric in ("ip", "cosine")
-    if metric == "hamming" and project:
+    if metric == "hamming" and project is not None:
         raise ValueError("bits have no projection")
     if spherical and dim < 2:
         raise ValueError("dimensions must be greater than one for this opclass")
@@ -333,13 +333,13 @@ def build(df: DataFrame, path: str, vec: str = "embedding", key: str = "id", lis
     if spherical and len(x):
         n = np.linalg.norm(x, axis=1)
         x = x[n > 0] / n[n > 0][:, None]
-    r = P.rademacher(dim, project, seed) if project else None
+    r = project if isinstance(project, np.ndarray) else P.rademacher(dim, project, seed) if project else None
     notices = [] if len(x) >= lists else ["ivfflat index created with little data"]
     if centers is None:
         space = x if r is None else x @ r.T
         if spherical and len(space):
             space = space / np.maximum(np.linalg.norm(space, axis=1, keepdims=True), 1e-30)
-        centers = kmeans(space.reshape(len(x), -1) if len(x) else np.zeros((0, project or dim)), lists, spherical, bits, seed=seed)
+        centers = kmeans(space.reshape(len(x), -1) if len(x) else np.zeros((0, dim if r is None else len(r))), lists, spherical, bits, seed=seed)
     centers = check_centers(np.asarray(centers, dtype=np.float64), lists)
     spark = df.sparkSession
     _delete(spark, path)

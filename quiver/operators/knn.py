@@ -248,3 +248,21 @@ def fuse_ranks(a: DataFrame, b: DataFrame, key: str, constant: int = 60) -> Data
     both = one(a, "__a").join(one(b, "__b"), key, "full_outer")
     part = lambda n: F.coalesce(1.0 / (F.lit(float(constant)) + F.col(n)), F.lit(0.0))
     return both.select(key, (part("__a") + part("__b")).alias("score"))
+
+
+def text_rank(df: DataFrame, text: str, key: str, terms: Sequence[str], k1: float = 1.2) -> DataFrame:
+    """(key, score) of rows with a term: sum of idf * tf * (k1 + 1) / (tf + k1) over ``terms``, rounded to six places.
+
+    Words are runs of a-z of the lower-cased text. One pass counts the terms,
+    one aggregate of a row a term gives their frequencies.
+    """
+    words = F.regexp_extract_all(F.lower(F.coalesce(F.col(text), F.lit(""))), F.lit("[a-z]+"), F.lit(0))
+    held = lambda t: F.size(F.filter("w", lambda x: x == F.lit(t)))
+    counts = df.select(key, words.alias("w")).select(key, *(held(t).alias(f"tf{i}") for i, t in enumerate(terms)))
+    seen = counts.agg(F.count("*").alias("n"), *(F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))))
+    parts = [F.when(F.col(f"tf{i}") > 0, F.ln(1 + (F.col("n") - F.col(f"df{i}") + 0.5) / (F.col(f"df{i}") + 0.5)) * F.col(f"tf{i}") * (k1 + 1) / (F.col(f"tf{i}") + k1)).otherwise(0.0) for i in range(len(terms))]
+    hit = F.lit(False)
+    for i in range(len(terms)):
+        hit = hit | (F.col(f"tf{i}") > 0)
+    total = sum(parts[1:], parts[0])
+    return counts.where(hit).crossJoin(F.broadcast(seen)).select(key, F.round(total, 6).alias("score"))

@@ -42,7 +42,7 @@ def formula_signs(dim: int, k: int) -> np.ndarray:
     return np.where((31 * i + 17 * j + i * j) % 7 % 2 == 0, 1.0, -1.0) / np.sqrt(k)
 
 
-def project(df: DataFrame, vec: str, r: np.ndarray, name: str = "projected", normalize: bool = False) -> DataFrame:
+def project(df: DataFrame, vec: str, r: np.ndarray, name: str = "projected", normalize: bool = False, kind: str = "float") -> DataFrame:
     """Adds ``r`` times the vector, a matrix product a batch; other columns pass through, one of the same name is an error."""
     if name.lower() in {c.lower() for c in df.columns}:
         raise ValueError(f"the rows have a column {name!r}")
@@ -55,11 +55,11 @@ def project(df: DataFrame, vec: str, r: np.ndarray, name: str = "projected", nor
             if normalize:
                 n = np.linalg.norm(y, axis=1, keepdims=True)
                 y = np.where(n < 1e-8, y, y / np.maximum(n, 1e-30))
-            flat = pa.array(y.ravel().astype(np.float32))
+            flat = pa.array(y.ravel().astype(np.float32 if kind == "float" else np.float64))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.ListArray.from_arrays(pa.array(np.arange(len(y) + 1) * y.shape[1], pa.int32()), flat)], names=[*batch.schema.names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema)
-    return df.where(F.col(vec).isNotNull()).mapInArrow(run, f"{kinds}, `{name}` array<float>")
+    return df.where(F.col(vec).isNotNull()).mapInArrow(run, f"{kinds}, `{name}` array<{kind}>")
 
 
 def projected(vec: Column, r: np.ndarray) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 from collections.abc import Callable
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 from ..functions import types as T
 from ..functions import vectors as V
 from ..operators import hnsw, ivf, knn, projection, quantize
+from ..sources import files
+from . import planner
 
 DIM = 64
 QUERY = [(i * 37 % DIM - 32) / DIM for i in range(DIM)]
@@ -46,7 +49,11 @@ def _r(c, digits: int = 6):
 
 def _folder(spark: SparkSession, name: str) -> str:
     """A place for an index: in the shared folder where the session names one."""
-    base = spark.sparkContext.getCheckpointDir() or spark.sparkContext.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="index-")
+    sc = spark.sparkContext
+    base = sc.getCheckpointDir() or sc.getConf().get("spark.checkpoint.dir")
+    if not base and not re.match(r"local(\[|$)", sc.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+    base = base or tempfile.mkdtemp(prefix="index-")
     return f"{base}/{name}-{spark.sparkContext.applicationId}-{np.random.default_rng().integers(2**62):x}"
 
 
@@ -108,11 +115,11 @@ def vector_norm(spark, sf_dir):
 
 
 def _exploded(df: DataFrame, digits: int = 5) -> DataFrame:
-    return df.select("id", F.posexplode("x").alias("pos", "value")).select("id", (F.col("pos") + 1).cast("long").alias("pos"), _r(F.col("value").cast("double"), digits).alias("value"))
+    return df.select("id", F.posexplode("x").alias("pos", "value")).select("id", (F.col("pos") + 1).cast("long").alias("pos"), (_r(F.col("value").cast("double"), digits) + 0.0).alias("value"))  # no negative zero
 
 
 def _explode_sql(expr: str, digits: int = 5, source: str = E_SQL) -> str:
-    return f"SELECT id, unnest(range(1, len(x) + 1)) AS pos, round(unnest(x)::DOUBLE, {digits}) AS value FROM (SELECT id, {expr} AS x FROM {source})"
+    return f"SELECT id, unnest(range(1, len(x) + 1)) AS pos, round(unnest(x)::DOUBLE, {digits}) + 0.0 AS value FROM (SELECT id, {expr} AS x FROM {source})"
 
 
 PAIR_SQL = f"(SELECT a.id, a.v AS a, b.v AS b FROM {E_SQL} a JOIN {E_SQL} b ON b.id = a.id + 1)"
@@ -202,10 +209,15 @@ def vec_order(spark, sf_dir):
     return _emb(spark, sf_dir).orderBy(F.col("v").asc_nulls_last(), "id").limit(25).select("id")
 
 
-@query("SELECT list_slice(list_transform(embedding, lambda x: sign(x)::INTEGER), 1, 3)[1] AS s1, list_slice(list_transform(embedding, lambda x: sign(x)::INTEGER), 1, 3)[2] AS s2, count(*) AS n FROM embeddings GROUP BY 1, 2")
+THIN_SQL = f"list_transform(list_slice(v, 1, 8), lambda x: sign(x) * (abs(x) > 0.1)::INTEGER)"
+
+
+@query(f"SELECT id, i - 1 AS pos, t[i]::DOUBLE AS value, n FROM (SELECT min(id) AS id, {THIN_SQL} AS t, count(*) AS n FROM {E_SQL} GROUP BY t), unnest(range(1, 9)) AS u(i)")
 def vec_distinct(spark, sf_dir):
-    signs = _emb(spark, sf_dir).select(F.transform(F.slice("v", 1, 2), lambda x: F.signum(x.cast("double")).cast("int")).alias("s"))
-    return signs.groupBy("s").agg(F.count("*").alias("n")).select(F.get("s", F.lit(0)).alias("s1"), F.get("s", F.lit(1)).alias("s2"), "n")
+    """Vectors grouped as whole values: signs of the first eight, small ones as zero."""
+    thin = F.transform(F.slice("v", 1, 8), lambda x: F.when(F.abs(x) > 0.1, F.signum(x.cast("double"))).otherwise(0.0).cast("float"))
+    groups = _emb(spark, sf_dir).select("id", thin.alias("t")).groupBy("t").agg(F.min("id").alias("id"), F.count("*").alias("n"))
+    return groups.select("id", F.posexplode("t").alias("pos", "value"), "n").select("id", F.col("pos").cast("long").alias("pos"), F.col("value").cast("double").alias("value"), "n")
 
 
 LINE_SQL = "(SELECT l_orderkey * 10 + l_linenumber AS id, l_returnflag AS flag, [l_quantity, l_extendedprice / 1000, l_discount * 100, l_tax * 100]::FLOAT[]::DOUBLE[] AS v FROM lineitem)"
@@ -322,20 +334,31 @@ def ivf_cosine(spark, sf_dir):
     return _fixed_index(spark, sf_dir, "cosine")[1].search(QUERY, 10, LISTS).select("id", _r("distance").alias("distance"))
 
 
-@query()
+ORDERED_SQL = f"(SELECT a.id, a.v, a.c, p.place FROM {ASSIGN_SQL} a JOIN (SELECT id AS c, row_number() OVER (ORDER BY list_distance(v, {Q_SQL}), id) AS place FROM {E_SQL} WHERE id < {LISTS}) p USING (c) WHERE a.best)"
+
+
+@query(f"SELECT id, round(list_distance(v, {Q_SQL}), 6) AS distance FROM {ORDERED_SQL} WHERE id % 7 = 0 ORDER BY place, list_distance(v, {Q_SQL}), id LIMIT 10")
 def ivf_iterative(spark, sf_dir):
     """A filter that few rows pass: further lists are read until ten do."""
     _, index = _fixed_index(spark, sf_dir)
     return index.search(QUERY, 10, 1, "relaxed_order", where=lambda df: df.where("id % 7 = 0")).select("id", _r("distance").alias("distance"))
 
 
-@query()
+RECALL_SQL = f"""
+WITH a AS (SELECT id, v, c FROM {ASSIGN_SQL} WHERE best), q AS (SELECT id AS qid, v AS qv FROM {E_SQL} WHERE id % 10 = 0),
+l AS (SELECT qid, e.id AS c, row_number() OVER (PARTITION BY qid ORDER BY round(list_distance(qv, e.v), 9), e.id) AS place FROM q, {E_SQL} e WHERE e.id < {LISTS}),
+d AS (SELECT q.qid, a.id, place, list_distance(qv, a.v) AS d FROM q JOIN l ON l.qid = q.qid JOIN a ON a.c = l.c),
+t AS (SELECT qid, id, place FROM d QUALIFY row_number() OVER (PARTITION BY qid ORDER BY d, id) <= 10),
+f AS (SELECT probes, qid, id FROM (SELECT unnest([1, 4, {LISTS}]) AS probes), d WHERE place <= probes QUALIFY row_number() OVER (PARTITION BY probes, qid ORDER BY d, id) <= 10)
+SELECT probes::INTEGER AS probes, round(count(t.id) / (10.0 * (SELECT count(*) FROM q)), 6) AS recall FROM f LEFT JOIN t USING (qid, id) GROUP BY probes"""
+
+
+@query(RECALL_SQL)
 def ivf_recall(spark, sf_dir):
-    """True recall@10 by number of probes, trained centres, every tenth vector asked."""
-    e = _emb(spark, sf_dir)
+    """True recall@10 by number of probes, every tenth vector asked."""
+    e, index = _fixed_index(spark, sf_dir)
     asked = e.where("id % 10 = 0")
     truth = knn.knn_join(e, asked, "v", "id", 10)
-    index = ivf.build(e, _folder(spark, "ivf"), "v", "id", LISTS)
     out = None
     for probes in (1, 4, LISTS):
         one = knn.recall(index.search_many(asked, 10, probes, "v"), truth, 10).select(F.lit(probes).alias("probes"), _r("recall").alias("recall"))
@@ -355,20 +378,42 @@ def jl_project(spark, sf_dir):
 @query(f"WITH p AS (SELECT id, v, {R_SQL.format(v='v')} AS x FROM {E_SQL}), c AS (SELECT id, v FROM p ORDER BY round(list_distance(x, {R_SQL.format(v=Q_SQL)}), 5), id LIMIT 100) SELECT id, round(list_distance(v, {Q_SQL}), 6) AS distance FROM c ORDER BY list_distance(v, {Q_SQL}), id LIMIT 10")
 def jl_knn_rerank(spark, sf_dir):
     small = F.array(*(F.lit(float(x)) for x in R @ np.array(QUERY)))
-    coarse = F.round(V.l2_distance(projection.projected(F.col("v"), R), small, 8), 5)
-    return knn.rerank(_emb(spark, sf_dir), coarse, "v", QUERY, 100, 10, dim=DIM).select("id", _r("distance").alias("distance"))
+    rows = projection.project(_emb(spark, sf_dir).select("id", "v"), "v", R, "x", kind="double")
+    coarse = F.round(V.l2_distance(F.col("x"), small, 8), 5)
+    return knn.rerank(rows, coarse, "v", QUERY, 100, 10, dim=DIM).select("id", _r("distance").alias("distance"))
+
+
+R16_SQL = R_SQL.replace("range(8)", "range(16)").replace("sqrt(8.0)", "sqrt(16.0)")
+JL_LISTS_SQL = f"""
+WITH x AS (SELECT id, v, {R16_SQL.format(v='v')} AS x FROM {E_SQL}), c AS (SELECT id AS c, x AS cx FROM x WHERE id < {LISTS}),
+a AS (SELECT id, v, c FROM x, c QUALIFY row_number() OVER (PARTITION BY id ORDER BY round(list_distance(x, cx), 9), c) = 1),
+p AS (SELECT c FROM c ORDER BY list_distance(cx, {R16_SQL.format(v=Q_SQL)}), c LIMIT 4)
+SELECT id, round(list_distance(v, {Q_SQL}), 6) AS distance FROM a WHERE c IN (SELECT c FROM p) ORDER BY list_distance(v, {Q_SQL}), id LIMIT 10"""
 
 
-@query()
+@query(JL_LISTS_SQL)
 def ivf_jl(spark, sf_dir):
     """Lists over projected centres, exact distances of the rows."""
-    e = _emb(spark, sf_dir)
-    return ivf.build(e, _folder(spark, "ivfjl"), "v", "id", LISTS, project=16).search(QUERY, 10, 4).select("id", _r("distance").alias("distance"))
+    e, r = _emb(spark, sf_dir), projection.formula_signs(DIM, 16)
+    centers = _first(e, 0, LISTS) @ r.T
+    return ivf.build(e, _folder(spark, "ivfjl"), "v", "id", LISTS, project=r, centers=centers).search(QUERY, 10, 4).select("id", _r("distance").alias("distance"))
+
+
+SJLT = projection.sparse_signs(DIM, 16)
+
+
+def _matrix_sql(m: np.ndarray) -> str:
+    return "[" + ", ".join("[" + ", ".join(f"{x:.17g}" for x in row) + "]" for row in m) + "]::DOUBLE[][]"
 
 
-@query()
+@query(_explode_sql(f"list_transform({_matrix_sql(SJLT)}, lambda r: list_inner_product(r, v))", 3))
 def sjlt_project(spark, sf_dir):
-    return _exploded(projection.project(_emb(spark, sf_dir).select("id", "v"), "v", projection.sparse_signs(DIM, 16), "x").select("id", "x"), 4)
+    return _exploded(projection.project(_emb(spark, sf_dir).select("id", "v"), "v", SJLT, "x", kind="double").select("id", "x"), 3)
+
+
+def _first(e: DataFrame, low: int, high: int) -> np.ndarray:
+    """A few vectors, as centres or books that SQL can make too."""
+    return np.array([r["v"] for r in e.where(F.col("id").between(low, high - 1)).orderBy("id").collect()], dtype=np.float64)
 
 
 @query(f"SELECT id, part, code FROM (SELECT e.id, p.part, c.id::INTEGER AS code, row_number() OVER (PARTITION BY e.id, p.part ORDER BY round(list_distance(list_slice(e.v, p.part * 16 + 1, p.part * 16 + 16), list_slice(c.v, p.part * 16 + 1, p.part * 16 + 16)), 9), c.id) AS n FROM {E_SQL} e, (SELECT unnest(range(4)) AS part) p, {E_SQL} c WHERE c.id < 16) WHERE n = 1")
@@ -380,57 +425,239 @@ def pq_encode(spark, sf_dir):
     return coded.select("id", F.posexplode("codes").alias("part", "code")).select("id", F.col("part").cast("long").alias("part"), "code")
 
 
-def _quantized(name: str, **how):
-    def run(spark, sf_dir):
-        e = _emb(spark, sf_dir)
-        q = quantize.train(e, "v", k=64, **how)
-        near = quantize.decode(quantize.encode(e, q, "v"), q).join(e.select("id", "v"), "id")
-        return near.agg(_r(F.avg(V.l2_squared(F.col("v"), F.col("vec"), DIM)), 4).alias("mean_squared_error"))
+PART_SQL = "list_slice({v}, p.part * 16 + 1, p.part * 16 + 16)"
+HADAMARD = np.array([[(-1.0) ** (i & j).bit_count() for j in range(DIM)] for i in range(DIM)]) / np.sqrt(DIM)
+HADAMARD_SQL = f"list_transform(range({DIM}), lambda i: list_sum(list_transform(range({DIM}), lambda j: v[j + 1] * CASE WHEN bit_count(i & j) % 2 = 0 THEN 1 ELSE -1 END)) / sqrt({DIM}.0))"
 
-    run.__name__ = name
-    query()(run)
+
+def _codes_sql(source: str) -> str:
+    """Each part's nearest book entry: (id, part, s, b, d)."""
+    return f"(SELECT e.id, p.part, {PART_SQL.format(v='e.v')} AS s, {PART_SQL.format(v='c.v')} AS b, list_distance(s, b) AS d FROM {source} e, (SELECT unnest(range(4)) AS part) p, {source} c WHERE c.id < 16 QUALIFY row_number() OVER (PARTITION BY e.id, p.part ORDER BY round(d, 9), c.id) = 1)"
 
 
-_quantized("pq_error")
-_quantized("opq_error", rotate=True)
-_quantized("stacked_pq_error", layers=2)
+def _error(spark, sf_dir, books, rotation=None) -> DataFrame:
+    e, q = _emb(spark, sf_dir), quantize.Quantizer(books, rotation)
+    near = quantize.decode(quantize.encode(e, q, "v"), q).join(e.select("id", "v"), "id")
+    return near.agg(_r(F.avg(V.l2_squared(F.col("v"), F.col("vec"), DIM)), 4).alias("mean_squared_error"))
 
 
-@query()
+ERROR_SQL = "SELECT round(avg(e), 4) AS mean_squared_error FROM (SELECT sum(d * d) AS e FROM {codes} GROUP BY id)"
+
+
+@query(ERROR_SQL.format(codes=_codes_sql(E_SQL)))
+def pq_error(spark, sf_dir):
+    return _error(spark, sf_dir, [np.split(_first(_emb(spark, sf_dir), 0, 16), 4, axis=1)])
+
+
+@query(ERROR_SQL.format(codes=_codes_sql(f"(SELECT id, {HADAMARD_SQL} AS v FROM {E_SQL})")))
+def opq_error(spark, sf_dir):
+    """A fixed rotation before the parts."""
+    return _error(spark, sf_dir, [np.split(_first(_emb(spark, sf_dir), 0, 16) @ HADAMARD.T, 4, axis=1)], HADAMARD)
+
+
+@query(f"""
+WITH r AS (SELECT id, part, list_transform(list_zip(s, b), lambda z: z[1] - z[2]) AS r FROM {_codes_sql(E_SQL)}),
+k AS (SELECT c.id, p.part, list_transform({PART_SQL.format(v='c.v')}, lambda x: x / 2) AS k FROM {E_SQL} c, (SELECT unnest(range(4)) AS part) p WHERE c.id BETWEEN 16 AND 31),
+d AS (SELECT r.id, part, min(list_distance(r, k)) AS d FROM r JOIN k USING (part) GROUP BY r.id, part)
+SELECT round(avg(e), 4) AS mean_squared_error FROM (SELECT sum(d * d) AS e FROM d GROUP BY id)""")
+def stacked_pq_error(spark, sf_dir):
+    """A second layer codes what the first leaves."""
+    e = _emb(spark, sf_dir)
+    return _error(spark, sf_dir, [np.split(_first(e, 0, 16), 4, axis=1), np.split(_first(e, 16, 32) / 2, 4, axis=1)])
+
+
+@query(f"SELECT id, round(sqrt(sum(d)), 4) AS distance FROM (SELECT p.id, list_distance(p.b, {PART_SQL.format(v='q.v')}) ** 2 AS d FROM {_codes_sql(E_SQL)} p, (SELECT {Q_SQL} AS v) q) GROUP BY id ORDER BY round(sqrt(sum(d)), 9), id LIMIT 10")
 def pq_adc(spark, sf_dir):
     e = _emb(spark, sf_dir)
-    q = quantize.train(e, "v", k=64)
+    q = quantize.Quantizer([np.split(_first(e, 0, 16), 4, axis=1)])
     return quantize.adc(quantize.encode(e, q, "v"), q, QUERY, 10).select("id", _r("distance", 4).alias("distance"))
 
 
-@query()
+KNN_SQL = f"SELECT id, round(list_distance(v, {Q_SQL}), 6) AS distance FROM {E_SQL} {{where}} ORDER BY list_distance(v, {Q_SQL}), id LIMIT {{k}}"
+
+
+@query(KNN_SQL.format(where="", k=10))
 def hnsw_knn(spark, sf_dir):
-    return hnsw.build(_emb(spark, sf_dir), _folder(spark, "hnsw"), "v").search(QUERY, 10).select("id", _r("distance").alias("distance"))
+    """As wide a search as there is, so that the graphs' answer is the exact one."""
+    return hnsw.build(_emb(spark, sf_dir), _folder(spark, "hnsw"), "v", shards=4).search(QUERY, 10, 1000).select("id", _r("distance").alias("distance"))
+
+
+def _planned(spark, sf_dir, method: str, **index):
+    e, settings = _emb(spark, sf_dir), planner.Settings()
+    settings.put("ivfflat.iterative_scan", "relaxed_order")
+    settings.put("hnsw.iterative_scan", "relaxed_order")
+    table = planner.VectorTable(e, "v", "id", **index)
+    return table.search(QUERY, 11, method, settings, F.col("id") % 50 == 0, "post").select("id", _r("distance").alias("distance"))
+
+
+@query(f"SELECT id, round(list_distance(v, {Q_SQL}), 6) AS distance FROM {ORDERED_SQL} WHERE id % 50 = 0 ORDER BY place, list_distance(v, {Q_SQL}), id LIMIT 11")
+def ivf_filtered_iterative(spark, sf_dir):
+    """Few rows pass; the planner's scan reads list after list until it has all that are asked for or no list is left."""
+    return _planned(spark, sf_dir, "ivf", ivf=_fixed_index(spark, sf_dir)[1])
+
+
+@query(KNN_SQL.format(where="WHERE id % 50 = 0", k=11))
+def hnsw_filtered_iterative(spark, sf_dir):
+    return _planned(spark, sf_dir, "hnsw", hnsw=hnsw.build(_emb(spark, sf_dir), _folder(spark, "hnsw"), "v"))
+
+
+@query(KNN_SQL.format(where="WHERE id % 3 <> 0 AND id % 2 = 0", k=10))
+def hnsw_insert_vacuum(spark, sf_dir):
+    e = _emb(spark, sf_dir).where("id % 2 = 0")
+    index = hnsw.build(e.where("id % 4 = 0"), _folder(spark, "hnsw"), "v", shards=2)
+    index.insert(e.where("id % 4 = 2"), "v")
+    index.vacuum(e.where("id % 3 = 0"))
+    return index.search(QUERY, 10, 1000).select("id", _r("distance").alias("distance"))
+
+
+@query(KNN_SQL.format(where="WHERE label = 3", k=10))
+def partial_index_knn(spark, sf_dir):
+    """An index over the rows of one label."""
+    e = _emb(spark, sf_dir).where("label = 3")
+    return ivf.build(e, _folder(spark, "ivf"), "v", "id", 4).search(QUERY, 10, 4).select("id", _r("distance").alias("distance"))
+
+
+BITS_SQL = "array_to_string(list_transform({v}, lambda x: (x > 0)::INTEGER), '')"
+BIT_KNN_SQL = f"SELECT id, {{d}} AS distance FROM (SELECT id, {BITS_SQL.format(v='v')} AS b, {BITS_SQL.format(v=Q_SQL)} AS q FROM {E_SQL}) ORDER BY distance, id LIMIT 15"
+QUERY_BITS = "".join("1" if x > 0 else "0" for x in QUERY)
+
+
+def _bit_rows(spark, sf_dir):
+    return _emb(spark, sf_dir).select("id", V.binary_quantize(F.col("v")).alias("b"))
+
+
+@query(BIT_KNN_SQL.format(d="hamming(b, q)::DOUBLE"))
+def ivf_bit(spark, sf_dir):
+    index = ivf.build(_bit_rows(spark, sf_dir), _folder(spark, "ivfbit"), "b", "id", 8, "hamming")
+    return index.search(QUERY_BITS, 15, 8).select("id", "distance")
+
+
+@query(BIT_KNN_SQL.format(d="hamming(b, q)::DOUBLE"))
+def hnsw_bit(spark, sf_dir):
+    return hnsw.build(_bit_rows(spark, sf_dir), _folder(spark, "hnswbit"), "b", metric="hamming", kind="bit", shards=4).search(QUERY_BITS, 15, 1000).select("id", "distance")
+
+
+@query(f"SELECT id, round(list_distance(s, {SPARSE_SQL.format(v=Q_SQL)}), 5) AS distance FROM (SELECT id, {SPARSE_SQL.format(v='v')} AS s FROM {E_SQL}) ORDER BY list_distance(s, {SPARSE_SQL.format(v=Q_SQL)}), id LIMIT 10")
+def hnsw_sparse(spark, sf_dir):
+    thin = F.transform("v", lambda x: F.when(F.abs(x) > F.lit(0.1), x).otherwise(F.lit(0.0).cast("float")))
+    rows = _emb(spark, sf_dir).select("id", T.vector_to_sparsevec(thin).alias("s"))
+    held = [i for i, x in enumerate(QUERY) if abs(x) > 0.1]
+    index = hnsw.build(rows, _folder(spark, "hnswsparse"), "s", metric="l2", kind="sparsevec", shards=4, m=8, ef_construction=16)
+    return index.search((held, [QUERY[i] for i in held]), 10, 400).select("id", _r("distance", 5).alias("distance"))
+
+
+@query("SELECT qid, id, round(d, 6) AS distance, rank FROM (SELECT q.id AS qid, e.id, list_distance(e.v, q.v) AS d, row_number() OVER (PARTITION BY q.id ORDER BY list_distance(e.v, q.v), e.id)::INTEGER AS rank FROM (SELECT l_orderkey * 10 + l_linenumber AS id, [floor(l_quantity / 10), l_discount * 100, l_linenumber]::FLOAT[]::DOUBLE[] AS v FROM lineitem) e, (SELECT c_custkey AS id, [c_custkey % 5, c_nationkey % 10, 1 + c_custkey % 7]::DOUBLE[] AS v FROM customer WHERE c_custkey <= 20) q) WHERE rank <= 7")
+def batch_knn_ties(spark, sf_dir):
+    """Small whole numbers, so nearly all neighbours tie; ids decide."""
+    lines, customers = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "customer").where("c_custkey <= 20")
+    e = lines.select((F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"), F.array(F.floor(F.col("l_quantity") / 10), F.col("l_discount") * 100, F.col("l_linenumber")).cast("array<float>").alias("v"))
+    q = customers.select(F.col("c_custkey").alias("id"), F.array(F.col("c_custkey") % 5, F.col("c_nationkey") % 10, 1 + F.col("c_custkey") % 7).cast("array<float>").alias("v"))
+    return knn.knn_join(e, q, "v", "id", 7).select("qid", "id", _r("distance").alias("distance"), "rank")
+
+
+@query(f"SELECT a.id, round(list_distance(a.v, b.v), 6) AS l2, round(list_negative_inner_product(a.v, b.v), 6) AS ip, round(list_cosine_distance(a.v, b.v), 6) AS cosine, round({L1_SQL.format(a='a.v', b='b.v')}, 6) AS l1, hamming({BITS_SQL.format(v='a.v')}, {BITS_SQL.format(v='b.v')})::DOUBLE AS hamming, round(sqrt(list_sum(list_transform(a.v, lambda x: x * x))), 6) AS norm FROM {E_SQL} a JOIN {E_SQL} b ON b.id = a.id + 1 WHERE list_distance(a.v, b.v) < 11")
+def sql_operators(spark, sf_dir):
+    """The operators' spellings and SQL functions, in a where-clause too."""
+    planner.register(spark)
+    _pairs(spark, sf_dir).createOrReplaceTempView("vector_pairs")
+    return spark.sql(planner.rewrite("SELECT id, round(a <-> b, 6) AS l2, round(a <#> b, 6) AS ip, round(a <=> b, 6) AS cosine, round(a <+> b, 6) AS l1, binary_quantize(a) <~> binary_quantize(b) AS hamming, round(vector_norm(a), 6) AS norm FROM vector_pairs WHERE a <-> b < 11"))
+
+
+@query(f"SELECT id, NULL::DOUBLE AS distance FROM {E_SQL} ORDER BY id LIMIT 10")
+def knn_null_query(spark, sf_dir):
+    return knn.knn(_emb(spark, sf_dir), "v", None, 10).select("id", "distance")
+
+
+@query(f"WITH n AS (SELECT id, list_distance(v, {Q_SQL}) AS d FROM {E_SQL} WHERE d < 10 ORDER BY d, id LIMIT 20) SELECT id, round(d, 6) AS distance, row_number() OVER (ORDER BY id DESC)::INTEGER AS place FROM n")
+def range_resorted(spark, sf_dir):
+    """A distance filter, order and limit, sorted anew by another column."""
+    near = knn.within(_emb(spark, sf_dir), "v", QUERY, 10.0, dim=DIM).orderBy("distance", "id").limit(20)
+    return near.select("id", _r("distance").alias("distance"), F.row_number().over(Window.orderBy(F.desc("id"))).alias("place"))
+
+
+HALF_PAIR_SQL = f"(SELECT a.id, list_transform(a.v, lambda x: {_half_sql('x')}) AS a, list_transform(b.v, lambda x: {_half_sql('x')}) AS b FROM {E_SQL} a JOIN {E_SQL} b ON b.id = a.id + 1)"
+
+
+def _half_pairs(spark, sf_dir):
+    half = lambda c: T.vector_to_halfvec(F.col(c), DIM).alias(c)
+    return _pairs(spark, sf_dir).select("id", half("a"), half("b"))
+
+
+@query(f"SELECT id, round(list_negative_inner_product(a, b), 5) AS ip, round(list_cosine_distance(a, b), 5) AS cosine, round({L1_SQL.format(a='a', b='b')}, 5) AS l1, a < b AS lt, a = b AS eq FROM {HALF_PAIR_SQL}")
+def half_distances(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    d = {m: _r(V.DISTANCES[m](a, b, DIM, "halfvec"), 5).alias(m) for m in ("ip", "cosine", "l1")}
+    return _half_pairs(spark, sf_dir).select("id", *d.values(), (a < b).alias("lt"), (V.compare(a, b) == 0).alias("eq"))
+
+
+@query(f"SELECT id, i - 1 AS pos, {_half_sql('(a[i] + b[i])')} AS added, {_half_sql('(a[i] - b[i])')} AS taken FROM {HALF_PAIR_SQL}, unnest(range(1, {DIM} + 1)) AS u(i)")
+def half_arithmetic(spark, sf_dir):
+    a, b = F.col("a"), F.col("b")
+    both = F.arrays_zip(V.add(a, b, True).alias("added"), V.subtract(a, b, True).alias("taken"))
+    return _half_pairs(spark, sf_dir).select("id", F.posexplode(both).alias("pos", "x")).select("id", F.col("pos").cast("long").alias("pos"), F.col("x.added").cast("double").alias("added"), F.col("x.taken").cast("double").alias("taken"))
+
+
+@query(f"SELECT label, i - 1 AS pos, round({_half_sql('avg(h[i])')}, 4) AS value FROM (SELECT label, list_transform(v, lambda x: {_half_sql('x')}) AS h FROM {E_SQL}), unnest(range(1, {DIM} + 1)) AS u(i) GROUP BY label, i")
+def half_avg_by_label(spark, sf_dir):
+    half = _emb(spark, sf_dir).withColumn("v", T.vector_to_halfvec(F.col("v")))
+    return V.avg_vector(half, "v", ("label",), "x", half=True).select("label", F.posexplode("x").alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), _r(F.col("value").cast("double"), 4).alias("value"))
+
+
+@query(f"SELECT id, round(list_sum(a), 4) AS text_total, round(list_sum(a), 4) AS binary_total, {DIM} AS dim, len(list_filter(a, lambda x: x <> 0))::INTEGER AS held FROM {SPAIR_SQL}")
+def sparse_codecs(spark, sf_dir):
+    """Sparse values through their text and binary forms."""
+    a = F.col("a")
+    back = _sparse_pairs(spark, sf_dir).select("id", T.sparsevec_in(T.sparsevec_out(a), DIM).alias("t"), T.sparsevec_recv(T.sparsevec_send(a), DIM).alias("b"))
+    total = lambda c: _r(F.aggregate(f"{c}.values", F.lit(0.0), lambda s, x: s + x.cast("double")), 4)
+    return back.select("id", total("t").alias("text_total"), total("b").alias("binary_total"), F.col("t.dim").alias("dim"), F.size("b.indices").alias("held"))
+
+
+@query(f"SELECT id, round(list_sum(list_transform(v, lambda x: {_half_sql('x')})), 3) AS total FROM {E_SQL}")
+def half_codecs(spark, sf_dir):
+    back = T.halfvec_recv(T.halfvec_send(T.halfvec_in(T.halfvec_out(T.vector_to_halfvec(F.col("v"), DIM)), DIM)))
+    return _emb(spark, sf_dir).select("id", back.alias("x")).select("id", _r(F.aggregate("x", F.lit(0.0), lambda s, x: s + x.cast("double")), 3).alias("total"))
+
+
+@query(f"SELECT round(sqrt(list_sum(list_transform(v, lambda x: x * x))), 4) AS norm, count(*) AS n FROM {E_SQL} GROUP BY norm")
+def csv_vectors(spark, sf_dir):
+    """Written as quoted text, read again."""
+    folder = _folder(spark, "csv")
+    _emb(spark, sf_dir).select(T.vector_out(F.col("v")).alias("t")).write.csv(folder, quoteAll=True)
+    return files.read_vector_csv(spark, folder).select(_r(V.vector_norm(F.col("embedding")), 4).alias("norm")).groupBy("norm").agg(F.count("*").alias("n"))
 
 
-HYBRID_SQL = f"WITH a AS (SELECT id, row_number() OVER (ORDER BY list_distance(v, {Q_SQL}), id) AS rank FROM {E_SQL} ORDER BY rank LIMIT 20), b AS (SELECT doc_id AS id, row_number() OVER (ORDER BY (length(text) - length(replace(text, 'th', ''))) DESC, doc_id) AS rank FROM documents ORDER BY rank LIMIT 20) SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score FROM a FULL JOIN b ON a.id = b.id"
+TERMS = ["anan", "ering", "ontion"]
+HYBRID_SQL = f"""
+WITH a AS (SELECT id, row_number() OVER (ORDER BY list_distance(v, {Q_SQL}), id) AS rank FROM {E_SQL} ORDER BY rank LIMIT 20),
+w AS (SELECT doc_id, term, len(list_filter(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+'), lambda x: x = term)) AS tf FROM documents, (SELECT unnest({TERMS}) AS term)),
+i AS (SELECT term, ln(1 + ((SELECT count(*) FROM documents) - count(*) + 0.5) / (count(*) + 0.5)) AS idf FROM w WHERE tf > 0 GROUP BY term),
+s AS (SELECT doc_id AS id, round(sum(idf * tf * 2.2 / (tf + 1.2)), 6) AS score FROM w JOIN i USING (term) WHERE tf > 0 GROUP BY doc_id),
+b AS (SELECT id, row_number() OVER (ORDER BY score DESC, id) AS rank FROM s ORDER BY rank LIMIT 20)
+SELECT coalesce(a.id, b.id) AS id, round(coalesce(1.0 / (60 + a.rank), 0) + coalesce(1.0 / (60 + b.rank), 0), 9) AS score FROM a FULL JOIN b ON a.id = b.id"""
 
 
 @query(HYBRID_SQL)
 def hybrid_rrf(spark, sf_dir):
-    """A text ranking and a vector ranking, joined by id as a test convenience."""
+    """A ranking of texts by query words (saturating counts times inverse document frequency) and one of vectors, fused by reciprocal ranks."""
     near = knn.knn(_emb(spark, sf_dir), "v", QUERY, 20, dim=DIM)
     a = near.withColumn("rank", F.row_number().over(Window.orderBy("distance", "id")))  # 20 rows
-    count = F.length("text") - F.length(F.replace("text", F.lit("th")))
-    texts = _table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), count.alias("n")).orderBy(F.desc("n"), "id").limit(20)
-    b = texts.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "id")))
+    found = knn.text_rank(_table(spark, sf_dir, "documents"), "text", "doc_id", TERMS).select(F.col("doc_id").alias("id"), "score").orderBy(F.desc("score"), "id").limit(20)
+    b = found.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("score"), "id")))
     return knn.fuse_ranks(a, b, "id").select("id", _r("score", 9).alias("score"))
 
 
-@query(f"WITH a AS (SELECT id, c FROM {ASSIGN_SQL} WHERE best) SELECT label, c::INTEGER AS list_id, count(*) AS n FROM a JOIN {E_SQL} e USING (id) GROUP BY label, c")
+@query(f"WITH n AS (SELECT label, c, count(*) AS n FROM {ASSIGN_SQL} JOIN (SELECT id, label FROM {E_SQL}) e USING (id) WHERE best GROUP BY label, c), m AS (SELECT *, sum(n) OVER (PARTITION BY c) AS rows, row_number() OVER (PARTITION BY c ORDER BY n DESC, label) AS place FROM n) SELECT c::INTEGER AS list_id, rows::BIGINT AS rows, label AS majority, n AS matched, round(n / rows, 6) AS share FROM m WHERE place = 1")
 def cluster_match(spark, sf_dir):
+    """Each list's majority label and how many of its rows have it."""
     e, index = _fixed_index(spark, sf_dir)
-    return index.table().select("id", "list_id").join(e.select("id", "label"), "id").groupBy("label", "list_id").agg(F.count("*").alias("n"))
+    n = index.table().select("id", "list_id").join(e.select("id", "label"), "id").groupBy("list_id", "label").agg(F.count("*").alias("n"))
+    lists = n.groupBy("list_id").agg(F.sum("n").alias("rows"), F.max(F.struct("n", (-F.col("label")).alias("l"))).alias("top"))
+    return lists.select("list_id", "rows", (-F.col("top.l")).alias("majority"), F.col("top.n").alias("matched"), _r(F.col("top.n") / F.col("rows")).alias("share"))
 
 
-@query(f"SELECT id, round(((v[1] - m) / s)::FLOAT::DOUBLE, 3) AS value FROM {E_SQL}, (SELECT avg(v[1]) AS m, stddev_pop(v[1]) AS s FROM {E_SQL})")
+@query(f"SELECT id, i AS pos, round(((v[i] - m) / s)::FLOAT::DOUBLE, 3) + 0.0 AS value FROM {E_SQL}, (SELECT i, avg(v[i]) AS m, stddev_pop(v[i]) AS s FROM {E_SQL}, unnest(range(1, {DIM} + 1)) AS u(i) GROUP BY i)")
 def standard_scale(spark, sf_dir):
-    return projection.standardize(_emb(spark, sf_dir), "v", DIM).select("id", _r(F.get("scaled", F.lit(0)).cast("double"), 3).alias("value"))
+    return _exploded(projection.standardize(_emb(spark, sf_dir), "v", DIM).select("id", F.col("scaled").alias("x")), 3)
 
 
 @query(f"SELECT id, round(list_sum(v), 4) AS total FROM {E_SQL}")
