@@ -456,6 +456,34 @@ def test_leaks_of_repetitive_items(spark, item):
     assert sorted(r.doc_id for r in decontaminate.drop_leaked(docs, bench).collect()) == [2, 3]
 
 
+def test_decontamination_query_by_brute_force(spark, tmp_path):
+    """op2 over random texts with moved, repeated and broken passages; pairs whose coverage is near the threshold may go either way, as ties among tiles do."""
+    from quiver.llm import queries
+
+    rng = np.random.default_rng(11)
+    word = lambda k: [f"w{i}" for i in rng.integers(0, 30, k)]
+    items = [word(int(n)) for n in rng.integers(8, 26, 10)] + [["re", "frain"] * 8, ["only"] * 12]
+    docs = []
+    for k in range(60):
+        t = word(int(rng.integers(0, 15)))
+        for _ in range(int(rng.integers(0, 4))):
+            item = items[int(rng.integers(0, len(items)))]
+            a = int(rng.integers(0, len(item)))
+            t = t + item[a:] + word(int(rng.integers(0, 3))) + (item[:a] if rng.random() < 0.6 else [])
+        docs.append((k, " ".join(t)))
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(k, " ".join(x)) for k, x in enumerate(items)], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    got = {(r.doc_id, r.item_id) for r in queries.op2_decontaminate(spark, str(tmp_path)).collect()}
+    sure = 0
+    for d, text in docs:
+        for i, item in enumerate(items):
+            coverage = sum(brute_tiles(text.split(), item, 5)) / len(item)
+            if abs(coverage - 0.6) > 0.08:
+                sure += coverage > 0.6
+                assert ((d, i) in got) == (coverage > 0.6), (d, i, coverage)
+    assert sure > 20
+
+
 def base(t: str):
     w = WORD.findall(t)
     n = Counter(tuple(w[j : j + 5]) for j in range(len(w) - 4))
