@@ -283,7 +283,7 @@ _sparse("ip", V.sparse_negative_inner_product, "list_negative_inner_product(a, b
 _sparse("cosine", V.sparse_cosine_distance, "list_cosine_distance(a, b)")
 _sparse("l1", V.sparse_l1_distance, L1_SQL.format(a="a", b="b"))
 _sparse("norm", lambda a, _: V.sparse_norm(a), "sqrt(list_sum(list_transform(a, lambda x: x * x)))")
-_sparse("compare", lambda a, b: V.sparse_compare(a, b).cast("double"), "CASE WHEN a < b THEN -1.0 WHEN a > b THEN 1.0 ELSE 0.0 END")
+_sparse("compare", lambda a, b: V.sparse_compare(a, b).cast("double"), "(CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END)::DOUBLE")
 _sparse("round_trip", lambda a, _: V.l1_distance(T.sparsevec_to_vector(T.vector_to_sparsevec(T.sparsevec_to_vector(a))), F.array(*(F.lit(0.0),) * DIM)), "list_sum(list_transform(a, lambda x: abs(x)))")
 
 
