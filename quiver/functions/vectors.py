@@ -245,9 +245,21 @@ def sparse_compare(a: Column, b: Column) -> Column:
 # --- aggregates ---
 
 
-def _totals(df: DataFrame, v: str, by: tuple[str, ...], total) -> DataFrame:
-    """One row a group and place, partly summed before the shuffle, then one row a group."""
+WIDE = 512
+"""Up to so many dimensions a group's sums are the columns of one aggregate, if ``dim`` is known."""
+
+
+def _totals(df: DataFrame, v: str, by: tuple[str, ...], total, dim: int | None = None) -> DataFrame:
+    """One row a group, partly summed before the shuffle: place by place in one aggregate where ``dim`` is known, else by way of one row a group and place."""
     rows = df.where(F.col(v).isNotNull())
+    if dim and dim <= WIDE:
+        sums = [total(_d(F.get(v, F.lit(i)))).alias(f"__{i}") for i in range(dim)]
+        out = rows.groupBy(*by).agg(F.min(F.size(v)).alias("__lo"), F.max(F.size(v)).alias("__hi"), *sums)
+        right = (F.col("__lo") == dim) & (F.col("__hi") == dim)
+        wrong = F.when(F.col("__lo") == dim, F.col("__hi")).otherwise(F.col("__lo"))
+        whole = F.array(*(F.col(f"__{i}") for i in range(dim)))
+        failed = fail(F.concat(F.lit(f"expected {dim} dimensions, not "), wrong.cast("string")))
+        return out.select(*by, F.when(F.col("__lo").isNull(), F.lit(None)).when(right, whole).otherwise(failed).alias("__p"))
     each = rows.select(*by, F.size(v).alias("__n"), F.posexplode(v).alias("__i", "__x"))
     sums = each.groupBy(*by, "__i").agg(total(_d(F.col("__x"))).alias("__v"), F.min("__n").alias("__lo"), F.max("__n").alias("__hi"))
     out = sums.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("__i", "__v"))).alias("__p"), F.min("__lo").alias("__lo"), F.max("__hi").alias("__hi"))
@@ -261,11 +273,11 @@ def _finish(df: DataFrame, by: tuple[str, ...], name: str, half: bool) -> DataFr
     return out if by else out.agg(F.first(name).alias(name))
 
 
-def avg_vector(df: DataFrame, v: str, by: tuple[str, ...] = (), name: str = "avg", half: bool = False) -> DataFrame:
+def avg_vector(df: DataFrame, v: str, by: tuple[str, ...] = (), name: str = "avg", half: bool = False, dim: int | None = None) -> DataFrame:
     """Mean value by value; null vectors don't count; no vectors: null (without ``by``). Dimensions that differ are an error."""
-    return _finish(_totals(df, v, by, F.avg), by, name, half)
+    return _finish(_totals(df, v, by, F.avg, dim), by, name, half)
 
 
-def sum_vector(df: DataFrame, v: str, by: tuple[str, ...] = (), name: str = "sum", half: bool = False) -> DataFrame:
+def sum_vector(df: DataFrame, v: str, by: tuple[str, ...] = (), name: str = "sum", half: bool = False, dim: int | None = None) -> DataFrame:
     """Sum value by value, in doubles, rounded once. Beyond the type's range: an error."""
-    return _finish(_totals(df, v, by, F.sum), by, name, half)
+    return _finish(_totals(df, v, by, F.sum, dim), by, name, half)

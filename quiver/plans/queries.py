@@ -185,17 +185,17 @@ def _agg_sql(fn: str, by: bool) -> str:
 
 @query(_agg_sql("avg", False))
 def vec_avg(spark, sf_dir):
-    return _exploded(V.avg_vector(_emb(spark, sf_dir), "v", name="x").select(F.lit(0).alias("id"), "x"))
+    return _exploded(V.avg_vector(_emb(spark, sf_dir), "v", name="x", dim=DIM).select(F.lit(0).alias("id"), "x"))
 
 
 @query(_agg_sql("avg", True))
 def vec_avg_by_label(spark, sf_dir):
-    return _exploded(V.avg_vector(_emb(spark, sf_dir), "v", ("label",), "x").withColumnRenamed("label", "id"))
+    return _exploded(V.avg_vector(_emb(spark, sf_dir), "v", ("label",), "x", dim=DIM).withColumnRenamed("label", "id"))
 
 
 @query(_agg_sql("sum", True).replace(", 5)", ", 3)"))
 def vec_sum_by_label(spark, sf_dir):
-    return _exploded(V.sum_vector(_emb(spark, sf_dir), "v", ("label",), "x").withColumnRenamed("label", "id"), 3)
+    return _exploded(V.sum_vector(_emb(spark, sf_dir), "v", ("label",), "x", dim=DIM).withColumnRenamed("label", "id"), 3)
 
 
 @query(f"SELECT id, CASE WHEN a < b THEN -1 WHEN a > b THEN 1 ELSE 0 END AS cmp, a < b AS lt, a <= b AS le, a = b AS eq, a <> b AS ne, a >= b AS ge, a > b AS gt FROM {PAIR_SQL}")
@@ -237,7 +237,7 @@ def lineitem_knn(spark, sf_dir):
 
 @query(f"SELECT flag, pos, round(avg(x), 3) AS value FROM (SELECT flag, unnest(range(1, 5)) AS pos, unnest(v) AS x FROM {LINE_SQL}) GROUP BY flag, pos")
 def lineitem_avg(spark, sf_dir):
-    return V.avg_vector(_lines(spark, sf_dir), "v", ("flag",), "x").select("flag", F.posexplode("x").alias("pos", "value")).select("flag", (F.col("pos") + 1).cast("long").alias("pos"), _r(F.col("value").cast("double"), 3).alias("value"))
+    return V.avg_vector(_lines(spark, sf_dir), "v", ("flag",), "x", dim=4).select("flag", F.posexplode("x").alias("pos", "value")).select("flag", (F.col("pos") + 1).cast("long").alias("pos"), _r(F.col("value").cast("double"), 3).alias("value"))
 
 
 @query("SELECT id, pos, value FROM (SELECT o_orderkey AS id, unnest([1, 2]) AS pos, unnest([o_orderkey % 2048, o_custkey % 2048]::DOUBLE[]) AS value FROM orders)")
@@ -600,7 +600,7 @@ def half_arithmetic(spark, sf_dir):
 @query(f"SELECT label, i - 1 AS pos, round({_half_sql('avg(h[i])')}, 4) AS value FROM (SELECT label, list_transform(v, lambda x: {_half_sql('x')}) AS h FROM {E_SQL}), unnest(range(1, {DIM} + 1)) AS u(i) GROUP BY label, i")
 def half_avg_by_label(spark, sf_dir):
     half = _emb(spark, sf_dir).withColumn("v", T.vector_to_halfvec(F.col("v")))
-    return V.avg_vector(half, "v", ("label",), "x", half=True).select("label", F.posexplode("x").alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), _r(F.col("value").cast("double"), 4).alias("value"))
+    return V.avg_vector(half, "v", ("label",), "x", half=True, dim=DIM).select("label", F.posexplode("x").alias("pos", "value")).select("label", F.col("pos").cast("long").alias("pos"), _r(F.col("value").cast("double"), 4).alias("value"))
 
 
 @query(f"SELECT id, round(list_sum(a), 4) AS text_total, round(list_sum(a), 4) AS binary_total, {DIM} AS dim, len(list_filter(a, lambda x: x <> 0))::INTEGER AS held FROM {SPAIR_SQL}")

@@ -191,3 +191,15 @@ def test_sparse_binary_is_checked(dim, n, index, value, words):
         T.unpack_sparse(data)
     with pytest.raises(T.VectorError, match="expected 4 dimensions, not 3"):
         T.unpack_sparse(T.pack_sparse({"dim": 3, "indices": [1], "values": [2.0]}), 4)
+
+
+def test_aggregates_of_known_dimensions(spark):
+    """One aggregate without a row a place; the same results and errors."""
+    df = spark.createDataFrame([(1, [1.0, 2.0, 3.0]), (1, [3.0, 5.0, 7.0]), (2, None)], "g long, v array<float>")
+    for by in ((), ("g",)):
+        for f in (V.avg_vector, V.sum_vector):
+            assert sorted(map(repr, f(df, "v", by, dim=3).collect())) == sorted(map(repr, f(df, "v", by).collect()))
+    assert V.avg_vector(df.where("g = 2"), "v", dim=3).first()[0] is None
+    assert "Generate" not in V.avg_vector(df, "v", ("g",), dim=3)._jdf.queryExecution().executedPlan().toString()
+    with pytest.raises(Exception, match="expected 4 dimensions, not 3"):
+        V.sum_vector(df, "v", dim=4).collect()
