@@ -30,23 +30,45 @@ def _without(text: Column, chars: str) -> Column:
 
 def measures(docs: DataFrame, carry: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, stratum, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, the steps of RULES and the columns named in ``carry``, per row."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("t"), *carry)
-    rows = rows.select(*carry, "doc_id", "stratum", "t", F.regexp_extract_all("t", F.lit(WORD), F.lit(0)).alias("w"), F.filter(F.split("t", "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0).alias("lines"))
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(*carry, F.col("doc_id").cast("long").alias("doc_id"), F.col("lang").cast("string").alias("stratum"), text.alias("t"))
+    words = F.regexp_extract_all("t", F.lit(WORD), F.lit(0))
+    held = F.filter(F.split("t", "\n", -1), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    rows = rows.select(*carry, "doc_id", "stratum", "t", F.transform(words, lambda x: F.xxhash64(x)).alias("w"), held.alias("lines"))
+    # words are hashed once, their windows by the words' hashes
     grams = F.transform(F.sequence(F.lit(0), F.size("w") - 5), lambda i: F.xxhash64(*(F.get("w", i + k) for k in range(5))))
     rows = rows.select(
-        *carry, "doc_id", "stratum", F.size("w").cast("long").alias("n_words"), F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"), _without(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
-        _without(F.col("t"), "!").cast("long").alias("n_bangs"), _without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"), F.size("lines").cast("long").alias("n_lines"),
-        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), F.when(F.size("w") > 5, grams).otherwise(F.array().cast("array<bigint>")).alias("g"),
-    )
-    placed = F.array_sort(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
-    rows = rows.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), placed).otherwise(F.array().cast("array<struct<h:bigint,p:int>>"))).drop("g")
+        *carry,
+        "doc_id",
+        "stratum",
+        F.size("w").cast("long").alias("n_words"),
+        F.length(F.translate("t", SPACES, "")).cast("long").alias("word_chars"),
+        _without(F.col("t"), SYMBOLS).cast("long").alias("n_symbols"),
+        _without(F.col("t"), "!").cast("long").alias("n_bangs"),
+        _without(F.col("t"), "ABCDEFGHIJKLMNOPQRSTUVWXYZ").cast("long").alias("n_capitals"),
+        F.size("lines").cast("long").alias("n_lines"),
+        (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"),
+        F.when(F.size("w") > 5, grams).otherwise(F.array().cast("array<bigint>")).alias("g"),
+    )
+    # places of windows found twice, from the windows sorted by hash; then the words that they cover
+    placed = F.sort_array(F.transform("g", lambda x, i: F.struct(x.alias("h"), i.alias("p"))))
+    none = F.array().cast("array<struct<h:bigint,p:int>>")
+    rows = rows.withColumn("s", F.when(F.size(F.array_distinct("g")) < F.size("g"), placed).otherwise(none)).drop("g")
     again = F.filter("s", lambda x, i: (F.get("s", i - 1)["h"] == x["h"]) | (F.get("s", i + 1)["h"] == x["h"]))
-    rows = rows.withColumn("p", F.array_sort(F.transform(again, lambda x: x["p"])))
+    rows = rows.withColumn("p", F.sort_array(F.transform(again, lambda x: x["p"])))
     start = F.struct(F.lit(0).cast("long").alias("n"), F.lit(-5).alias("last"))
-    covered = F.aggregate("p", start, lambda a, x: F.struct((a["n"] + F.least(F.lit(5), x - a["last"])).cast("long").alias("n"), x.alias("last")), lambda a: a["n"])
-    rows = rows.withColumn("n_repeat_words", covered).drop("s", "p")
+    more = lambda a, x: F.struct((a["n"] + F.least(F.lit(5), x - a["last"])).cast("long").alias("n"), x.alias("last"))
+    rows = rows.withColumn("n_repeat_words", F.aggregate("p", start, more, lambda a: a["n"])).drop("s", "p")
     step = lambda a, b: F.when(F.col(b) > 0, F.least(F.lit(STEPS), F.floor(F.col(a) * STEPS / F.col(b)))).otherwise(0).cast("int")
-    rows = rows.withColumns({"symbols": step("n_symbols", "word_chars"), "bangs": step("n_bangs", "word_chars"), "capitals": step("n_capitals", "word_chars"), "repeated_lines": step("n_dup_lines", "n_lines"), "repeated_words": step("n_repeat_words", "n_words")})
+    rows = rows.withColumns(
+        {
+            "symbols": step("n_symbols", "word_chars"),
+            "bangs": step("n_bangs", "word_chars"),
+            "capitals": step("n_capitals", "word_chars"),
+            "repeated_lines": step("n_dup_lines", "n_lines"),
+            "repeated_words": step("n_repeat_words", "n_words"),
+        }
+    )
     return rows.withColumn("base_failed", (F.col("n_words") < 10) | (100 * F.col("n_repeat_words") > 20 * F.col("n_words")))
 
 
