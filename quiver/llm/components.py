@@ -39,15 +39,31 @@ def _contract(batches):
         yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def components(edges: DataFrame, rounds: int = 100) -> DataFrame:
+def _contract_all(batches):
+    """All batches as one."""
+    parts = [(batch.column("a").to_numpy(), batch.column("b").to_numpy()) for batch in batches if batch.num_rows]
+    if parts:
+        a, b = forest(*(np.concatenate(x) for x in zip(*parts, strict=True)))
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+
+SMALL = 1 << 20
+"""Edges (16 MB) that one task contracts."""
+
+
+def components(edges: DataFrame, rounds: int = 100, small: int = SMALL) -> DataFrame:
     """(node, root) for each node of ``edges`` (a, b: long); root is the smallest node reachable.
 
-    Each batch is contracted on its executor first; then large and small
-    stars alternate until nothing changes, each round cut at a checkpoint.
-    Only counts come to the driver.
+    Each batch is contracted on its executor first. ``small`` edges at most
+    that are left go to one task; of more, large and small stars alternate
+    until nothing changes, each round cut at a checkpoint. Only counts come to
+    the driver.
     """
     stars = edges.where(F.col("a") != F.col("b")).mapInArrow(_contract, "a long, b long")
     stars, before = cut(stars.distinct()), None
+    if stars.count() <= small:
+        roots = cut(stars.coalesce(1).mapInArrow(_contract_all, "a long, b long")).select(F.col("a").alias("node"), F.col("b").alias("root"))
+        return roots.union(roots.select(F.col("root").alias("node"), "root").distinct())
     for _ in range(rounds):
         both = stars.union(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.least(F.min("b"), F.col("a")).alias("m"))

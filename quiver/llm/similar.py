@@ -8,9 +8,9 @@ six, as in ``simhash``); a key is one index with two whole samples. Two
 texts at 0.8 share a key of a table with a chance of about 0.5, of any table
 of about 0.9998.
 
-A first pass links each row of a key with the nearest of the rows that lead
-the key, by 128 further bits, then by all bits, and where those can't tell for
-sure by the shingles themselves: one candidate a row and key at most. Keys
+A first pass links each text with the nearest, by 128 further bits, of the
+rows that lead its keys, by all bits, and where those can't tell for sure by
+the shingles themselves: one candidate a text. Keys
 that hold several components after that join their rows into groups, and a
 second pass compares all rows of a group whose components differ, by all bits
 and then by their shingles, in cells that send links alone. So no row that
@@ -42,8 +42,6 @@ SMALL = 64 << 20
 CELL = 1024
 LEADERS = 256
 """Rows of a key that others are compared with in the first pass; the second one handles the rest."""
-SEEN = 1 << 18
-"""Candidates that a task remembers, so as not to send them again for other keys."""
 
 
 def shingles_of(words: np.ndarray, width: int) -> np.ndarray:
@@ -135,22 +133,19 @@ class _Leaders:
         return near, far, leads
 
 
-def _close(key: np.ndarray, node: np.ndarray, word: np.ndarray, most: int, same: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Of rows sorted by key: a candidate a row at most (smaller node, larger node), and the rows that lead."""
+def _close(key: np.ndarray, node: np.ndarray, word: np.ndarray, same: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Of rows sorted by key: (row's node, leader's node, bits between) of those that a leader settles, ``same`` bits away or fewer, and which rows go on."""
     edges = np.flatnonzero(key[1:] != key[:-1]) + 1
     starts, ends = np.concatenate(([0], edges)), np.concatenate((edges, [len(key)]))
-    leads = np.ones(len(key), dtype=bool)
-    a, b = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)]
+    goes_on = np.ones(len(key), dtype=bool)
+    out = [(np.zeros(0, dtype=np.int64),) * 3]
     many = ends - starts > 1
     for i, j in zip(starts[many].tolist(), ends[many].tolist(), strict=True):
-        near, far, leads[i:j] = _Leaders().take(node[i:j], word[i:j], same)
-        hit = far <= most
-        a.append(near[hit])
-        b.append(node[i:j][hit])
-        # rows that no leader settles go on to the key's other rows
-        leads[i:j] |= far > same
-    a, b = np.concatenate(a), np.concatenate(b)
-    return np.minimum(a, b), np.maximum(a, b), leads
+        near, far, _ = _Leaders().take(node[i:j], word[i:j], same)
+        hit = far <= same
+        out.append((node[i:j][hit], near[hit], far[hit]))
+        goes_on[i:j] = ~hit
+    return *(np.concatenate(x) for x in zip(*out, strict=True)), goes_on
 
 
 def _rows(key, node, other, word):
@@ -169,8 +164,8 @@ def _keys_of(s: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(keys), np.concatenate(rows)
 
 
-def _fuzzy_keys(most: int, same: int):
-    """Rows (key, node, node, check words), combined within the batch first; candidates found there travel as (any key, a, b, 0, 0)."""
+def _fuzzy_keys(same: int):
+    """Rows (key, node, node, check words), combined within the batch first; candidates found there travel as (any key, node, leader, bits, 0)."""
 
     def run(batches):
         for batch in batches:
@@ -181,24 +176,32 @@ def _fuzzy_keys(most: int, same: int):
                 order = np.argsort(key, kind="stable")
                 key, row = key[order], row[order]
                 word = s[row, TABLES + TABLES // 2 : TABLES + TABLES // 2 + 2]
-                a, b, leads = _close(key, node[row], word, most, same)
-                yield _rows(key[leads], node[row][leads], node[row][leads], word[leads])
+                a, b, far, on = _close(key, node[row], word, same)
+                yield _rows(key[on], node[row][on], node[row][on], word[on])
                 if len(a):
-                    a, b = np.unique(np.stack((a, b)), axis=1)
-                    yield _rows(mix(a), a, b, np.zeros((len(a), 2), dtype=np.uint64))
+                    a, b, far = _nearest(a, b, far)
+                    yield _rows(mix(a), a, b, np.stack((far, np.zeros_like(far)), axis=1).view(np.uint64))
 
     return run
 
 
+def _nearest(a: np.ndarray, b: np.ndarray, far: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Of each row its nearest leader."""
+    order = np.lexsort((b, far, a))
+    a, b, far = a[order], b[order], far[order]
+    first = np.concatenate((np.ones(min(1, len(a)), dtype=bool), a[1:] != a[:-1]))
+    return a[first], b[first], far[first]
+
+
 def _candidates(most: int, same: int):
-    """Streams rows sorted by key; only the leaders of the key that goes on are kept between batches."""
+    """(node, leader, bits) from rows sorted by key; only the leaders of the key that goes on are kept between batches."""
 
     def run(batches):
-        last, leaders, seen = None, _Leaders(), set()
+        last, leaders = None, _Leaders()
         for batch in batches:
             key, node, other, *word = (batch.column(c).to_numpy() for c in ("key", "node", "other", "w0", "w1"))
             ready = node != other
-            a, b = [node[ready]], [other[ready]]
+            out = [(node[ready], other[ready], word[0][ready])]
             key, node, word = key[~ready], node[~ready], np.stack(word, axis=1)[~ready].view(np.uint64)
             edges = np.flatnonzero(key[1:] != key[:-1]) + 1
             alone = np.diff(np.concatenate(([0], edges, [len(key)]))) == 1
@@ -209,14 +212,9 @@ def _candidates(most: int, same: int):
                     last, leaders = key[i], _Leaders()
                 near, far, _ = leaders.take(node[i:j], word[i:j], same)
                 hit = far <= most
-                a.append(np.minimum(near[hit], node[i:j][hit]))
-                b.append(np.maximum(near[hit], node[i:j][hit]))
-            pairs = np.unique(np.stack((np.concatenate(a), np.concatenate(b))), axis=1).T.tolist()
-            new = [p for p in map(tuple, pairs) if p not in seen]
-            if len(seen) > SEEN:
-                seen.clear()
-            seen.update(new)
-            yield pa.RecordBatch.from_arrays([pa.array([p[0] for p in new], pa.int64()), pa.array([p[1] for p in new], pa.int64())], names=["a", "b"])
+                out.append((node[i:j][hit], near[hit], far[hit]))
+            found = _nearest(*(np.concatenate(x) for x in zip(*out, strict=True)))
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], names=["node", "near", "far"])
 
     return run
 
@@ -408,8 +406,10 @@ def _grouped(docs: DataFrame, found: DataFrame, shingle: int, least: float) -> D
     nodes = found.groupBy("node").agg(F.min(F.struct("doc", "row")).alias("first"), F.min(_rank()).alias("longest"), F.min("sketch").alias("sketch"))
     nodes = cut(nodes.select("node", "first.doc", "first.row", "longest", "sketch"))
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    keyed = nodes.select("node", "sketch").mapInArrow(_fuzzy_keys(most, same), "key long, node long, other long, w0 long, w1 long")
-    pairs = keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_candidates(most, same), "a long, b long").distinct()
+    keyed = nodes.select("node", "sketch").mapInArrow(_fuzzy_keys(same), "key long, node long, other long, w0 long, w1 long")
+    near = keyed.repartition(parts, "key").sortWithinPartitions("key", "node").mapInArrow(_candidates(most, same), "node long, near long, far long")
+    near = near.groupBy("node").agg(F.min(F.struct("far", "near")).alias("best"))
+    pairs = near.select(F.least("node", "best.near").alias("a"), F.greatest("node", "best.near").alias("b")).distinct()
     for c, s in (("a", "x"), ("b", "y")):
         pairs = pairs.join(nodes.select(F.col("node").alias(c), _bits().alias(s)), c)
     judged = cut(pairs.mapInArrow(_judged(least), "a long, b long, sure boolean"))

@@ -340,9 +340,10 @@ def test_large_group_gives_a_forest():
     assert len(simhash.spanning_forest(near, 3)) == len(near) - 1
 
 
-def test_components(spark):
+@pytest.mark.parametrize("small", [1 << 20, 0])
+def test_components(spark, small):
     edges = [(i, i + 1) for i in range(100)] + [(200, 300), (300, 250)] + [(500, j) for j in range(501, 700)] + [(7, 7)]
-    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.root for r in components.components(spark.createDataFrame(edges, "a long, b long"), small=small).collect()}
     assert all(got[i] == 0 for i in range(101)) and got[300] == got[250] == 200 and all(got[j] == 500 for j in range(500, 700))
 
 
