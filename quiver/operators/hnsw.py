@@ -27,6 +27,10 @@ SHARD_ROWS = 50_000
 LEFT = 1 << 16
 """Elements that an iterative scan keeps aside, times the memory multiplier."""
 QUERY_BYTES = 8 << 20
+SPREAD = 4096
+"""Indices over which sparse points are compared side by side."""
+CHECKED = 1024
+"""Points whose distances an exact check makes at once."""
 KINDS = {"vector": ("l2", "ip", "cosine", "l1"), "halfvec": ("l2", "ip", "cosine", "l1"), "bit": ("hamming", "jaccard"), "sparsevec": ("l2", "ip", "cosine", "l1")}
 MAX_DIM = {"vector": 2000, "halfvec": 4000, "bit": 64000, "sparsevec": 10**9}
 MAX_NONZERO = 1000
@@ -41,13 +45,33 @@ def _bits(q: np.ndarray, x: np.ndarray, metric: str) -> np.ndarray:
 
 def _sparse(q: np.ndarray, points: list[np.ndarray], metric: str) -> np.ndarray:
     """Points are arrays [2, n] of indices and values."""
-    out = np.empty(len(points))
-    for k, p in enumerate(points):
-        at = np.union1d(q[0], p[0])
-        a, b = np.zeros(len(at)), np.zeros(len(at))
-        a[np.searchsorted(at, q[0])], b[np.searchsorted(at, p[0])] = q[1], p[1]
-        out[k] = exact_distance(a, b, metric)
-    return out
+    n, q = len(points), q[:, np.argsort(q[0], kind="stable")]
+    row = np.repeat(np.arange(n), [p.shape[1] for p in points])
+    at, v = np.concatenate(points, axis=1)
+    place = np.searchsorted(q[0], at)
+    hit = np.append(q[0], np.nan)[place] == at
+    x = np.zeros((n, q.shape[1]))
+    x[row[hit], place[hit]] = v[hit]
+    alone = lambda f: np.bincount(row[~hit], f(v[~hit]), n)  # noqa: E731  of indices that only the point has
+    if metric == "l2":
+        return np.sqrt(((x - q[1]) ** 2).sum(axis=1) + alone(np.square))
+    if metric == "l1":
+        return np.abs(x - q[1]).sum(axis=1) + alone(np.abs)
+    if metric == "ip":
+        return -(x * q[1]).sum(axis=1)
+    with np.errstate(invalid="ignore", divide="ignore"):
+        return 1 - np.clip((x * q[1]).sum(axis=1) / np.sqrt(np.bincount(row, v * v, n) * (q[1] * q[1]).sum()), -1, 1)
+
+
+def _spread(points: list[np.ndarray]) -> np.ndarray | None:
+    """Sparse points side by side over the indices that any of them holds; None if those are many."""
+    at, v = np.concatenate(points, axis=1)
+    held = np.unique(at)
+    if len(held) > SPREAD:
+        return None
+    x = np.zeros((len(points), len(held)))
+    x[np.repeat(np.arange(len(points)), [p.shape[1] for p in points]), np.searchsorted(held, at)] = v
+    return x
 
 
 def _points(column: pa.Array, kind: str) -> list[np.ndarray]:
@@ -133,16 +157,22 @@ class Graph:
 
     def choose(self, found: list[tuple[float, int]], most: int) -> list[int]:
         """Candidates closer to the point than to any chosen one, filled up with the others."""
+        order = sorted(found)
+        points = [self.points[i] for _, i in order]
+        x = _spread(points) if self.kind == "sparsevec" and points else None
         kept: list[int] = []
         rest: list[int] = []
-        for d, i in sorted(found):
+        for a, (d, i) in enumerate(order):
             if len(kept) >= most:
                 break
-            if kept and (self.distance(self.points[i], kept) <= d).any():
-                rest.append(i)
+            if not kept:
+                near = False
+            elif x is None:
+                near = (self.distance(points[a], [order[b][1] for b in kept]) <= d).any()
             else:
-                kept.append(i)
-        return (kept + rest)[:most]
+                near = (exact_distance(x[a], x[kept], self.metric) <= d).any()
+            (rest if near else kept).append(a)
+        return [order[a][1] for a in (kept + rest)[:most]]
 
     def add(self, row: int, v: np.ndarray, chance: float) -> None:
         key = v.tobytes()
@@ -175,9 +205,21 @@ class Graph:
         if level > top:
             self.enter = me
 
-    def search(self, q: np.ndarray, ef: int, k: int, iterative: str = "off", keep=None, max_tuples: int = 20_000, most_left: int = LEFT) -> list[tuple[float, int]]:
+    def checked(self, q: np.ndarray, found: list[tuple[float, int]], k: int, keep=None) -> list[tuple[float, int]]:
+        """The k nearest rows, ties by row: every point that isn't among the found is held against their k-th distance."""
+        rows = sorted((d, r) for d, i in found for r in self.ids[i] if keep is None or r in keep)[:k]
+        most, held = rows[-1][0] if len(rows) == k else math.inf, {i for _, i in found}
+        rest = [i for i in range(len(self.points)) if i not in held]
+        for a in range(0, len(rest), CHECKED):
+            at = rest[a : a + CHECKED]
+            d = self.distance(q, at)
+            rows += [(float(d[j]), r) for j in np.flatnonzero(~(d > most)).tolist() for r in self.ids[at[j]] if keep is None or r in keep]
+        order = np.lexsort(([r for _, r in rows], [d for d, _ in rows]))[:k]
+        return [rows[j] for j in order.tolist()]
+
+    def search(self, q: np.ndarray, ef: int, k: int, iterative: str = "off", keep=None, max_tuples: int = 20_000, most_left: int = LEFT, exact: bool = False) -> list[tuple[float, int]]:
         """(distance, row). Iterative scans go on from what was put aside until k rows pass ``keep``, ``max_tuples`` are seen or more than ``most_left`` elements
-        are put aside; strict order drops rows nearer than one before."""
+        are put aside; strict order drops rows nearer than one before. ``exact``: what is found is checked instead, see ``checked``."""
         if self.enter < 0:
             return []
         at = [(float(self.distance(q, [self.enter])[0]), self.enter)]
@@ -186,6 +228,8 @@ class Graph:
         seen: set[int] = set()
         left: list[tuple[float, int]] = []
         found = self.layer(q, at, ef, 0, seen, left)
+        if exact:
+            return self.checked(q, found, k, keep)
         out: list[tuple[float, int]] = []
         last, read = -math.inf, 0
         while True:
@@ -310,7 +354,7 @@ class HnswIndex:
         gone = dead.select(self._shard(key), F.col(key).cast("long").alias("id"))
         self._write(self.table().groupBy("shard").cogroup(gone.groupBy("shard")).applyInArrow(_shrunk, "shard int, graph binary"), self.version + 1)
 
-    def search(self, query, k: int, ef_search: int = 40, iterative: str = "off", where: DataFrame | None = None, max_scan_tuples: int = 20_000, mem_multiplier: float = 1) -> DataFrame:
+    def search(self, query, k: int, ef_search: int = 40, iterative: str = "off", where: DataFrame | None = None, max_scan_tuples: int = 20_000, mem_multiplier: float = 1, exact: bool = False) -> DataFrame:
         """(id, distance) for one query: a list of numbers, a bit string, or (indices, values) of a sparse one, indices from 0."""
         if query is None:
             return self.spark.createDataFrame([], "id long, distance double")
@@ -321,18 +365,20 @@ class HnswIndex:
             one = self.spark.createDataFrame([(0, held)], f"qid long, q {T.SPARSE}")
         else:
             one = self.spark.createDataFrame([(0, [float(x) for x in query])], "qid long, q array<float>")
-        return self.search_many(one, k, ef_search, iterative, "q", "qid", where, max_scan_tuples, mem_multiplier).drop("qid")
+        return self.search_many(one, k, ef_search, iterative, "q", "qid", where, max_scan_tuples, mem_multiplier, exact).drop("qid")
 
     def search_many(
-        self, queries: DataFrame, k: int, ef_search: int = 40, iterative: str = "off", qvec: str = "embedding", qkey: str = "id", where: DataFrame | None = None, max_scan_tuples: int = 20_000, mem_multiplier: float = 1
+        self, queries: DataFrame, k: int, ef_search: int = 40, iterative: str = "off", qvec: str = "embedding", qkey: str = "id", where: DataFrame | None = None, max_scan_tuples: int = 20_000, mem_multiplier: float = 1, exact: bool = False
     ) -> DataFrame:
         """(qid, id, distance): every shard searches, the k nearest a query stay, nearest first.
 
         ``where``: a table whose column ``id`` holds the rows that may be
         found; they meet the graphs shard by shard. Without an iterative scan
         a search so filtered may find fewer than k. ``max_scan_tuples`` and
-        ``mem_multiplier`` end iterative scans, shard by shard. Queries go out
-        in blocks of QUERY_BYTES at most.
+        ``mem_multiplier`` end iterative scans, shard by shard. ``exact``:
+        every shard holds the points that its search didn't find against the
+        k-th distance, so that no near row is missed; that reads all points.
+        Queries go out in blocks of QUERY_BYTES at most.
         """
         if not 1 <= ef_search <= 1000:
             raise ValueError(f'{ef_search} is outside the valid range for parameter "hnsw.ef_search" (1 .. 1000)')
@@ -349,12 +395,12 @@ class HnswIndex:
         out = None
         for b in range(blocks):
             mine = asked.where(F.pmod(F.xxhash64("qid"), F.lit(blocks)) == b).toArrow()
-            part = graphs.mapInArrow(self._searched(mine, k, ef_search, iterative, max_scan_tuples, mem_multiplier), "qid long, id long, distance double")
+            part = graphs.mapInArrow(self._searched(mine, k, ef_search, iterative, max_scan_tuples, mem_multiplier, exact), "qid long, id long, distance double")
             out = part if out is None else out.union(part)
         rank = F.row_number().over(Window.partitionBy("qid").orderBy("distance", "id"))
         return out.withColumn("rank", rank).where(F.col("rank") <= k).orderBy("qid", "rank").drop("rank")
 
-    def _searched(self, asked: pa.Table, k: int, ef: int, iterative: str, tuples: int, memory: float):
+    def _searched(self, asked: pa.Table, k: int, ef: int, iterative: str, tuples: int, memory: float, exact: bool):
         metric, kind = self.metric, self.kind
         qids = asked.column("qid").to_pylist()
         qs = _points(asked.column("q").combine_chunks(), kind) if qids else []
@@ -367,7 +413,7 @@ class HnswIndex:
                 for blob, keep in zip(batch.column("graph"), keeps, strict=True):
                     g, keep, rows = pickle.loads(blob.as_py()), None if keep is None else set(keep), []
                     for i, q in zip(qids, qs, strict=True):
-                        rows += [(i, r, d) for d, r in g.search(q, ef, k, iterative, keep, tuples, int(memory * LEFT))]
+                        rows += [(i, r, d) for d, r in g.search(q, ef, k, iterative, keep, tuples, int(memory * LEFT), exact)]
                     columns = (pa.array([x[j] for x in rows], t) for j, t in enumerate((pa.int64(), pa.int64(), pa.float64())))
                     yield pa.RecordBatch.from_arrays(list(columns), names=["qid", "id", "distance"])
 

@@ -5,7 +5,7 @@ from pyspark.sql import functions as F
 from quiver.functions import types as T
 from quiver.functions import vectors as V
 from quiver.operators import hnsw, ivf, knn, projection, quantize
-from quiver.plans import planner
+from quiver.plans import planner, queries
 from quiver.sources import files
 from quiver.streaming import ingest
 
@@ -361,3 +361,52 @@ def test_graph_insert_and_vacuum(spark, cloud, tmp_path):
     assert g.search([0.5] * 3, 5).count() == 0
     g.insert(cloud.where("id < 50"), "v")
     assert g.search([0.5] * 3, 5, 60).count() == 5
+
+
+def test_graph_exact_check():
+    g, rng = hnsw.Graph("l2", 4, 16, "sparsevec"), np.random.default_rng(6)
+    x = rng.integers(0, 4, (90, 6)).astype(float)
+    points = [np.array([np.flatnonzero(v), v[v != 0]]) for v in x]
+    for i in rng.permutation(90).tolist():
+        g.add(i, points[i], rng.random())
+    lost = set(range(0, len(g.points), 4)) - {g.enter}
+    g.links = [[[j for j in level if j not in lost] for level in links] for links in g.links]  # points that no link leads to
+    for keep in (None, set(range(0, 90, 2))):
+        d = np.sqrt(((x - x[3]) ** 2).sum(1))
+        want = sorted((d[i], i) for i in range(90) if keep is None or i in keep)
+        for k in (12, 60, 200):
+            got = g.search(points[3], 4, k, keep=keep, exact=True)
+            assert [r for _, r in got] == [r for _, r in want[:k]] and np.allclose([d for d, _ in got], [d for d, _ in want[:k]])
+            assert [r for _, r in g.search(points[3], 200, k, keep=keep)] != [r for _, r in want[:k]]
+    assert hnsw.Graph(kind="sparsevec").search(points[3], 4, 5, exact=True) == []
+
+
+def test_sparse_distances(monkeypatch):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(40, 30)) * (rng.random((40, 30)) < 0.3)
+    x[1] = 0
+    points = [np.array([1e8 * np.flatnonzero(v), v[v != 0]]) for v in x]
+    for metric in ("l2", "l1", "ip", "cosine"):
+        for i in (0, 1):
+            assert np.allclose(hnsw._sparse(points[i][:, ::-1], points, metric), knn.exact_distance(x[i], x, metric), equal_nan=True)
+    links = []
+    for most in (hnsw.SPREAD, 0):
+        monkeypatch.setattr(hnsw, "SPREAD", most)
+        g = hnsw.Graph("l2", 4, 8, "sparsevec")
+        for i, p in enumerate(points):
+            g.add(i, p, 0.5)
+        links.append(g.links)
+    assert links[0] == links[1]
+
+
+def test_hnsw_sparse_far_cluster(spark, tmp_path):
+    """Each shard has more points in a far cluster than its search visits."""
+    import duckdb
+
+    rng, q = np.random.default_rng(7), np.array(queries.QUERY)
+    v = np.concatenate([q + 1 + rng.normal(size=(20, 64)) * 0.2, -4 * q + rng.normal(size=(2600, 64)) * 0.01])
+    spark.createDataFrame([(i, y.tolist(), 0) for i, y in enumerate(v)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = queries.QUERIES["hnsw_sparse"](spark, str(tmp_path)).collect()
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW embeddings AS FROM read_parquet('{tmp_path}/embeddings.parquet/*.parquet')")
+    assert [tuple(r) for r in got] == db.execute(queries.ORACLES["hnsw_sparse"]).fetchall()
