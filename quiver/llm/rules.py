@@ -16,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, cut, free_names, known_id
+from .common import WORD, cut, whole_row
 
 SPACES = " \t\n\x0b\x0c\r"
 SYMBOLS = "#*$%&|<>"
@@ -96,11 +96,11 @@ def cutoffs(measured: DataFrame, labels: DataFrame, risk: float = 0.02, delta: f
     known = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull()).groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
     held = measured.where(~F.col("base_failed")).select("doc_id", "stratum", *RULES).join(known, "doc_id")
     steps = held.select("stratum", "quality", F.explode(F.array(*(F.struct(F.lit(r).alias("rule"), F.col(r).alias("step")) for r in RULES))).alias("x")).groupBy("stratum", "x.rule", "x.step")
-    steps = steps.agg(F.sum(F.col("quality").cast("long")).alias("g"), F.sum((1 - F.col("quality")).cast("long")).alias("b"))
+    steps = cut(steps.agg(F.sum(F.col("quality").cast("long")).alias("g"), F.sum((1 - F.col("quality")).cast("long")).alias("b")))  # few rows; the measured ones are read once
     whole = Window.partitionBy("stratum", "rule")
     down = whole.orderBy(F.col("step").desc()).rowsBetween(Window.unboundedPreceding, Window.currentRow)
     steps = steps.withColumns({"good": F.sum("g").over(whole), "bad": F.sum("b").over(whole), "good_rejected": F.sum("g").over(down), "bad_rejected": F.sum("b").over(down)})
-    strata = held.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("null"))).alias("strata"))
+    strata = steps.agg(F.count_distinct(F.coalesce(F.concat(F.lit("="), "stratum"), F.lit("null"))).alias("strata"))
     tests = steps.where(F.col("step") > 0).crossJoin(F.broadcast(strata))  # one row
     limit = risk / len(RULES)
     chance = F.when(F.col("good_rejected") <= F.col("good") * limit, binomial_cdf(F.col("good_rejected"), F.col("good"), limit))
@@ -121,7 +121,8 @@ def judge(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: float =
     """
     measured = cut(measures(docs, carry))
     by_stratum = cutoffs(measured, labels, risk, delta).groupBy("stratum").agg(*(F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"__{r}") for r in RULES)).withColumnRenamed("stratum", "__stratum")
-    rows = measured.join(by_stratum, measured["stratum"].eqNullSafe(by_stratum["__stratum"]), "left")
+    # a stratum with cutoffs has many labelled documents, so its rows are few
+    rows = measured.join(F.broadcast(by_stratum), measured["stratum"].eqNullSafe(by_stratum["__stratum"]), "left")
     hit = F.filter(F.array(*(F.when(F.col(r) >= F.col(f"__{r}"), F.lit(r)) for r in RULES)), lambda x: x.isNotNull())
     rows = rows.withColumn("rejected_by", hit).withColumn("kept", ~F.col("base_failed") & (F.size("rejected_by") == 0))
     return rows.drop("__stratum", *(f"__{r}" for r in RULES))
@@ -131,9 +132,9 @@ def keep_good(docs: DataFrame, labels: DataFrame, risk: float = 0.02, delta: flo
     """The rows of ``docs`` that ``judge`` keeps, all columns kept.
 
     Each row of a doc_id is judged by its own text and lang; repeated rows
-    stay or go together. Null or empty texts go. Empty table: no rows.
+    stay or go together. Null or empty texts go. Empty table: no rows. Rows go
+    along with their measures through the checkpoint: no text is shuffled or
+    sorted.
     """
-    mark = free_names(docs, "__doc", "__text", "__lang")
-    marked = docs.withColumns(dict(zip(mark, (known_id(F.col("doc_id")), F.xxhash64("text"), F.xxhash64("lang")), strict=True)))
-    stay = judge(marked, labels, risk, delta, tuple(mark)).where("kept").select(*mark).distinct()
-    return marked.join(stay, mark, "left_semi").drop(*mark)
+    rows = docs.select("doc_id", "text", "lang", whole_row(docs).alias("__row"))
+    return judge(rows, labels, risk, delta, ("__row",)).where("kept").select("__row.*")

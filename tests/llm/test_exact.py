@@ -526,6 +526,19 @@ def test_rules_keep_the_promise(spark):
     assert rules.keep_good(docs, labels).columns == docs.columns
 
 
+def test_rules_move_no_texts(spark, docs):
+    labels = docs.where("doc_id is not null").select("doc_id", F.lit(1).alias("quality")).distinct()
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = rules.keep_good(docs, labels)
+        assert "SortMergeJoin" not in got._jdf.queryExecution().executedPlan().toString()
+        want = rules.judge(docs, labels, carry=("text",)).where("kept").select("doc_id", "text", "stratum")
+        assert sorted(map(repr, map(tuple, got.select("doc_id", "text", "lang").collect()))) == sorted(map(repr, map(tuple, want.collect())))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_mixing(spark, docs, rows):
     got = mixing.mix_sources(docs).collect()
     again = mixing.mix_sources(docs.repartition(7)).collect()
